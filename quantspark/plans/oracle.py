@@ -222,7 +222,7 @@ def factor_sql(source: str, outputs: dict[str, Node], keys=("symbol", "trade_dat
         ]
         ctes.append(f"s{i} AS (SELECT *, {', '.join(cols)} FROM s{i - 1})")
         done |= {n.key for n in nodes}
-    outs = [f"round({text_of(n, done)}, {digits}) + 0.0 AS {name}" for name, n in outputs.items()]
+    outs = [f"round({text_of(n, done)} + 1e-9, {digits}) + 0.0 AS {name}" for name, n in outputs.items()]
     tail = f" WHERE {where}" if where else ""
     return (
         "WITH " + ", ".join(ctes)

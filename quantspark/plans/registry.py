@@ -16,6 +16,9 @@ from quantspark.sources.panels import VIEW_SQL, Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: values that end exactly half-way between two roundings go the same way in both engines
+HALF_NUDGE = 1e-9
+
 _tables: dict[tuple[str, str], Tables] = {}
 
 
@@ -48,31 +51,38 @@ def with_views(sql: str) -> str:
     return f"WITH {head} {body}"
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def tidy(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Round the named doubles (and drop negative zero) so that results compare by value."""
+    return df.select(
+        *[
+            (F.round(F.col(c) + HALF_NUDGE, digits[c]) + F.lit(0.0)).alias(c) if c in digits else F.col(c)
+            for c in df.columns
+        ]
+    )
+
+
+def tidy_sql(sql: str, digits: dict[str, int]) -> str:
+    if not digits:
+        return with_views(sql)
+    cols = ", ".join(f"round({c} + {HALF_NUDGE}, {d}) + 0.0 AS {c}" for c, d in digits.items())
+    inner = with_views(sql)
+    return f"SELECT * REPLACE ({cols}) FROM ({inner}) checked_"
+
+
+def query(name: str, sql: str | None = None, **digits: int):
+    """Register ``fn(tables) -> DataFrame``; ``digits`` names the doubles to round."""
 
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, root: fn(tables(spark, root))
+        QUERIES[name] = lambda spark, root: tidy(fn(tables(spark, root)), digits)
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = tidy_sql(sql, digits)
         return fn
 
     return wrap
 
 
-def tidy(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Round doubles (and drop negative zero) so that results compare by value."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if f.dataType.typeName() in ("double", "float") and f.name not in keep:
-            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)
-        cols.append(c)
-    return df.select(*cols)
-
-
 def factor(name: str, node: Node, panel: str = "panel_d", digits: int = 6, bars=None, source=None):
     """Register one factor expression evaluated over a whole panel.
 
@@ -83,7 +93,7 @@ def factor(name: str, node: Node, panel: str = "panel_d", digits: int = 6, bars=
         df = bars(t) if bars else getattr(t, panel)
         rows = t.section_rows_l if panel in ("panel_l", "panel_m") else t.section_rows_d
         out = with_factors(df, {"value": node}, section_rows=rows)
-        return tidy(out.select("symbol", "trade_date", "value"), digits)
+        return tidy(out.select("symbol", "trade_date", "value"), {"value": digits})
 
     QUERIES[name] = lambda spark, root: build(tables(spark, root))
     ORACLES[name] = with_views(factor_sql(source or panel, {"value": node}, digits=digits))

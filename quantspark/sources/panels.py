@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantspark.factors.alpha101 import alpha_input
 from quantspark.operators.panel import largest_section
 
 
@@ -186,6 +187,41 @@ class Tables:
             (F.col("close") / (100.0 + F.col("symbol") % 13)).alias("pb"),
         )
 
+    @cached_property
+    def basic_d(self) -> DataFrame:
+        """Fundamentals for the dense panel, present on odd days only."""
+        mv = F.col("close") * F.col("shares")
+        return (
+            self.panel_d.join(self.dim_d, "symbol")
+            .where(F.dayofmonth("trade_date") % 2 == 1)
+            .select(
+                "symbol",
+                "trade_date",
+                mv.alias("total_mv"),
+                F.when(F.dayofmonth("trade_date") % 3 != 0, mv * 0.6).alias("circ_mv"),
+                (F.col("volume") / F.col("shares")).alias("turnover_rate"),
+                F.when(F.col("symbol") % 7 != 0, F.try_divide(mv, F.nullif(F.col("amount"), F.lit(0.0)))).alias("pe_ttm"),
+                (F.col("close") / (10.0 + F.col("symbol") % 13)).alias("pb"),
+            )
+        )
+
+    @cached_property
+    def limits_l(self) -> DataFrame:
+        """Daily price limits; two thirds of the symbols have them."""
+        w = Window.partitionBy("symbol").orderBy("trade_date")
+        prev = F.lag("close").over(w)
+        return self.panel_l.where("symbol % 3 <> 0").select(
+            "symbol", "trade_date", (prev * 1.1).alias("up_limit"), (prev * 0.9).alias("down_limit")
+        )
+
+    @cached_property
+    def alpha_d(self) -> DataFrame:
+        return alpha_input(self.panel_d, self.basic_d, self.dim_d)
+
+    @cached_property
+    def alpha_l(self) -> DataFrame:
+        return alpha_input(self.panel_l, self.basic, self.dim_l)
+
     @cached_property
     def idx(self) -> DataFrame:
         """Monthly index membership: the top 60 % of symbols by volume."""
@@ -299,6 +335,16 @@ VIEW_SQL = {
  volume / shares AS turnover_rate,
  CASE WHEN symbol % 7 <> 0 THEN close * shares / amount END AS pe_ttm,
  close / (100.0 + symbol % 13) AS pb FROM panel_m JOIN dim_l USING (symbol)""",
+    "basic_d": """SELECT symbol, trade_date, close * shares AS total_mv,
+ CASE WHEN day(trade_date) % 3 <> 0 THEN close * shares * 0.6 END AS circ_mv,
+ volume / shares AS turnover_rate,
+ CASE WHEN symbol % 7 <> 0 THEN close * shares / nullif(amount, 0) END AS pe_ttm,
+ close / (10.0 + symbol % 13) AS pb FROM panel_d JOIN dim_d USING (symbol) WHERE day(trade_date) % 2 = 1""",
+    "limits_l": """SELECT symbol, trade_date, 1.1 * lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS up_limit,
+ 0.9 * lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS down_limit
+ FROM panel_l WHERE symbol % 3 <> 0""",
+    "alpha_d": "@ALPHA panel_d basic_d dim_d",
+    "alpha_l": "@ALPHA panel_l basic dim_l",
     "idx": """SELECT 'IDX' AS index_symbol, trade_date, symbol, weight
  FROM (SELECT symbol, trade_date, volume, volume / sum(volume) OVER (PARTITION BY trade_date) AS weight,
  row_number() OVER (PARTITION BY trade_date ORDER BY volume DESC, symbol) AS rn,
@@ -315,3 +361,21 @@ VIEW_SQL = {
     "latest": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date, as_of_time, factor_name, params_hash
  ORDER BY version DESC) AS rn FROM store) WHERE rn = 1""",
 }
+
+
+def _alpha_sql(panel: str, basic: str, dim: str) -> str:
+    w = "PARTITION BY symbol ORDER BY trade_date"
+    return f"""SELECT b.symbol, b.trade_date, open, high, low, close, volume, amount,
+ coalesce(CASE WHEN volume > 0 THEN amount / (volume * (SELECT CASE WHEN median(amount / volume / nullif(close, 0)) > 20 THEN 100.0 ELSE 1.0 END FROM {panel} WHERE volume > 0)) END, close) AS vwap,
+ close / nullif(lag(close) OVER ({w}), 0) - 1 AS ret,
+ coalesce(last_value(mv IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+ first_value(mv IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS market_value,
+ coalesce(industry, 'UNKNOWN') AS industry
+ FROM (SELECT p.*, coalesce(f.circ_mv, f.total_mv) AS mv, d.industry FROM {panel} p
+ LEFT JOIN {basic} f ON p.symbol = f.symbol AND p.trade_date = f.trade_date
+ LEFT JOIN {dim} d ON p.symbol = d.symbol) b"""
+
+
+for _name, _text in list(VIEW_SQL.items()):
+    if _text.startswith("@ALPHA"):
+        VIEW_SQL[_name] = _alpha_sql(*_text.split()[1:])
