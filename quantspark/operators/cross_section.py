@@ -130,9 +130,9 @@ def distributed_rank(df, part, value: Column, out: str, ascending=True) -> DataF
     )
 
 
-def distributed_quantile(df, part, value: Column, q: float, out: str) -> DataFrame:
-    """Linear-interpolated exact quantile per section from the value ranks."""
-    ranks = value_counts(df, part, value)
+def distributed_quantile(df, part, value: Column, q: float, out: str, source=None) -> DataFrame:
+    """Linear-interpolated exact quantile per section of ``source``, attached to ``df``."""
+    ranks = value_counts(df if source is None else source, part, value)
     at = (F.col("n_") - 1) * q + 1  # 1-based fractional position
     low, high = F.floor(at), F.ceil(at)
     last = F.col("first_") + F.col("ties_") - 1

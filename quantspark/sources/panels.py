@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantspark.factors.alpha101 import alpha_input
+from quantspark.operators.joins import attach_filled, attach_metadata, attach_optional
 from quantspark.operators.panel import largest_section
+from quantspark.operators.statements import align_by_report_date, align_statements, quarterly
 
 
 def digits_plus_one(props: str = "props"):
@@ -166,8 +168,11 @@ class Tables:
     def fin_full(self) -> DataFrame:
         """Statements with the ratios the reports carry."""
         equity = F.col("total_assets") - F.col("total_liability")
+        w = Window.partitionBy("symbol", F.quarter("report_date")).orderBy("report_date")
         return self.fin.select(
             "*",
+            (F.col("revenue") / F.lag("revenue").over(w) - 1.0).alias("revenue_yoy"),
+            ((F.col("net_profit") - F.lag("net_profit").over(w)) / F.abs(F.lag("net_profit").over(w))).alias("profit_yoy"),
             equity.alias("total_equity"),
             (F.col("net_profit") / equity).alias("roe"),
             (100.0 * F.col("net_profit") / F.col("revenue")).alias("gross_margin"),
@@ -222,6 +227,33 @@ class Tables:
     def alpha_l(self) -> DataFrame:
         return alpha_input(self.panel_l, self.basic, self.dim_l)
 
+    @cached_property
+    def fin_rows(self) -> int:
+        return self.fin.count()
+
+    @cached_property
+    def fin_q(self) -> DataFrame:
+        return quarterly(self.fin_full, rows=self.fin_rows)
+
+    @cached_property
+    def paper_l(self) -> DataFrame:
+        """Daily bars with fundamentals, limits, industry and the statements known that day."""
+        bars = attach_filled(
+            self.panel_l, self.basic, ["total_mv", "circ_mv", "pe_ttm", "pb", "turnover_rate"]
+        )
+        bars = attach_optional(bars, self.limits_l, ["up_limit", "down_limit"])
+        bars = attach_metadata(bars, self.dim_l, ["industry"]).withColumn(
+            "has_industry", F.when(F.col("industry") != "", 1.0).otherwise(0.0)
+        )
+        return align_statements(bars, self.fin_q)
+
+    @cached_property
+    def research_l(self) -> DataFrame:
+        return align_by_report_date(
+            self.panel_l, self.fin_full,
+            ["revenue", "net_profit", "gross_margin", "total_assets", "total_liability"],
+        )
+
     @cached_property
     def idx(self) -> DataFrame:
         """Monthly index membership: the top 60 % of symbols by volume."""
@@ -328,7 +360,9 @@ VIEW_SQL = {
  sum(l_extendedprice * (1 - l_discount)) AS rev,
  sum(l_extendedprice * (0.3 - l_discount - l_tax)) AS np, sum(l_extendedprice * l_tax) AS tax
  FROM lineitem GROUP BY l_suppkey, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)) q""",
-    "fin_full": """SELECT *, total_assets - total_liability AS total_equity,
+    "fin_full": """SELECT *, revenue / lag(revenue) OVER (PARTITION BY symbol, quarter(report_date) ORDER BY report_date) - 1 AS revenue_yoy,
+ (net_profit - lag(net_profit) OVER (PARTITION BY symbol, quarter(report_date) ORDER BY report_date)) / abs(lag(net_profit) OVER (PARTITION BY symbol, quarter(report_date) ORDER BY report_date)) AS profit_yoy,
+ total_assets - total_liability AS total_equity,
  net_profit / (total_assets - total_liability) AS roe, 100.0 * net_profit / revenue AS gross_margin FROM fin""",
     "basic": """SELECT symbol, trade_date, close * shares AS total_mv,
  CASE WHEN month(trade_date) % 4 <> 0 THEN close * shares * 0.6 END AS circ_mv,
@@ -345,6 +379,32 @@ VIEW_SQL = {
  FROM panel_l WHERE symbol % 3 <> 0""",
     "alpha_d": "@ALPHA panel_d basic_d dim_d",
     "alpha_l": "@ALPHA panel_l basic dim_l",
+    "fin_q1": """SELECT *, year(report_date) * 4 + quarter(report_date) AS period_id,
+ CASE WHEN quarter(report_date) = 1 THEN revenue ELSE revenue - lag(revenue) OVER (PARTITION BY symbol, year(report_date) ORDER BY report_date) END AS quarter_revenue,
+ CASE WHEN quarter(report_date) = 1 THEN net_profit ELSE net_profit - lag(net_profit) OVER (PARTITION BY symbol, year(report_date) ORDER BY report_date) END AS quarter_profit
+ FROM fin_full""",
+    "fin_q2": """SELECT a.*, (a.quarter_revenue - b.quarter_revenue) / nullif(abs(b.quarter_revenue), 0) AS quarter_revenue_yoy,
+ (a.quarter_profit - b.quarter_profit) / nullif(abs(b.quarter_profit), 0) AS quarter_profit_yoy, a.roe - b.roe AS roe_yoy_change
+ FROM fin_q1 a LEFT JOIN fin_q1 b ON a.symbol = b.symbol AND a.period_id = b.period_id + 4""",
+    "fin_q3": """SELECT *, quarter_revenue_yoy - lag(quarter_revenue_yoy) OVER (PARTITION BY symbol ORDER BY report_date) AS revenue_accel,
+ quarter_profit_yoy - lag(quarter_profit_yoy) OVER (PARTITION BY symbol ORDER BY report_date) AS profit_accel,
+ total_equity / nullif(total_assets, 0) AS equity_to_assets, total_liability / nullif(total_assets, 0) AS debt_ratio,
+ net_profit / nullif(revenue, 0) AS net_margin, revenue / nullif(total_assets, 0) AS asset_turnover,
+ coalesce(ann_date, CAST(report_date + to_days(CASE month(report_date) WHEN 3 THEN 30 WHEN 6 THEN 60 WHEN 9 THEN 30 ELSE 120 END) AS DATE)) AS available_date
+ FROM fin_q2""",
+    "fin_q": "@CLIP",
+    "paper_l": """SELECT p.*, f.report_date, f.roe, f.revenue, f.net_profit, f.revenue_yoy, f.profit_yoy, f.gross_margin, f.total_assets, f.total_liability,
+ f.total_equity, f.quarter_revenue_yoy, f.quarter_profit_yoy, f.revenue_accel, f.profit_accel, f.roe_yoy_change, f.equity_to_assets, f.debt_ratio, f.net_margin, f.asset_turnover
+ FROM (SELECT b.symbol, b.trade_date, open, high, low, close, volume, amount, total_mv, circ_mv, pe_ttm, pb, turnover_rate, up_limit, down_limit,
+ coalesce(d.industry, '') AS industry, CASE WHEN coalesce(d.industry, '') <> '' THEN 1.0 ELSE 0.0 END AS has_industry FROM (SELECT p.*,
+ last_value(total_mv IGNORE NULLS) OVER w AS total_mv, last_value(circ_mv IGNORE NULLS) OVER w AS circ_mv, last_value(pe_ttm IGNORE NULLS) OVER w AS pe_ttm,
+ last_value(pb IGNORE NULLS) OVER w AS pb, last_value(turnover_rate IGNORE NULLS) OVER w AS turnover_rate, up_limit, down_limit
+ FROM panel_l p LEFT JOIN basic f ON p.symbol = f.symbol AND p.trade_date = f.trade_date LEFT JOIN limits_l l ON p.symbol = l.symbol AND p.trade_date = l.trade_date
+ WINDOW w AS (PARTITION BY p.symbol ORDER BY p.trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) b LEFT JOIN dim_l d ON b.symbol = d.symbol) p
+ ASOF LEFT JOIN (SELECT * FROM fin_q QUALIFY row_number() OVER (PARTITION BY symbol, available_date ORDER BY report_date DESC) = 1) f
+ ON p.symbol = f.symbol AND p.trade_date >= f.available_date""",
+    "research_l": """SELECT p.*, f.report_date, f.revenue, f.net_profit, f.gross_margin, f.total_assets, f.total_liability
+ FROM panel_l p ASOF LEFT JOIN fin_full f ON p.symbol = f.symbol AND p.trade_date >= f.report_date""",
     "idx": """SELECT 'IDX' AS index_symbol, trade_date, symbol, weight
  FROM (SELECT symbol, trade_date, volume, volume / sum(volume) OVER (PARTITION BY trade_date) AS weight,
  row_number() OVER (PARTITION BY trade_date ORDER BY volume DESC, symbol) AS rn,
@@ -376,6 +436,18 @@ def _alpha_sql(panel: str, basic: str, dim: str) -> str:
  LEFT JOIN {dim} d ON p.symbol = d.symbol) b"""
 
 
+def _clip_sql() -> str:
+    cols = ["quarter_revenue_yoy", "quarter_profit_yoy", "revenue_accel", "profit_accel", "roe_yoy_change",
+            "equity_to_assets", "debt_ratio", "net_margin", "asset_turnover"]
+    parts = ", ".join(
+        f"CASE WHEN (SELECT count({c}) FROM fin_q3) >= 10 THEN CASE WHEN {c} IS NOT NULL THEN "
+        f"least(greatest({c}, (SELECT quantile_cont({c}, 0.01) FROM fin_q3)), (SELECT quantile_cont({c}, 0.99) FROM fin_q3)) END ELSE {c} END AS {c}"
+        for c in cols
+    )
+    return f"SELECT * REPLACE ({parts}) FROM fin_q3"
+
+
+VIEW_SQL["fin_q"] = _clip_sql()
 for _name, _text in list(VIEW_SQL.items()):
     if _text.startswith("@ALPHA"):
         VIEW_SQL[_name] = _alpha_sql(*_text.split()[1:])
