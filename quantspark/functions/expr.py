@@ -189,12 +189,50 @@ def decay_linear(x, n):
 
 
 def ema(x, span):
-    """Span EMA (adjust=False); the window is long enough that the cut tail is < 1e-16."""
+    """Span EMA (adjust=False) that skips NULLs.
+
+    As one window of ``rows`` bars the cut tail is < 1e-16; ``unfold_ema`` gives the
+    running-sum form that Spark evaluates in one pass over the bars.
+    """
     alpha = 2.0 / (span + 1.0)
     rows = math.ceil(math.log(1e-16) / math.log(1.0 - alpha))
     return Node("ema", "ts", (x,), (alpha, rows))
 
 
+#: running sums restart before the weight ratio inside a block reaches this
+BLOCK_RANGE = 1e150
+
+
+def _ema_by_running_sums(x: Node, alpha: float) -> Node:
+    """Linear-time EMA: with b = 1 - alpha, E_t = b^j (sum of y up to t) with y = a x b^-j.
+
+    ``j`` counts present values from the start of a block; blocks are so long that only
+    the block before the current one still carries weight.
+    """
+    keep = 1.0 - alpha
+    size = float(int(math.log(BLOCK_RANGE) / -math.log(keep)))
+    at = Node("seen", "ts", (x,)) - 1.0
+    block = where(at >= 0.0, floor_(at / size), None)
+    j = at - block * size
+    y = x * where(at.eq(0.0), 1.0, alpha) * (wrap(keep) ** -j)
+    run = Node("block_running_sum", "ts", (y, block))
+    before = Node("previous_block_sum", "ts", (y, block)) * wrap(keep) ** size
+    return wrap(keep) ** j * (coalesce(run, 0.0) + coalesce(before, 0.0))
+
+
+def unfold_ema(node: Node, done: dict[str, Node]) -> Node:
+    """``node`` with every EMA below it in running-sum form."""
+    if node.key not in done:
+        args = [unfold_ema(a, done) for a in node.args]
+        if node.op == "ema":
+            done[node.key] = _ema_by_running_sums(args[0], node.params[0])
+        elif any(new is not old for new, old in zip(args, node.args)):
+            done[node.key] = Node(node.op, node.kind, args, node.params)
+        else:
+            done[node.key] = node
+    return done[node.key]
+
+
 def cumulative(x):
     return Node("cumsum", "ts", (x,))
 

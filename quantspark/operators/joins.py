@@ -151,3 +151,22 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return lost.agg(F.coalesce(F.sum("rows_"), F.lit(0)).alias("orphan_rows")).select(
         F.lit(label).alias("relation"), F.col("orphan_rows").cast("long")
     )
+
+
+def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, symbol) pairs whose upper-cased text contains an alias of three letters or more.
+
+    Filter and verify: every alias is looked up by its rarest three letters, every text by
+    its distinct three-letter pieces, and only texts sharing the piece are searched. That is
+    an equi-join, so the dictionary may grow without a product of texts and aliases.
+    """
+    pieces = F.array_distinct(F.regexp_extract_all(F.col("u_"), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    names = aliases.select("symbol", F.upper("alias").alias("u_")).where(F.length("u_") >= 3).distinct()
+    keyed = names.select("symbol", "u_", F.explode(pieces).alias("piece"))
+    counts = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = keyed.join(counts, "piece").groupBy("symbol", "u_").agg(
+        F.min(F.struct("n", "piece")).alias("best")
+    ).select("symbol", F.col("u_").alias("alias_"), F.col("best.piece").alias("piece"))
+    docs = posts.select("doc_id", F.upper(text).alias("u_")).withColumn("piece", F.explode(pieces))
+    hit = docs.join(small(rarest), "piece").where(F.col("u_").contains(F.col("alias_")))
+    return hit.select("doc_id", "symbol").distinct()

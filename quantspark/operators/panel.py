@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantspark.functions.expr import Node, passes
+from quantspark.functions.expr import Node, passes, unfold_ema
 from quantspark.operators.cross_section import CS, attach_sections
 from quantspark.operators.rowwise import ROW
-from quantspark.operators.timeseries import TS
+from quantspark.operators.timeseries import BLOCK, TS
 from quantspark.session import DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS, int_conf
 
 #: plain names of raw fields that differ from their column
@@ -56,6 +56,8 @@ def with_factors(
     not know it and a cross-section is needed, it is measured. Sections beyond
     ``quantspark.maxGroupRows`` use the bucketed form.
     """
+    unfolded: dict[str, Node] = {}
+    outputs = {name: unfold_ema(node, unfolded) for name, node in outputs.items()}
     plan = passes(outputs.values())
     limit = int_conf(df.sparkSession, MAX_GROUP_ROWS, DEFAULT_MAX_GROUP_ROWS)
     if section_rows is None and any(kind == "cs" for kind, _ in plan):
@@ -73,7 +75,10 @@ def with_factors(
             name = "n_" + n.key
             args = [column_of(a, done) for a in n.args]
             if kind == "ts":
-                added[name] = TS[n.op](w, *args, *n.params)
+                if n.op in BLOCK:
+                    added[name] = BLOCK[n.op](symbol, date, *args)
+                else:
+                    added[name] = TS[n.op](w, *args, *n.params)
             else:
                 part = [date, *n.params[-1]]
                 if wide:

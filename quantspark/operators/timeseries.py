@@ -101,15 +101,17 @@ def decay_linear(w, x, n):
     return F.round(total / (n * (n + 1) / 2.0), TIE_DIGITS)
 
 
-def ema(w, x, alpha, rows):
-    """Recursive EMA as a fold over a bounded window; leading NULLs are skipped."""
-    values = F.collect_list(x).over(rolling(w, rows))
-    fold = F.aggregate(
-        F.slice(values, F.lit(2), F.lit(rows)),
-        F.get(values, F.lit(0)),
-        lambda acc, v: acc * (1.0 - alpha) + v * alpha,
-    )
-    return F.when(F.size(values) > 0, fold)
+def block_running_sum(symbol: str, date: str, y: Column, block: Column) -> Column:
+    w = Window.partitionBy(symbol, block).orderBy(date)
+    return F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def previous_block_sum(symbol: str, date: str, y: Column, block: Column) -> Column:
+    return F.sum(y).over(Window.partitionBy(symbol).orderBy(block).rangeBetween(-1, -1))
+
+
+#: window operators with a partitioning of their own
+BLOCK = {"block_running_sum": block_running_sum, "previous_block_sum": previous_block_sum}
 
 
 def _running(fn):
@@ -144,7 +146,7 @@ TS = {
     "argmin": _arg(F.min),
     "mad": mean_abs_dev,
     "decay": decay_linear,
-    "ema": ema,
+    "seen": lambda w, x: F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"),
     "cumsum": _running(F.sum),
     "cummax": _running(F.max),
     "ffill": _running(lambda x: F.last(x, ignorenulls=True)),
