@@ -46,6 +46,8 @@ def with_views(sql: str) -> str:
         return sql
     head = ", ".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head}, {body[5:]}"
     return f"WITH {head} {body}"
