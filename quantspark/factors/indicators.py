@@ -56,9 +56,9 @@ def valuation(basic: DataFrame, statements: DataFrame, unit: float = 1.0) -> Dat
     mv = F.col("total_mv") * unit
     return j.select(
         "symbol", "trade_date",
-        F.round(F.coalesce("pe_ttm", sdiv(mv, F.col("net_profit"))), 4).alias("pe_ttm"),
-        F.round(F.coalesce("pb", sdiv(mv, F.col("total_equity"))), 4).alias("pb"),
-        F.round(sdiv(mv, F.col("revenue")), 4).alias("ps_ttm"),
+        F.coalesce("pe_ttm", sdiv(mv, F.col("net_profit"))).alias("pe_ttm"),
+        F.coalesce("pb", sdiv(mv, F.col("total_equity"))).alias("pb"),
+        sdiv(mv, F.col("revenue")).alias("ps_ttm"),
     )
 
 

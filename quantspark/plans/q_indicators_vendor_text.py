@@ -27,7 +27,7 @@ LASTFIN = "(SELECT * FROM fin_full QUALIFY row_number() OVER (PARTITION BY symbo
 
 
 @query("id01_valuation", f"""SELECT b.symbol, b.trade_date, coalesce(pe_ttm, total_mv / nullif(net_profit, 0)) AS pe_ttm, coalesce(pb, total_mv / nullif(total_equity, 0)) AS pb, total_mv / nullif(revenue, 0) AS ps_ttm
- FROM basic b LEFT JOIN {LASTFIN} f USING (symbol)""", pe_ttm=4, pb=4, ps_ttm=4)
+ FROM basic b LEFT JOIN {LASTFIN} f USING (symbol)""", pe_ttm=3, pb=3, ps_ttm=3)
 def _(t):
     last = newest(t.fin_full, ["symbol"], F.col("report_date"), ["net_profit", "total_equity", "revenue"])
     return ind.valuation(t.basic, last)
