@@ -28,10 +28,12 @@ def percent_rank(x: Column, part: list[str], ascending: bool = True) -> Column:
     """pandas ``rank(pct=True)`` with average ties; NULL stays NULL."""
     x = F.round(x, TIE_DIGITS)
     order = F.asc_nulls_last(x) if ascending else F.desc_nulls_last(x)
-    first = F.rank().over(Window.partitionBy(*part).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*part, x))
-    count = F.count(x).over(Window.partitionBy(*part))
-    return F.when(x.isNotNull(), (first + (ties - 1) / 2.0) / count)
+    w = Window.partitionBy(*part).orderBy(order)
+    # first and last position of the tie; one ordering serves all three windows
+    first = F.rank().over(w)
+    last = F.count(x).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    count = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(x.isNotNull(), (first + last) / 2.0 / count)
 
 
 def _over(fn):

@@ -66,21 +66,22 @@ def asof_join(
     more than one key's chunk: the last right row of the earlier chunks is carried in from
     a per-chunk summary, which keeps hot keys off a single task.
     """
+    clash = [c for c in [right_time, *columns] if c in left.columns]
+    if clash:
+        raise ValueError(f"columns on both sides: {clash}")
     picked = F.struct(F.col(right_time).alias(right_time), *columns)
-    lefts = left.select(F.struct("*").alias("l_"), key, F.col(left_time).alias("t_"),
-                        F.lit(None).alias("r_"), F.lit(0 if strict else 1).alias("side_"))
+    lefts = left.withColumns({"t_": F.col(left_time), "side_": F.lit(0 if strict else 1), "left_": F.lit(True)})
     rights = right.where(F.col(right_time).isNotNull()).select(
-        F.lit(None).alias("l_"), key, F.col(right_time).alias("t_"),
-        picked.alias("r_"), F.lit(1 if strict else 0).alias("side_"),
+        key, F.col(right_time).alias("t_"), picked.alias("r_"), F.lit(1 if strict else 0).alias("side_")
     )
-    both = lefts.unionByName(rights)
+    both = lefts.unionByName(rights, allowMissingColumns=True)
     part = [key]
     if chunk is not None:
         both = both.withColumn("chunk_", chunk)
         part.append("chunk_")
     w = Window.partitionBy(*part).orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.last("r_", ignorenulls=True).over(w)
-    out = both.withColumn("hit_", hit).where("l_ is not null")
+    out = both.withColumn("hit_", hit).where("left_")
     if chunk is not None:
         ends = (
             both.where("r_ is not null").groupBy(key, "chunk_").agg(F.max_by("r_", "t_").alias("end_"))
@@ -91,7 +92,7 @@ def asof_join(
             key, "chunk_", F.last("end_", ignorenulls=True).over(before).alias("carry_")
         )
         out = out.join(carried, [key, "chunk_"], "left").withColumn("hit_", F.coalesce("hit_", "carry_"))
-    return out.select("l_.*", "hit_.*")
+    return out.select(*left.columns, "hit_.*")
 
 
 def active_snapshots(dates: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -156,17 +157,32 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
     """(doc, symbol) pairs whose upper-cased text contains an alias of three letters or more.
 
-    Filter and verify: every alias is looked up by its rarest three letters, every text by
-    its distinct three-letter pieces, and only texts sharing the piece are searched. That is
-    an equi-join, so the dictionary may grow without a product of texts and aliases.
+    Filter and verify on equi-joins, so the dictionary may grow without a product of texts
+    and aliases: an alias is looked up by its rarest three letters. An alias without blanks
+    lies inside one word, so it is searched in the distinct words of the whole corpus and
+    the words are traced back to their texts; the others are searched in the texts that
+    share the piece.
     """
-    pieces = F.array_distinct(F.regexp_extract_all(F.col("u_"), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    names = aliases.select("symbol", F.upper("alias").alias("u_")).where(F.length("u_") >= 3).distinct()
-    keyed = names.select("symbol", "u_", F.explode(pieces).alias("piece"))
+
+    def pieces(text_: Column) -> Column:
+        return F.explode(F.array_distinct(F.regexp_extract_all(text_, F.lit("(?s)(?=(.{3}))"), F.lit(1))))
+
+    names = aliases.select("symbol", F.upper("alias").alias("alias_")).where(F.length("alias_") >= 3).distinct()
+    names = names.withColumn("blank", F.col("alias_").rlike(r"\s"))
+    keyed = names.select("*", pieces(F.col("alias_")).alias("piece"))
     counts = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    rarest = keyed.join(counts, "piece").groupBy("symbol", "u_").agg(
+    rarest = keyed.join(counts, "piece").groupBy("symbol", "alias_", "blank").agg(
         F.min(F.struct("n", "piece")).alias("best")
-    ).select("symbol", F.col("u_").alias("alias_"), F.col("best.piece").alias("piece"))
-    docs = posts.select("doc_id", F.upper(text).alias("u_")).withColumn("piece", F.explode(pieces))
-    hit = docs.join(small(rarest), "piece").where(F.col("u_").contains(F.col("alias_")))
-    return hit.select("doc_id", "symbol").distinct()
+    ).select("symbol", "alias_", "blank", F.col("best.piece").alias("piece"))
+    docs = posts.select("doc_id", F.upper(text).alias("u_"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("u_", r"\s+"))).alias("word"))
+    vocabulary = words.select("word").distinct().select("word", pieces(F.col("word")).alias("piece"))
+    inside = F.col("word").contains(F.col("alias_"))
+    known = vocabulary.join(small(rarest.where("not blank")), "piece").where(inside).select("word", "symbol")
+    hit = words.join(known.distinct(), "word").select("doc_id", "symbol")
+    spaced = rarest.where("blank")
+    if not spaced.limit(1).isEmpty():
+        side = docs.select("doc_id", pieces(F.col("u_")).alias("piece")).join(small(spaced), "piece")
+        found = side.join(docs, "doc_id").where(F.col("u_").contains(F.col("alias_")))
+        hit = hit.unionByName(found.select("doc_id", "symbol"))
+    return hit.distinct()

@@ -16,8 +16,10 @@ from quantspark.operators import quality as dq
 from quantspark.operators.joins import newest
 from quantspark.plans.q_evaluate import long_sql
 from quantspark.plans.registry import query
+from quantspark.sources import scan
 from quantspark.sources import sinks as sk
 from quantspark.sources import store as fs
+from quantspark.streaming.jobs import work_folder
 
 
 @query("sk01_upsert", """SELECT symbol, trade_date, CASE WHEN day(trade_date) >= 15 THEN close + 1 ELSE close END AS close FROM panel_d""", close=6)
@@ -245,3 +247,64 @@ def _(t):
         df = df.select("symbol", "trade_date", F.lit(name).alias("factor_name"), "value")
         out = df if out is None else out.unionByName(df)
     return out
+
+
+# --- written tables ---------------------------------------------------------------------
+
+
+@query("sk02_append_partitioned", "SELECT symbol, datetime, trade_date, price, 'batch' AS source, CAST(year(trade_date) AS INTEGER) AS year FROM ticks", price=6)
+def _(t):
+    path = work_folder(t.spark) + "/ticks"
+    sk.append_rows(t.ticks.select("symbol", "datetime", "trade_date", "price"), path, "trade_date")
+    return t.spark.read.parquet(path).select("symbol", "datetime", "trade_date", "price", "source", "year")
+
+
+@query("sk03_indicator_sink", "SELECT factor_name AS indicator_name, symbol, trade_date, value FROM latest", value=6)
+def _(t):
+    path = work_folder(t.spark) + "/indicators"
+    rows = fs.latest(t.store).select(F.col("factor_name").alias("indicator_name"), "symbol", "trade_date", "value")
+    sk.append_indicators(rows, path)
+    return t.spark.read.parquet(path).select("indicator_name", "symbol", "trade_date", "value")
+
+
+@query("dq01_compaction", "SELECT symbol, trade_date, factor_name, version, value FROM latest", value=6)
+def _(t):
+    path = work_folder(t.spark) + "/store"
+    for version in (1, 2):  # one append per version leaves several files per month
+        sk.append_rows(t.store.where(F.col("version") == version), path, "trade_date", sort=("factor_name", "symbol"))
+    sk.compact(t.spark, path, fs.KEY, F.col("version"))
+    return t.spark.read.parquet(path).select("symbol", "trade_date", "factor_name", "version", "value")
+
+
+@query("sc17_symbol_csvs", """SELECT symbol, datetime, price AS open, price + 1 AS high, price / 2 AS low, price AS close, volume FROM ticks WHERE price > 0""", open=4, high=4, low=4, close=4)
+def _(t):
+    folder = work_folder(t.spark)
+    rows = t.ticks.where("price > 0").select("symbol", F.col("datetime").cast("string").alias("DateTime"), F.col("price").alias("Open"),
+                                             (F.col("price") + 1).alias("High"), (F.col("price") / 2).alias("Low"), F.col("price").alias("Close"), F.col("volume").alias("Volume"))
+    rows.write.option("header", True).partitionBy("symbol").csv(folder)
+    # Spark names its files itself, so here the folder stands for the file name
+    return scan.read_symbol_csvs(t.spark, folder, by_folder=True)
+
+
+@query("fs09_definitions", """SELECT factor_name, count(*) AS row_count FROM latest GROUP BY 1""")
+def _(t):
+    from quantspark.factors.catalog import definitions
+
+    rows = fs.latest(t.store).groupBy("factor_name").agg(F.count(F.lit(1)).alias("row_count"))
+    known = definitions(t.spark, [("close_level", "custom", "stored level"), ("volume_level", "custom", "stored level")])
+    return known.join(rows, "factor_name").select("factor_name", "row_count")
+
+
+@query("ev17_user_factor_analysis", """WITH f AS (SELECT symbol, trade_date, close / nullif(lag(close, 3) OVER (PARTITION BY symbol ORDER BY trade_date), 0) - 1 AS x, lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1 AS r FROM panel_d)
+ SELECT trade_date, count(*) AS names, corr(rx, rr) AS ic FROM (SELECT trade_date, rank() OVER (PARTITION BY trade_date ORDER BY round(x, 10)) + (count(*) OVER (PARTITION BY trade_date, round(x, 10)) - 1) / 2.0 AS rx,
+ rank() OVER (PARTITION BY trade_date ORDER BY round(r, 10)) + (count(*) OVER (PARTITION BY trade_date, round(r, 10)) - 1) / 2.0 AS rr FROM f WHERE x IS NOT NULL AND r IS NOT NULL) GROUP BY 1 HAVING count(*) >= 10""", ic=6)
+def _(t):
+    from quantspark.functions import udf
+    from quantspark.operators import evaluate as ev
+    from quantspark.operators.panel import with_factors
+    from quantspark.plans.q_streaming_udf import momentum
+
+    start, end = date(1990, 1, 1), date(2100, 1, 1)
+    mine = udf.run_python_factor(t.panel_d, momentum, start, end, {"n": 3}).withColumnRenamed("value", "x")
+    r = with_factors(t.panel_d, {"r": ev.FORWARD_RETURN}, section_rows=1).select("symbol", "trade_date", "r")
+    return ev.report(mine, r, section_rows=t.section_rows_d)["ic"]

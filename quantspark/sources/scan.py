@@ -182,14 +182,15 @@ def sane_bars(df: DataFrame) -> DataFrame:
     return df.where(ok & (F.col("volume") >= 0))
 
 
-def read_symbol_csvs(spark: SparkSession, folder: str) -> DataFrame:
-    """One CSV per symbol; header case is ignored and the symbol is the file name."""
+def read_symbol_csvs(spark: SparkSession, folder: str, by_folder: bool = False) -> DataFrame:
+    """One CSV per symbol; header case is ignored and the symbol is the file name
+    (``by_folder``: the name of a ``symbol=...`` folder)."""
     raw = spark.read.option("header", True).csv(folder)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     missing = [c for c in REQUIRED_BAR_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    name = F.col("symbol") if by_folder else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
     nums = [F.expr(f"try_cast({c} AS double)").alias(c) for c in REQUIRED_BAR_COLUMNS[1:]]
     when = F.expr("try_cast(datetime AS timestamp_ntz)").alias("datetime")
     return sane_bars(raw.select(name.alias("symbol"), when, *nums).dropna())
