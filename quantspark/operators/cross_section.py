@@ -120,49 +120,50 @@ def value_counts(df: DataFrame, part: list[str], value: Column) -> DataFrame:
     )
 
 
-def distributed_rank(df, part, value: Column, out: str, ascending=True) -> DataFrame:
-    """``percent_rank`` without a per-date task; joins ranks back on (date, value)."""
-    key = F.round(value, TIE_DIGITS).cast("double")
-    ranks = cut_lineage(value_counts(df, part, key if ascending else -key))
-    probe = df.withColumn("v_", key if ascending else -key)
-    pct = (F.col("first_") + (F.col("ties_") - 1) / 2.0) / F.col("n_")
-    joined = probe.join(ranks, [*part, "v_"], "left")
-    return joined.withColumn(out, F.when(F.col("v_").isNotNull(), pct)).drop(
-        "v_", "ties_", "n_", "first_"
-    )
-
-
-def distributed_quantile(df, part, value: Column, q: float, out: str, source=None) -> DataFrame:
-    """Linear-interpolated exact quantile per section of ``source``, attached to ``df``."""
-    ranks = value_counts(df if source is None else source, part, value)
-    at = (F.col("n_") - 1) * q + 1  # 1-based fractional position
-    low, high = F.floor(at), F.ceil(at)
+def quantile_table(df: DataFrame, part: list[str], value: Column, wanted: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per section: one row per section, one column per name."""
+    ranks = value_counts(df, part, value)
     last = F.col("first_") + F.col("ties_") - 1
-    edges = ranks.groupBy(*part).agg(
-        F.max(F.when(low.between(F.col("first_"), last), F.col("v_"))).alias("lo_"),
-        F.max(F.when(high.between(F.col("first_"), last), F.col("v_"))).alias("hi_"),
-        F.max(at - low).alias("frac_"),
-    )
-    value_at = F.col("lo_") + (F.col("hi_") - F.col("lo_")) * F.col("frac_")
-    return df.join(edges.select(*part, value_at.alias(out)), part, "left")
+    picks, outs = [], []
+    for name, q in wanted.items():
+        at = (F.col("n_") - 1) * q + 1  # 1-based fractional position
+        low, high = F.floor(at), F.ceil(at)
+        picks += [
+            F.max(F.when(low.between(F.col("first_"), last), F.col("v_"))).alias(f"{name}_lo"),
+            F.max(F.when(high.between(F.col("first_"), last), F.col("v_"))).alias(f"{name}_hi"),
+            F.max(at - low).alias(f"{name}_at"),
+        ]
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        outs.append((lo + (hi - lo) * F.col(f"{name}_at")).alias(name))
+    return ranks.groupBy(*part).agg(*picks).select(*part, *outs)
 
 
 def attach_sections(df: DataFrame, requests) -> DataFrame:
     """Wide form of one cross-section pass.
 
-    ``requests`` holds (out, op, part, columns, params). The input is checkpointed once
-    because every request reads it again.
+    ``requests`` holds (out, op, part, columns, params, value_key). Every side table reads
+    the checkpointed input, so the plan grows with the number of requests, not with its
+    powers; ranks come back on (section, value), the rest on the section alone.
     """
-    df = cut_lineage(df)
+    base = cut_lineage(df)
+    out = base
     grouped: dict[tuple, list] = {}
-    for out, op, part, cols, params in requests:
+    quantiles: dict[tuple, tuple[Column, dict[str, float]]] = {}
+    for name, op, part, cols, params, key in requests:
         if op in AGGREGATES:
-            grouped.setdefault(tuple(part), []).append(AGGREGATES[op](*cols).alias(out))
-    for part, aggs in grouped.items():
-        df = df.join(df.groupBy(*part).agg(*aggs), list(part), "left")
-    for out, op, part, cols, params in requests:
-        if op == "rank":
-            df = distributed_rank(df, part, cols[0], out, params[0])
+            grouped.setdefault(tuple(part), []).append(AGGREGATES[op](*cols).alias(name))
         elif op == "xquantile":
-            df = distributed_quantile(df, part, cols[0], params[0], out)
-    return df
+            quantiles.setdefault((tuple(part), key), (cols[0], {}))[1][name] = params[0]
+    for part, aggs in grouped.items():
+        out = out.join(base.groupBy(*part).agg(*aggs), list(part), "left")
+    for (part, _), (value, wanted) in quantiles.items():
+        out = out.join(quantile_table(base, list(part), value, wanted), list(part), "left")
+    for name, op, part, cols, params, _ in requests:
+        if op != "rank":
+            continue
+        value = F.round(cols[0], TIE_DIGITS).cast("double")
+        value = value if params[0] else -value
+        pct = (F.col("first_") + (F.col("ties_") - 1) / 2.0) / F.col("n_")
+        ranks = value_counts(base, part, value).select(*part, "v_", pct.alias(name))
+        out = out.withColumn("v_", value).join(ranks, [*part, "v_"], "left").drop("v_")
+    return out

@@ -82,7 +82,7 @@ def with_factors(
             else:
                 part = [date, *n.params[-1]]
                 if wide:
-                    requests.append((name, n.op, part, args, n.params[:-1]))
+                    requests.append((name, n.op, part, args, n.params[:-1], n.args[0].key))
                 else:
                     added[name] = CS[n.op](part, *args, *n.params[:-1])
         if requests:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantspark.operators.cross_section import distributed_quantile
+from quantspark.operators.cross_section import quantile_table
 from quantspark.operators.joins import asof_join, newest
 from quantspark.operators.rowwise import sdiv
 
@@ -48,8 +48,8 @@ def clip_bounds(df: DataFrame, columns, low=0.01, high=0.99, rows: int | None =
     one = df.select(F.lit(1).alias("all_")).limit(1)
     keyed = df.select(F.lit(1).alias("all_"), *columns)
     for c in columns:
-        one = distributed_quantile(one, ["all_"], F.col(c), low, f"{c}_lo", source=keyed)
-        one = distributed_quantile(one, ["all_"], F.col(c), high, f"{c}_hi", source=keyed)
+        bounds = quantile_table(keyed, ["all_"], F.col(c), {f"{c}_lo": low, f"{c}_hi": high})
+        one = one.join(bounds, "all_", "left")
     return one.drop("all_")
 
 
