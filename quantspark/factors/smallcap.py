@@ -8,10 +8,12 @@ from pyspark.sql.window import Window
 
 from quantspark.factors.bars import CLOSE, HIGH, LOW, VOLUME
 from quantspark.functions.expr import (
-    Node, bars_total, bfill, clip, coalesce, ema, ffill, field, flag, greatest, mean, prior_max,
-    rmax, rmin, total, where, wrap,
+    Node, bars_total, bfill, clip, coalesce, ema, ffill, field, flag, greatest, isnull, mean,
+    prior_max, rank, rmax, rmin, total, where, xsum,
 )
+from quantspark.operators.cross_section import section_position
 from quantspark.operators.filters import special_treatment
+from quantspark.operators.panel import with_factors
 
 KEYS = ["symbol", "trade_date"]
 #: price distance that still counts as touching a limit
@@ -82,9 +84,10 @@ def high_volume(window: int = 120, threshold: float = 0.9, lots: float = 100.0)
     }
 
 
-def cap_rank(caps: DataFrame) -> DataFrame:
-    w = Window.partitionBy("trade_date").orderBy("value", "symbol")
-    return caps.where("value is not null").select(*KEYS, F.row_number().over(w).cast("double").alias("value"))
+def cap_rank(caps: DataFrame, wide: bool = False) -> DataFrame:
+    """Position by capitalisation, smallest first, ties by symbol."""
+    placed = section_position(caps.where("value is not null"), ["trade_date"], "value", "symbol", "rank_", wide=wide)
+    return placed.select(*KEYS, F.col("rank_").cast("double").alias("value"))
 
 
 def st_flags(stocks, changes, days) -> DataFrame:
@@ -131,12 +134,9 @@ def limit_heat() -> Node:
     return total(up, 20, 10)
 
 
-def drop_hottest(heat: DataFrame, pct: float = 0.2, minimum: int = 5) -> DataFrame:
+def drop_hottest(heat: DataFrame, pct: float = 0.2, minimum: int = 5, section_rows=None) -> DataFrame:
     """Drop the hottest share of each date unless too few names would remain."""
-    date = Window.partitionBy("trade_date")
-    rank = (F.rank().over(date.orderBy(F.asc_nulls_last("value"))) + (F.count(F.lit(1)).over(
-        Window.partitionBy("trade_date", "value")) - 1) / 2.0) / F.count("value").over(date)
-    keep = F.col("value").isNull() | (F.col("pct_") <= 1.0 - pct)
-    rows = heat.withColumn("pct_", F.when(F.col("value").isNotNull(), rank))
-    rows = rows.withColumn("left_", F.count_if(keep).over(date))
-    return rows.where(keep | (F.col("left_") < minimum)).select(*KEYS, "value")
+    value = field("value")
+    keep = flag(isnull(value) | (rank(value) <= 1.0 - pct))
+    rows = with_factors(heat, {"keep_": keep, "left_": xsum(keep)}, section_rows=section_rows)
+    return rows.where((F.col("keep_") > 0) | (F.col("left_") < minimum)).select(*KEYS, "value")

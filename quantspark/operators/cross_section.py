@@ -167,3 +167,23 @@ def attach_sections(df: DataFrame, requests) -> DataFrame:
         ranks = value_counts(base, part, value).select(*part, "v_", pct.alias(name))
         out = out.withColumn("v_", value).join(ranks, [*part, "v_"], "left").drop("v_")
     return out
+
+
+def section_position(df: DataFrame, part: list[str], value: str, tie: str, out: str, *,
+                     descending: bool = False, wide: bool = False) -> DataFrame:
+    """1-based position of each row in its section by (value, tie).
+
+    The wide form takes the rank of the value from ``value_counts`` and orders only rows
+    that share a value.
+    """
+    if not wide:
+        order = F.desc(value) if descending else F.asc(value)
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(order, tie)))
+    base = cut_lineage(df)
+    key = F.col(value).cast("double")
+    key = -key if descending else key
+    first = value_counts(base, part, key).select(*part, "v_", "first_")
+    among = Window.partitionBy(*part, "v_").orderBy(tie)
+    ranked = base.withColumn("v_", key).join(first, [*part, "v_"])
+    at = (F.col("first_") + F.row_number().over(among) - 1).cast("int")
+    return ranked.withColumn(out, at).drop("v_", "first_")

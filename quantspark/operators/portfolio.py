@@ -123,8 +123,9 @@ def equity_curve(snapshots: DataFrame, capital: float, spike: float = 5.0) -> Da
 
     A snapshot is unusable when it is not positive or beyond ``spike`` times the mean.
     """
-    mean = F.avg(F.when(F.col("equity") > 0, F.col("equity"))).over(Window.partitionBy("account"))
-    rows = snapshots.withColumn("mean_", mean).where((F.col("equity") > 0) & (F.col("equity") <= spike * F.col("mean_")))
+    mean = F.avg(F.when(F.col("equity") > 0, F.col("equity")))
+    means = snapshots.groupBy("account").agg(mean.alias("mean_"))
+    rows = snapshots.join(means, "account").where((F.col("equity") > 0) & (F.col("equity") <= spike * F.col("mean_")))
     w = path(["account"])
     rows = rows.withColumn("peak", F.max("equity").over(w))
     return rows.select(

@@ -175,4 +175,5 @@ factor("scf12_limit_up_heat", sc.limit_heat(), "panel_l", source=_HEAT,
  SELECT symbol, trade_date, value FROM k WHERE value IS NULL OR pct <= 0.8 OR left_ < 5""", value=3)
 def _(t):
     bars = t.panel_l.join(t.limits_l.select("symbol", "trade_date", "up_limit"), ["symbol", "trade_date"], "left")
-    return sc.drop_hottest(with_factors(bars, {"value": sc.limit_heat()}, section_rows=1).select("symbol", "trade_date", "value"))
+    return sc.drop_hottest(with_factors(bars, {"value": sc.limit_heat()}, section_rows=1).select("symbol", "trade_date", "value"),
+                           section_rows=t.section_rows_l)

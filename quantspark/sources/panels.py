@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantspark.factors.alpha101 import alpha_input
+from quantspark.operators.cross_section import section_position
 from quantspark.operators.joins import attach_filled, attach_metadata, attach_optional
 from quantspark.operators.panel import largest_section
 from quantspark.operators.statements import align_by_report_date, align_statements, quarterly
+from quantspark.session import DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS, int_conf
 
 
 def digits_plus_one(props: str = "props"):
@@ -257,15 +259,15 @@ class Tables:
     @cached_property
     def idx(self) -> DataFrame:
         """Monthly index membership: the top 60 % of symbols by volume."""
-        date = Window.partitionBy("trade_date")
-        ordered = date.orderBy(F.desc("volume"), "symbol")
+        bars = self.panel_m.select("symbol", "trade_date", "volume")
+        wide = self.section_rows_l > int_conf(self.spark, MAX_GROUP_ROWS, DEFAULT_MAX_GROUP_ROWS)
+        placed = section_position(bars, ["trade_date"], "volume", "symbol", "rn", descending=True, wide=wide)
+        totals = bars.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("all_"))
+        # one row per month
         return (
-            self.panel_m.select("symbol", "trade_date", "volume")
-            .withColumn("rn", F.row_number().over(ordered))
-            .withColumn("n", F.count(F.lit(1)).over(date))
-            .withColumn("weight", F.col("volume") / F.sum("volume").over(date))
+            placed.join(F.broadcast(totals), "trade_date")
             .where(F.col("rn") <= 0.6 * F.col("n"))
-            .select(F.lit("IDX").alias("index_symbol"), "trade_date", "symbol", "weight")
+            .select(F.lit("IDX").alias("index_symbol"), "trade_date", "symbol", (F.col("volume") / F.col("all_")).alias("weight"))
         )
 
     @cached_property
@@ -316,7 +318,9 @@ class Tables:
 
     @cached_property
     def section_rows_l(self) -> int:
-        return largest_section(self.panel_l.select("trade_date"), "trade_date")
+        """Largest daily or monthly section of the long panels."""
+        days = largest_section(self.panel_l.select("trade_date"), "trade_date")
+        return max(days, largest_section(self.panel_m.select("trade_date"), "trade_date"))
 
 
 #: the same inputs as SQL for the check tool
