@@ -2,14 +2,16 @@
 
 A symbol's trades can be a large part of the ledger, so nothing here needs all of one
 symbol's trades in one task: running quantities are prefix sums in two levels (inside a
-symbol-day, then over the days), and the average-cost recurrence is composed the same way.
+chunk, then over the chunks), and the average-cost recurrence is composed the same way.
+A chunk is a symbol's day; ``part`` splits days further where a single day is too big (any
+expression that never decreases along the day's order, such as a range of ``seq``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +22,14 @@ ORDER = ("seq", "quantity", "price")
 SHARE_BUCKET = 1000.0
 
 
-def prefix_sum(df: DataFrame, value: str, out: str, key: str = "symbol", chunk: str = "trade_date",
+CHUNK = "chunk_"
+
+
+def chunked(fills: DataFrame, part: Column | None = None) -> DataFrame:
+    return fills.withColumn(CHUNK, F.struct("trade_date", (F.lit(0) if part is None else part).alias("part")))
+
+
+def prefix_sum(df: DataFrame, value: str, out: str, key: str = "symbol", chunk: str = CHUNK,
                order: Sequence[str] = ORDER) -> DataFrame:
     """Running sum of ``value`` per key in (chunk, order) order, in two levels."""
     totals = df.groupBy(key, chunk).agg(F.sum(value).alias("t_"))
@@ -31,7 +40,7 @@ def prefix_sum(df: DataFrame, value: str, out: str, key: str = "symbol", chunk:
     return local.join(starts, [key, chunk]).withColumn(out, F.col("start_") + F.col("run_")).drop("start_", "run_")
 
 
-def fifo_realised(fills: DataFrame) -> DataFrame:
+def fifo_realised(fills: DataFrame, part: Column | None = None) -> DataFrame:
     """Realised profit per sell: sells meet buys on the cumulative-share axis, first in first out.
 
     Each fill occupies the interval [cum - quantity, cum); intervals are joined on share
@@ -39,7 +48,7 @@ def fifo_realised(fills: DataFrame) -> DataFrame:
     """
 
     def spans(side):
-        rows = prefix_sum(fills.where(F.col("side") == side), "quantity", "end_")
+        rows = prefix_sum(chunked(fills.where(F.col("side") == side), part), "quantity", "end_")
         rows = rows.withColumn("begin_", F.col("end_") - F.col("quantity"))
         last = F.greatest(F.floor(F.col("begin_") / SHARE_BUCKET), F.ceil(F.col("end_") / SHARE_BUCKET) - 1)
         return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("begin_") / SHARE_BUCKET), last)))
@@ -69,38 +78,38 @@ def fifo_realised(fills: DataFrame) -> DataFrame:
     )
 
 
-def held_before(fills: DataFrame) -> DataFrame:
+def held_before(fills: DataFrame, part: Column | None = None) -> DataFrame:
     """Quantity held before each fill when sells never go below zero.
 
     With S the running signed quantity, the clamped holding is S - min(0, min of S so far).
     """
-    signed = fills.withColumn("d_", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
-    inside = Window.partitionBy("symbol", "trade_date").orderBy(*ORDER)
+    signed = chunked(fills, part).withColumn("d_", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
+    inside = Window.partitionBy("symbol", CHUNK).orderBy(*ORDER)
     rows = signed.withColumn("run_", F.sum("d_").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("low_", F.min("run_").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    days = rows.groupBy("symbol", "trade_date").agg(F.sum("d_").alias("t_"), F.min("run_").alias("m_"))
-    before = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("symbol", CHUNK).agg(F.sum("d_").alias("t_"), F.min("run_").alias("m_"))
+    before = Window.partitionBy("symbol").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("start_", F.coalesce(F.sum("t_").over(before), F.lit(0.0)))
     days = days.withColumn("floor_", F.least(F.lit(0.0), F.min(F.col("start_") + F.col("m_")).over(before)))
-    j = rows.join(days.select("symbol", "trade_date", "start_", "floor_"), ["symbol", "trade_date"])
+    j = rows.join(days.select("symbol", CHUNK, "start_", "floor_"), ["symbol", CHUNK])
     lowest = F.least(F.lit(0.0), "floor_", F.col("start_") + F.col("low_"))
     at = F.col("start_") + F.col("run_") - F.col("d_")
     return j.withColumn("held", at - lowest).drop("d_", "run_", "low_", "start_", "floor_")
 
 
-def average_cost(fills: DataFrame) -> DataFrame:
+def average_cost(fills: DataFrame, part: Column | None = None) -> DataFrame:
     """Position, average cost, realised profit and cash flow per symbol.
 
     A buy maps the average cost a to a*h/(h+q) + value/(h+q), a sell leaves it. Such maps
-    compose, so each symbol-day is folded on its own to (alpha, beta) plus the terms of its
-    realised profit that are linear in the opening cost; a second fold runs over the days.
+    compose, so each chunk is folded on its own to (alpha, beta) plus the terms of its
+    realised profit that are linear in the opening cost; a second fold runs over the chunks.
     """
-    rows = held_before(fills)
+    rows = held_before(fills, part)
     buy = F.col("side") == "BUY"
     after = F.col("held") + F.col("quantity")
     sold = F.when(buy, 0.0).otherwise(F.least("held", "quantity"))
     rows = rows.select(
-        "symbol", "trade_date",
+        "symbol", CHUNK,
         F.struct(
             *ORDER,
             F.when(buy, F.col("held") / after).otherwise(1.0).alias("a"),
@@ -122,7 +131,7 @@ def average_cost(fills: DataFrame) -> DataFrame:
             (s["slope"] + o["sold"] * s["a"]).alias("slope"),
         )
 
-    days = rows.groupBy("symbol", "trade_date").agg(
+    days = rows.groupBy("symbol", CHUNK).agg(
         F.aggregate(F.array_sort(F.collect_list("o")), zero, day_step).alias("m"),
         F.sum("dq").alias("dq"), F.sum("dc").alias("dc"),
     )
@@ -134,7 +143,7 @@ def average_cost(fills: DataFrame) -> DataFrame:
             (s["realised"] + d["m"]["gain"] - d["m"]["slope"] * s["cost"]).alias("realised"),
         )
 
-    per_day = F.array_sort(F.collect_list(F.struct("trade_date", "m")))  # one entry per trading day
+    per_day = F.array_sort(F.collect_list(F.struct(CHUNK, "m")))  # one entry per chunk
     out = days.groupBy("symbol").agg(
         F.sum("dq").alias("quantity"), F.sum("dc").alias("cash_flow"),
         F.aggregate(per_day, start, life_step).alias("s"),

@@ -137,7 +137,16 @@ factor("ap13_pair_max_min", x.greatest(x.delay(VW, 3), CLOSE) - x.least(x.delay(
 #: alphas whose chained windows need a long history
 LONG = {7, 19, 24, 31, 32, 35, 36, 37, 39, 43, 48, 52, 57, 61, 62, 63, 64, 65, 68, 69, 70, 71, 72,
         74, 75, 76, 78, 79, 81, 82, 84, 85, 86, 87, 88, 89, 90, 91, 92, 93, 94, 95, 96, 97, 98, 99}
+#: alpha 84 raises a rank to a price change; prices in a large unit keep it in range
+_alpha_small = dict(
+    panel="panel_l",
+    bars=lambda t: t.alpha_l.withColumns({c: F.col(c) * 0.00001 for c in ("close", "vwap")}),
+    source="(SELECT * REPLACE (close * 0.00001 AS close, vwap * 0.00001 AS vwap) FROM alpha_l)",
+)
 for _name, _node in ALPHAS.items():
     _n = int(_name[-3:])
+    if _n == 84:
+        factor("al_084", _node, **_alpha_small)
+        continue
     _digits = 2 if _n == 53 else 6  # divides by EPS on days that close at the low
     factor(f"al_{_n:03d}", _node, digits=_digits, **(_alpha_long if _n in LONG else _alpha))

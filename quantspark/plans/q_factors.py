@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quantspark.factors.paper import PAPER_FACTORS
 from quantspark.factors.research import RESEARCH_FACTORS
 from quantspark.plans.registry import factor
@@ -19,6 +21,10 @@ for _i, (_name, _node) in enumerate(RESEARCH_FACTORS.items(), start=1):
 for _i, (_name, _node) in enumerate(PAPER_FACTORS.items(), start=1):
     if _name in _DENSE:
         factor(f"pff{_i:02d}_{_name}", _node)
+    elif _name.startswith("semibeta"):
+        # on a high price level the market has down days too
+        factor(f"pff{_i:02d}_{_name}", _node, "panel_l", source="(SELECT * REPLACE (close + 100000.0 AS close) FROM panel_l)",
+               bars=lambda t: t.panel_l.withColumn("close", F.col("close") + 100000.0))
     else:
         _digits = 3 if _name == "elasticity_amount_resilience_20d" else 6
         factor(f"pff{_i:02d}_{_name}", _node, "panel_l", digits=_digits,

@@ -255,13 +255,11 @@ def _(t):
     return t.posts.select("doc_id", F.array_join(tx.keywords(F.col("text"), F.array("lang"), _CAND), ",").alias("keywords"))
 
 
-@query("tx03_assembled_text", """SELECT conv_id, concat_ws(' ', nullif(min_by(role, turn), ''), nullif(min_by(text, turn), ''), nullif(string_agg(nullif(text, ''), ' ' ORDER BY turn), '')) AS body FROM conversations GROUP BY conv_id""")
+@query("tx03_assembled_text", """SELECT conv_id, turn, concat_ws(' ', nullif(role, ''), nullif(text, ''), nullif(replace(text, ' ', '_'), ''), CAST(turn AS VARCHAR)) AS body FROM conversations""")
 def _(t):
-    # turns of one conversation are its comments; a conversation is one document
-    c = t.raw("conversations").groupBy("conv_id").agg(
-        F.min_by("role", "turn").alias("title"), F.min_by("text", "turn").alias("content"),
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: F.struct(s["text"].alias("content"))).alias("c"))
-    return c.select("conv_id", tx.assembled_text(F.col("title"), F.col("content"), F.to_json("c")).alias("body"))
+    comment = lambda c: F.struct(c.alias("content"))
+    c = t.raw("conversations").withColumn("c", F.to_json(F.array(comment(F.replace("text", F.lit(" "), F.lit("_"))), comment(F.col("turn").cast("string")))))
+    return c.select("conv_id", "turn", tx.assembled_text(F.col("role"), F.col("text"), F.col("c")).alias("body"))
 
 
 _STRIP = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantspark.operators import ledger as ld
 
@@ -23,8 +24,13 @@ def trades(seed, n=300):
 SCHEMA = "symbol string, seq long, trade_date date, side string, quantity double, price double, order_value double"
 
 
+def parts():
+    return [None, F.floor(F.col("seq") / 7)]
+
+
+@pytest.mark.parametrize("part", [0, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_average_cost(spark, seed):
+def test_average_cost(spark, seed, part):
     rows = trades(seed)
     want = {}
     for symbol in "AB":
@@ -42,7 +48,7 @@ def test_average_cost(spark, seed):
                 held -= sold
                 cash += round(sold * price, 2)
         want[symbol] = (held, cost if held > 1e-6 else None, gain, cash)
-    for r in ld.average_cost(spark.createDataFrame(rows, SCHEMA)).collect():
+    for r in ld.average_cost(spark.createDataFrame(rows, SCHEMA), parts()[part]).collect():
         held, cost, gain, cash = want[r.symbol]
         assert r.quantity == pytest.approx(held)
         assert r.avg_cost == (pytest.approx(cost) if cost is not None else None)
@@ -71,7 +77,7 @@ def test_fifo(spark, seed, monkeypatch):
                     lots.pop(0)
             if matched:
                 want[(symbol, seq)] = (matched, gain)
-    got = {(r.symbol, r.seq): (r.matched, r.realised) for r in ld.fifo_realised(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {(r.symbol, r.seq): (r.matched, r.realised) for r in ld.fifo_realised(spark.createDataFrame(rows, SCHEMA), parts()[seed % 2]).collect()}
     assert got.keys() == want.keys()
     for k, (matched, gain) in want.items():
         assert got[k][0] == pytest.approx(matched)
