@@ -19,7 +19,7 @@ from quantspark.factors.bars import VOLUME as v
 from quantspark.functions.expr import (
     Node, argmax, argmin, corr, cov, decay_linear, delay, delta, demean, field, flag, greatest,
     isnull, least, log, mean, product, rank, rmax, rmin, scale, sign, stdev, total, ts_rank,
-    where, wrap,
+    where,
 )
 
 EPS = 1e-8

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quantspark.factors.bars import AMOUNT, CLOSE, HIGH, LOW, OPEN, RET
 from quantspark.functions.expr import (
-    Node, coalesce, delay, delta, first_value, flag, greatest, mean, slope, stdev_pop, total, where,
+    Node, coalesce, delay, delta, first_value, greatest, mean, slope, stdev_pop, total, where,
 )
 from quantspark.operators.joins import asof_join
 from quantspark.operators.rowwise import sdiv

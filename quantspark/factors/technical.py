@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from quantspark.factors.bars import CLOSE, HIGH, LOW, VOLUME
 from quantspark.functions.expr import (
-    Node, argmax, argmin, coalesce, cumulative, delay, delta, ema, flag, greatest, isnull, mean,
-    mean_abs_dev, pct, rmax, rmin, sign, stdev, total, where, wrap,
+    Node, argmax, argmin, coalesce, cumulative, delay, delta, ema, greatest, isnull, mean,
+    mean_abs_dev, pct, rmax, rmin, sign, stdev, total, where,
 )
 
 

@@ -323,11 +323,11 @@ def residual(y, x, by=()):
     return where(enough, fitted, spare)
 
 
-def bucket(x, groups):
+def bucket(x, groups, by=()):
     """Quantile bucket 0..groups-1 (equal to qcut when the edges are distinct)."""
     label = wrap(0.0)
     for i in range(1, groups):
-        label = label + where(wrap(x) > xquantile(x, i / groups), 1.0, 0.0)
+        label = label + where(wrap(x) > xquantile(x, i / groups, by), 1.0, 0.0)
     return where(isnull(x), None, label)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantspark.functions.expr import Node, bucket, field, isnull, lead, rank, where, wrap, xcount, xmax, xmin
+from quantspark.functions.expr import Node, bucket, field, lead, rank, where, xcount
 from quantspark.operators.panel import with_factors
 from quantspark.operators.rowwise import sdiv
 
@@ -78,12 +78,7 @@ def labelled(df: DataFrame, groups: int, by=(), min_names=None, section_rows=Non
     """Quantile label 0..groups-1 per date section; NULL where the section is too small."""
     x = field("x")
     need = float(min_names if min_names is not None else groups * 2)
-    label = wrap(0.0)
-    from quantspark.functions.expr import xquantile
-
-    for i in range(1, groups):
-        label = label + where(x > xquantile(x, i / groups, by), 1.0, 0.0)
-    label = where(isnull(x) | (xcount(x, by=by) < need), None, label)
+    label = where(xcount(x, by=by) >= need, bucket(x, groups, by), None)
     return with_factors(df, {"g": label}, section_rows=section_rows)
 
 

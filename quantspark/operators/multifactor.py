@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantspark.functions.expr import (
-    Node, coalesce, demean, field, isnull, notnull, rank, residual, where, wrap, xcount,
+    Node, coalesce, demean, field, isnull, notnull, rank, where, wrap, xcount,
     xintercept, xmax, xmin, xslope, xstdp, zscore_pop,
 )
 from quantspark.operators.panel import with_factors

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -148,7 +148,7 @@ def position_table(positions: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def walk_forward(first: Column, last: Column, train: int, test: int, calendar: DataFrame) -> DataFrame:
+def walk_forward(train: int, test: int, calendar: DataFrame) -> DataFrame:
     """(window, train_start, train_end, test_end) day numbers over the calendar."""
     n = calendar.agg(F.count(F.lit(1)).alias("n"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - (train + test), F.lit(0)), F.lit(test))

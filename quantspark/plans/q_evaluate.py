@@ -473,5 +473,5 @@ def _(t):
 
 @query("pm08_walk_forward", "SELECT CAST(w AS INTEGER) AS window, CAST(w * 60 AS INTEGER) AS train_start, CAST(w * 60 + 249 AS INTEGER) AS train_end, CAST(w * 60 + 309 AS INTEGER) AS test_end FROM (SELECT unnest(range(0, ((SELECT count(DISTINCT trade_date) FROM panel_l) - 310) // 60 + 1)) AS w)")
 def _(t):
-    out = pm.walk_forward(None, None, 250, 60, t.panel_l.select("trade_date").distinct())
+    out = pm.walk_forward(250, 60, t.panel_l.select("trade_date").distinct())
     return out.select("window", F.col("train_start").cast("int"), F.col("train_end").cast("int"), F.col("test_end").cast("int"))

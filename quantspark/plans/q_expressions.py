@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantspark.factors import technical as ta
 from quantspark.factors.alpha101 import ALPHAS
 from quantspark.factors.bars import AMOUNT, CLOSE, HIGH, LOW, OPEN, RET, VOLUME
+from quantspark.factors.paper import leg_spread
 from quantspark.functions import expr as x
 from quantspark.plans.registry import factor
 
@@ -76,15 +77,6 @@ factor("cs11_residual", x.residual(AMOUNT, CLOSE), digits=4)
 factor("cs12_scale", x.scale(CLOSE - OPEN))
 
 
-def leg_spread(a, b, r, q=0.8):
-    """Mean return of the top fifth by a minus that by b (at least three names each)."""
-    in_a, in_b = x.where(x.isnull(r), None, a), x.where(x.isnull(r), None, b)
-    top_a = x.xmean(x.where(in_a >= x.xquantile(in_a, q), r, None))
-    top_b = x.xmean(x.where(in_b >= x.xquantile(in_b, q), r, None))
-    ok = (x.xcount(in_a) >= 3.0) & (x.xcount(in_b) >= 3.0)
-    return x.where(ok, top_a - top_b, None)
-
-
 factor("cs13_style_leg_spread", leg_spread(VOLUME, AMOUNT, RET), "panel_l")
 factor("cs14_market_return", x.xmean(RET))
 factor("cs15_qcut", x.bucket(CLOSE, 5))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quantspark.factors import intraday as intra
 from quantspark.factors import smallcap as sc
-from quantspark.functions import expr as x
 from quantspark.operators.panel import with_factors
 from quantspark.plans.q_filters import CHANGES, STOCKS, changes, stocks
 from quantspark.plans.oracle import factor_sql
