@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.common import lists, pieces, staged, texts_of
 from quantspark.llm.components import components
+from quantspark.llm.hashing import mixed, stretch_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -32,41 +33,18 @@ SAMPLED = 5
 SPAN_WORDS = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.default_rng(5)
 _XORS = _rng.integers(0, 1 << 63, ROUNDS, dtype=np.uint64)
 _ODDS = _rng.integers(0, 1 << 63, ROUNDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Scatters 64-bit numbers (a fixed, invertible function)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse up to n."""
-    if len(_powers[0]) <= n:
-        for i, b in enumerate((_BASE, _BACK)):
-            p = np.full(2 * n + 1, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
 
 
 def span_hashes(words: list[str]) -> np.ndarray:
     """Hashes of all shingles of the words, from sums over the letters of the joined text."""
     raw = np.frombuffer(" ".join(words).encode("utf-8"), np.uint8)
-    up, down = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     gaps = np.flatnonzero(raw == 32)
     begin, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
     k = min(SHINGLE_WORDS, len(begin))
-    begin, end = begin[: len(begin) - k + 1], end[k - 1 :]
-    return mixed((sums[end] - sums[begin]) * down[begin])
+    return mixed(stretch_hashes(raw, begin[: len(begin) - k + 1], end[k - 1 :]))
 
 
 def shingles(text: str) -> np.ndarray:
