@@ -31,6 +31,8 @@ ROUNDS = 24
 SAMPLED = 5
 #: words hashed at once of a long text
 SPAN_WORDS = 1 << 17
+#: classes of shingles, a power of two, by which the greatest possible overlap is bounded
+CLASSES = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(5)
@@ -154,11 +156,59 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shared_counts(texts: DataFrame) -> DataFrame:
+    """``node, reach``: how many of a text's labelled shingles some other of ``texts`` has, by CLASSES classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in pieces(batches, "text"):
+                found = [shingles(t) for t in texts_of(batch, "text")]
+                flat = np.concatenate(found).view(np.int64)
+                by_class = np.concatenate([np.bincount(h % np.uint64(CLASSES), minlength=CLASSES) for h in found])
+                cols = [batch.column(0), lists(flat, list(map(len, found))), lists(by_class, [CLASSES] * len(found))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "found", "counts"])
+
+    rows = staged(texts.select("node", "text").mapInArrow(run, "node long, found array<long>, counts array<long>"))
+    once = rows.select("node", F.explode("found").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node")).where(F.col("texts") == 1)
+    alone = once.groupBy("node", F.col("h").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    alone = alone.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("alone"))
+    left = F.transform("counts", lambda c, i: c - F.coalesce(F.col("alone")[i.cast("long")], F.lit(0)))
+    return rows.drop("found").join(alone, "node", "left").select("node", left.alias("reach"))
+
+
 def fits(n: Column, m: Column) -> Column:
     """Lengths that similar texts can have."""
     return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
 
 
+def in_order(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def still_open(inside: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members are of several components, with ``root`` and ``main``, the largest one."""
+    roots = components(links, "a", "b")
+    placed = staged(inside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parts = placed.groupBy("round", "value", "root").agg(F.count(F.lit(1)).alias("k"))
+    split = parts.groupBy("round", "value").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "root")).alias("m")).where(F.col("parts") > 1)
+    return staged(placed.join(split.select("round", "value", F.col("m.root").alias("main")), ["round", "value"]))
+
+
+def across(rows: DataFrame, others: DataFrame, counts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Untried ``a, b`` pairs of ``rows`` and ``others`` in one bucket, of different components, that can be similar.
+
+    Two texts align at most, class by class, the fewer of the shingles that each shares with any
+    other text; most texts with edits of their own drop out by that.
+    """
+    of = rows.join(counts, "node")
+    names = {"node": "a", "n": "an", "root": "aroot", "reach": "areach"}
+    to = of.join(others.select("round", "value", "node"), ["round", "value", "node"], "left_semi").select("round", "value", *[F.col(k).alias(v) for k, v in names.items()])
+    most = F.aggregate(F.zip_with("reach", "areach", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    enough = most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("an")) - 1e-6
+    pairs = of.join(to, ["round", "value"]).where((F.col("root") != F.col("aroot")) & fits(F.col("n"), F.col("an")) & enough)
+    return staged(pairs.select(*in_order("a", "node")).distinct().join(tried, ["a", "b"], "left_anti"))
+
+
 def similar_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, links): distinct texts ``text_key, node``, and verified ``a, b`` links between them."""
     every = sketches(docs, text_col).groupBy("text_key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -182,28 +232,19 @@ def similar_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, D
     needed = nodes.select("text_key", "node").join(inside.select("node").distinct(), "node", "left_semi")
     one_each = docs.select(key_of(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
     texts = staged(one_each.join(needed, "text_key").select("node", "text"))
-    first = staged(verified(pairs, texts))
-
-    roots = components(first, "a", "b")
-    placed = staged(inside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("round", "value", "node", "n", "root"))
-    parts = placed.groupBy("round", "value", "root").agg(F.count(F.lit(1)).alias("k"))
-    split = (
-        parts.groupBy("round", "value")
-        .agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "root")).alias("m"))
-        .where(F.col("parts") > 1)
-        .select("round", "value", F.col("m.root").alias("main"))
-    )
-    open_rows = placed.join(split, ["round", "value"])
-    minor = open_rows.where(F.col("root") != F.col("main")).select("round", "value", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
-    across = (
-        open_rows.join(minor, ["round", "value"])
-        .where((F.col("root") != F.col("aroot")) & fits(F.col("n"), F.col("an")))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        .distinct()
-    )
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verified(across.join(tried, ["a", "b"], "left_anti"), texts)
-    links = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(second)
+    links = staged(verified(pairs, texts).select(*in_order("a", "b")))
+    tried = staged(pairs.select(*in_order("a", "b")).distinct())
+
+    open_rows = still_open(inside.join(shared, "node"), links)
+    counts = staged(shared_counts(texts.join(open_rows.select("node").distinct(), "node", "left_semi")))
+    # a second centre for what the first one left, then every pair across components
+    seconds = open_rows.where(F.col("root") != F.col("main")).groupBy("round", "value")
+    seconds = seconds.agg(F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("c")).select("round", "value", (-F.col("c.minus")).alias("node"))
+    more = across(open_rows, open_rows.join(seconds, ["round", "value", "node"], "left_semi"), counts, tried)
+    links, tried = staged(links.union(verified(more, texts))), staged(tried.union(more))
+    open_rows = still_open(inside.join(shared, "node"), links)
+    more = across(open_rows, open_rows.where(F.col("root") != F.col("main")), counts, tried)
+    links = links.union(verified(more, texts))
     return nodes.select("text_key", "node"), staged(links.distinct())
 
 
