@@ -17,6 +17,8 @@ from quantspark.llm.common import staged
 ROUNDS = 3
 #: a text with more copies than a shard's share over this is linked through several hubs
 HUBS_PER_SHARD = 8
+#: copies that one hub links in any case, as far as a shard holds them
+LEAST_HUB = 32
 #: rows that one window numbers, on average
 BUCKET_ROWS = 4_000
 LEAST_BUCKETS = 128
@@ -43,7 +45,7 @@ def linked_rows(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tup
         )
     )
     n = rows.count()
-    most = max(1, n // (shards * HUBS_PER_SHARD))
+    most = max(1, n // (shards * HUBS_PER_SHARD), min(-(-n // shards), LEAST_HUB))
     copies = staged(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1))
     hot = copies.where(F.col("copies") > most).select("text_key", F.ceil(F.col("copies") / most).alias("hubs"))
     usual = copies.where(F.col("copies") <= most).select("text_key", F.lit(True).alias("linked"))

@@ -33,6 +33,8 @@ SPAN = 1 << 19
 SHARD_SEGMENTS = 16_384
 ARRAY_BYTES = 2 << 20
 SHARD_TEXT = 8 << 20
+#: anchors with more runs than text bytes over this are joined by broadcast: fewer than this many
+HOT_ANCHORS = 100_000
 #: symbols of nine bits that the first sort looks at
 FIRST = 7
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -313,7 +315,11 @@ def repeated_spans(docs: DataFrame, total: int, text_col: str = "text") -> DataF
     texts = distinct_texts(docs, text_col)
     runs = with_anchors(texts)
     often = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    places = runs.join(often, "h").groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "n", "place")).alias("places"))
+    # no more than HOT_ANCHORS anchors can have so many of the windows' runs, so these are broadcast
+    hot = F.col("n") > total // HOT_ANCHORS
+    frequent = F.broadcast(often.where(hot))
+    usual = runs.join(frequent.select("h"), "h", "left_anti").join(often.where(~hot), "h")
+    places = usual.unionByName(runs.join(frequent, "h")).groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "n", "place")).alias("places"))
     cut = staged(with_segments(texts.join(places, ["t1", "t2"])))
     shards = max(1, total // SHARD_TEXT)
     once = cut.groupBy("h", "k1", "k2").agg(
