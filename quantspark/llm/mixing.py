@@ -85,13 +85,15 @@ def packed(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def drawn(sources: DataFrame) -> DataFrame:
-    """Adds ``blocks``, full ``passes`` and ``rest``, the blocks of the last, partial pass."""
-    full = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
+    """Adds ``full`` blocks, the words of the ``tail`` block, full ``passes``, and of the last, partial
+    pass ``rest``, its full blocks, and ``tail_too``, whether it takes the tail."""
     left = F.col("target") - F.col("passes") * F.col("source_size")
     return (
-        sources.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
-        .withColumn("passes", full)
-        .withColumn("rest", F.least(F.round(left / BLOCK_WORDS).cast("long"), F.col("blocks")))
+        sources.withColumn("full", F.floor(F.col("source_size") / BLOCK_WORDS))
+        .withColumn("tail", F.col("source_size") % BLOCK_WORDS)
+        .withColumn("passes", F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
+        .withColumn("rest", F.least(F.round(left / BLOCK_WORDS).cast("long"), F.col("full")))
+        .withColumn("tail_too", left - F.col("rest") * BLOCK_WORDS >= F.greatest(F.col("tail"), F.lit(1)) / 2)
     )
 
 
@@ -120,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     documents = staged(packed(rows, id_col).join(F.broadcast(sources), "source_key"))
     first, last = F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS)
     parts = documents.where(F.col("size") > 0).select(
-        "source_key", "start", "size", "blocks", "passes", "rest", F.explode(F.sequence(first, last)).alias("block")
+        "source_key", "start", "size", "full", "passes", "rest", "tail_too", F.explode(F.sequence(first, last)).alias("block")
     )
     begin = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
@@ -128,14 +130,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     # the slots of a source: as many per pass as it has blocks, numbered by whoever begins a block
     slots = (
         parts.where(F.col("start") + F.col("skip") == F.col("block") * BLOCK_WORDS)
-        .select("source_key", "blocks", "passes", "rest", F.col("block").alias("slot"))
+        .select("source_key", "full", "passes", "rest", "tail_too", F.col("block").alias("slot"))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-        .where((F.col("epoch") < F.col("passes")) | (F.col("slot") < F.col("rest")))
+        .where((F.col("epoch") < F.col("passes")) | (F.col("slot") < F.col("rest")) | ((F.col("slot") == F.col("full")) & F.col("tail_too")))
         .select(
             "source_key",
             "epoch",
             F.pmod(F.xxhash64("source_key", "epoch", "slot"), F.lit(SHARDS)).cast("int").alias("shard"),
-            permuted(F.col("slot"), F.col("blocks"), F.col("source_key"), F.col("epoch")).alias("block"),
+            F.when(F.col("slot") < F.col("full"), permuted(F.col("slot"), F.col("full"), F.col("source_key"), F.col("epoch")))
+            .otherwise(F.col("slot"))  # the tail, shorter than a block, stands for itself
+            .alias("block"),
         )
     )
     found = slots.join(parts.select("source_key", "block", "start", "skip", "words"), ["source_key", "block"])
