@@ -42,10 +42,11 @@ def normal_label(label: Column, score: Column) -> Column:
     return out.otherwise(F.coalesce(label_of(score), F.lit("neutral")))
 
 
-def keywords(text: Column, codes: Column, candidates: Sequence[str], limit: int = 12) -> Column:
-    """Candidate terms present in the text, then the codes, the first ``limit`` of them."""
+def keywords(text: Column, codes: Column, candidates: Sequence[str], limit: int | None = None) -> Column:
+    """Candidate terms present in the text, then the codes; the first ``limit`` of them if given."""
     present = F.filter(F.array(*map(F.lit, candidates)), lambda t: text.contains(t))
-    return F.slice(F.array_union(present, codes), 1, limit)
+    every = F.array_union(present, codes)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 def assembled_text(title: Column, content: Column, comments_json: Column) -> Column:

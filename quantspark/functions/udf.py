@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantspark.functions import expr
 from quantspark.functions.expr import Node
-from quantspark.operators.panel import largest_section
-from quantspark.session import DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS, int_conf
 
 REQUIRED = ("symbol", "trade_date", "value")
 
@@ -39,18 +37,16 @@ def run_python_factor(panel: DataFrame, compute: Callable[[pd.DataFrame, dict],
     )
 
 
-def score_sections(frame: DataFrame, score: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """``score(section)`` per date. The largest date is measured first, as a section is one group."""
-    limit = int_conf(frame.sparkSession, MAX_GROUP_ROWS, DEFAULT_MAX_GROUP_ROWS)
-    if largest_section(frame, "trade_date") > limit:
-        raise ValueError("a date section exceeds quantspark.maxGroupRows; use score_rows")
-    kind = frame.schema["symbol"].dataType.simpleString()
-
-    def run(section: pd.DataFrame) -> pd.DataFrame:
-        values = pd.Series(score(section), index=section.index, dtype="float64")
-        return pd.DataFrame({"symbol": section["symbol"], "trade_date": section["trade_date"], "score": values})
+def score_sections(frame: DataFrame, score: Callable[[pd.DataFrame], pd.Series], of_date: dict[str, Column] | None = None) -> DataFrame:
+    """A scorer that needs figures of the whole date: ``of_date`` names aggregates over it.
 
-    return frame.groupBy("trade_date").applyInPandas(run, f"symbol {kind}, trade_date date, score double")
+    They are summed per date first and reach the scorer as columns, so it runs on Arrow batches
+    and a date may have any number of rows.
+    """
+    if of_date:
+        per_date = frame.groupBy("trade_date").agg(*[c.alias(n) for n, c in of_date.items()])
+        frame = frame.join(F.broadcast(per_date), "trade_date")  # one row per trading day
+    return score_rows(frame, score)
 
 
 def score_rows(frame: DataFrame, score: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:

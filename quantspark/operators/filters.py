@@ -91,23 +91,28 @@ def preview(df: DataFrame, page=1, size=50, order=(), rules=(), include_total=Fa
     return rows, offset + shown + (1 if shown == size else 0)
 
 
-def distinct_values(df, column: str, contains: str = "", limit: int = 100) -> DataFrame:
+def first(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of an ordered result; all of them without a limit."""
+    return df if limit is None else df.limit(limit)
+
+
+def distinct_values(df, column: str, contains: str = "", limit: int | None = None) -> DataFrame:
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
     if contains:
         values = values.where(F.col("value").cast("string").contains(contains))
-    return values.orderBy("value").limit(limit)
+    return first(values.orderBy("value"), limit)
 
 
-def read_only_sql(spark, sql: str, limit: int = 1000) -> DataFrame:
-    """A single SELECT/WITH statement, capped at ``limit`` rows (the explorer's page)."""
+def read_only_sql(spark, sql: str, limit: int | None = None) -> DataFrame:
+    """A single SELECT/WITH statement; ``limit`` is the explorer's page."""
     words = sql.strip().rstrip(";").strip()
     if words.split(None, 1)[0].lower() not in ("select", "with") or ";" in words:
         raise ValueError("only one SELECT statement is allowed")
-    return spark.sql(words).limit(limit)
+    return first(spark.sql(words), limit)
 
 
 def screen_fundamentals(df, *, industries=None, exclude_st=False, min_mv=None, max_mv=None,
-                        min_pe=None, max_pe=None, min_roe=None, limit=50):
+                        min_pe=None, max_pe=None, min_roe=None, limit=None):
     """(top rows by market value, total); ``max_pe`` keeps rows without a PE."""
     if industries:
         df = df.where(F.col("industry").isin(list(industries)))
@@ -124,7 +129,7 @@ def screen_fundamentals(df, *, industries=None, exclude_st=False, min_mv=None, m
     if min_roe is not None:
         df = df.where(F.col("roe") >= min_roe)
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return df.orderBy(F.desc_nulls_last("total_mv"), "symbol").limit(limit), total
+    return first(df.orderBy(F.desc_nulls_last("total_mv"), "symbol"), limit), total
 
 
 def widen(store: DataFrame, names: Sequence[str], keys=("symbol", "trade_date")) -> DataFrame:
@@ -132,12 +137,12 @@ def widen(store: DataFrame, names: Sequence[str], keys=("symbol", "trade_date"))
     return store.groupBy(*keys).pivot("factor_name", list(names)).agg(F.max("value"))
 
 
-def screen_indicators(store, filters: Sequence[Mapping], day, sort_by, ascending=False, limit=50):
+def screen_indicators(store, filters: Sequence[Mapping], day, sort_by, ascending=False, limit=None):
     names = sorted({f["name"] for f in filters} | {sort_by})
     wide = widen(store.where(F.col("trade_date") == day), names, ("symbol",))
     rules = [{"column": f["name"], "op": f["op"], "value": f["value"]} for f in filters]
     order = F.asc_nulls_last(sort_by) if ascending else F.desc_nulls_last(sort_by)
-    return apply_filters(wide, rules).orderBy(order, "symbol").limit(limit)
+    return first(apply_filters(wide, rules).orderBy(order, "symbol"), limit)
 
 
 def search_stocks(df, search=None, industry=None, is_st=None, watchlist=None, page=1, size=20):

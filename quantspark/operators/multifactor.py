@@ -137,14 +137,18 @@ def order_deltas(targets: DataFrame, positions: DataFrame, prices: DataFrame, po
     return rows.withColumn("side", side).orderBy(F.when(F.col("delta") < 0, 0).otherwise(1), "symbol")
 
 
-def admit_buys(orders: DataFrame, cash: float, buffer: float = 0.02, max_orders: int = 100) -> DataFrame:
+def admit_buys(orders: DataFrame, cash: float, buffer: float = 0.02, max_orders: int | None = None) -> DataFrame:
     """Greedy, rank-ordered admission of buys under a cash limit, per date.
 
-    Greedy admission is sequential; only the ``max_orders`` best orders of a date (the
-    strategy's position limit) can ever be considered, which bounds the folded array.
+    Greedy admission is sequential. Every order comes back; with ``max_orders``, the strategy's
+    position limit, orders ranked beyond it are not accepted. Orders that cost more than the cash
+    are left out of the fold, since they can never be accepted.
     """
-    w = Window.partitionBy("trade_date").orderBy("rank", "symbol")
-    few = orders.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_orders)
+    few = orders
+    if max_orders is not None:
+        w = Window.partitionBy("trade_date").orderBy("rank", "symbol")
+        few = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_orders)
+    few = few.where(F.col("cost") <= cash * (1.0 - buffer))
     arr = F.array_sort(F.collect_list(F.struct("rank", "symbol", "cost")))
     start = F.struct(F.lit(cash * (1.0 - buffer)).alias("left"), F.array().cast("array<string>").alias("ok"))
 
@@ -157,6 +161,6 @@ def admit_buys(orders: DataFrame, cash: float, buffer: float = 0.02, max_orders:
 
     folded = few.groupBy("trade_date").agg(F.aggregate(arr, start, step).alias("s"))
     accepted = folded.select("trade_date", F.explode("s.ok").alias("symbol_text"))
-    j = few.withColumn("symbol_text", F.col("symbol").cast("string")).join(
+    j = orders.withColumn("symbol_text", F.col("symbol").cast("string")).join(
         accepted.withColumn("accepted", F.lit(True)), ["trade_date", "symbol_text"], "left")
     return j.select("trade_date", "symbol", "rank", "cost", F.coalesce("accepted", F.lit(False)).alias("accepted"))

@@ -68,7 +68,7 @@ def _(t):
 
 @query("pf05_distinct_values", "SELECT DISTINCT p_brand AS value FROM part WHERE contains(p_brand, '3') ORDER BY 1 LIMIT 100")
 def _(t):
-    return pf.distinct_values(t.raw("part"), "p_brand", "3")
+    return pf.distinct_values(t.raw("part"), "p_brand", "3", limit=100)
 
 
 @query("pf06_read_only_sql", "SELECT symbol, count(*) AS bars FROM panel_d GROUP BY symbol ORDER BY bars DESC, symbol LIMIT 25")
@@ -98,14 +98,14 @@ def _(t):
  WHERE close_level >= 20 AND volume_level < 200 ORDER BY volume_level DESC NULLS LAST, symbol LIMIT 50""", close_level=6, volume_level=6)
 def _(t):
     return pf.screen_indicators(latest(t.store), [{"name": "close_level", "op": ">=", "value": 20}, {"name": "volume_level", "op": "<", "value": 200}],
-                                DAY, "volume_level")
+                                DAY, "volume_level", limit=50)
 
 
 @query("pf09_expression_screen", """SELECT symbol FROM (SELECT symbol, trade_date, close > open AND volume > avg(volume) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 4 PRECEDING) AS hit
- FROM panel_d) WHERE hit AND trade_date = DATE '2024-01-10' ORDER BY symbol LIMIT 100""")
+ FROM panel_d) WHERE hit AND trade_date = DATE '2024-01-10' ORDER BY symbol""")
 def _(t):
     out = with_factors(t.panel_d, {"hit": (CLOSE > OPEN) & (VOLUME > x.mean(VOLUME, 5, 1))})
-    return out.where((F.col("trade_date") == DAY) & F.col("hit")).select("symbol").orderBy("symbol").limit(100)
+    return out.where((F.col("trade_date") == DAY) & F.col("hit")).select("symbol").orderBy("symbol")
 
 
 @query("pf10_stock_search", f"""SELECT symbol, name, industry FROM ({STOCKS}) WHERE (CAST(symbol AS VARCHAR) LIKE '%1%' OR name LIKE '%1%') AND is_st = 0

@@ -252,7 +252,7 @@ _CAND = ["over", "ation", "zzzz", "eau", "und"]
 
 @query("tx02_keywords", f"""SELECT doc_id, array_to_string(list_concat(list_filter({_CAND!r}, lambda k: contains(text, k)), list_distinct(CASE WHEN list_contains({_CAND!r}, lang) AND contains(text, lang) THEN [] ELSE [lang] END))[1:12], ',') AS keywords FROM posts""")
 def _(t):
-    return t.posts.select("doc_id", F.array_join(tx.keywords(F.col("text"), F.array("lang"), _CAND), ",").alias("keywords"))
+    return t.posts.select("doc_id", F.array_join(tx.keywords(F.col("text"), F.array("lang"), _CAND, 12), ",").alias("keywords"))
 
 
 @query("tx03_assembled_text", """SELECT conv_id, turn, concat_ws(' ', nullif(role, ''), nullif(text, ''), nullif(replace(text, ' ', '_'), ''), CAST(turn AS VARCHAR)) AS body FROM conversations""")

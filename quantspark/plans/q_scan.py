@@ -30,10 +30,11 @@ def _(t):
     return scan.load_daily(t.panel_l, None, LA, LB, ["close", "volume"])
 
 
-@query("sc02_load_minute", """SELECT symbol, trade_date, minute_of_day, close, volume FROM bars_m
+@query("sc02_load_minute", """SELECT symbol, trade_date, minute_of_day, CASE WHEN minute_of_day = 630 AND dayofmonth(trade_date) % 2 = 0 THEN close + 1 ELSE close END AS close, volume FROM bars_m
  WHERE trade_date >= DATE '2024-01-05' AND trade_date < DATE '2024-01-20' AND minute_of_day IN (570, 630, 840)""", close=6)
 def _(t):
-    timers = t.bars_m.where(F.col("minute_of_day") < 0)  # an empty sparse table: falls back
+    # a partial sparse table with closes of its own: the full table fills in what it lacks
+    timers = t.bars_m.where((F.col("minute_of_day") == 630) & (F.dayofmonth("trade_date") % 2 == 0)).withColumn("close", F.col("close") + 1)
     return scan.load_minute(t.bars_m, None, A, B, ["09:30", "10:30", "14:00"], sparse=timers).select(
         "symbol", "trade_date", "minute_of_day", "close", "volume")
 
@@ -187,7 +188,12 @@ def _(t):
 
 
 
-@query("sc21_list_datasets")
+_BOUNDS = " UNION ALL ".join(
+    f"""SELECT '{n}' AS dataset, '{label}' AS label, '{kind}' AS category, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {n})) AS n_columns,
+ count(*) AS row_count, min({day}) AS min_date, max({day}) AS max_date FROM {n}""" for n, (label, kind, day, _) in scan.CATALOG.items())
+
+
+@query("sc21_list_datasets", _BOUNDS)
 def _(t):
     return reduce(lambda a, b: a.unionByName(b), [scan.dataset_bounds(n, getattr(t, n)) for n in scan.CATALOG])
 

@@ -102,7 +102,7 @@ def _(t):
 
 @query("u02_model_scorer", "SELECT symbol, trade_date, 0.7 * close - 0.1 * volume - avg(close) OVER (PARTITION BY trade_date) AS score FROM panel_d", score=6)
 def _(t):
-    return udf.score_sections(t.panel_d.select("symbol", "trade_date", "close", "volume"), lambda s: 0.7 * s["close"] - 0.1 * s["volume"] - s["close"].mean())
+    return udf.score_sections(t.panel_d.select("symbol", "trade_date", "close", "volume"), lambda s: 0.7 * s["close"] - 0.1 * s["volume"] - s["mean_close"], {"mean_close": F.avg("close")})
 
 
 @query("u02_row_scorer", "SELECT symbol, trade_date, 0.7 * close - 0.1 * volume AS score FROM panel_d", score=6)

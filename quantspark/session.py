@@ -16,8 +16,11 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the local bench; a cluster supplies its own."""
+    builder = SparkSession.builder.master(master)
+    if master.startswith("local") and not master.startswith("local-cluster"):  # one machine: any folder is shared
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quantspark-ckpt-"))
     spark = (
-        SparkSession.builder.master(master)
+        builder
         .appName("quantspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -37,11 +40,13 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where the session names none (tests).
+    A session that names none gets a folder of our own only where one machine runs everything.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quantspark-ckpt-"))
     return df.checkpoint(eager=True)
 

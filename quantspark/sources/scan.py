@@ -48,7 +48,8 @@ def minute_of(hhmm: str) -> int:
 
 
 def load_minute(full, symbols, start, end, timer_times=None, sparse=None) -> DataFrame:
-    """Minute bars in [start, end); timer times are read from the sparse table when it has rows."""
+    """Minute bars in [start, end). For timer times, the sparse table's rows come first, then the
+    full table's rows whose (symbol, day, minute) it lacks."""
 
     def read(df):
         df = _selected(df, symbols)
@@ -58,9 +59,9 @@ def load_minute(full, symbols, start, end, timer_times=None, sparse=None) -> Dat
         return df
 
     if sparse is not None and timer_times:
+        keys = ["symbol", "trade_date", "minute_of_day"]
         rows = read(sparse)
-        if not rows.limit(1).isEmpty():
-            return rows
+        return rows.unionByName(read(full).join(rows.select(*keys), keys, "left_anti"))
     return read(full)
 
 

@@ -64,13 +64,13 @@ def test_python_factor_must_return_its_columns(spark):
         udf.run_python_factor(panel(spark), lambda b, c: pd.DataFrame({"x": [1]}), dt.date(2024, 1, 1), dt.date(2024, 1, 5)).collect()
 
 
-def test_section_scorer_checks_size(spark):
+def test_section_scorer_takes_dates_of_any_size(spark):
     spark.conf.set("quantspark.maxGroupRows", "1")
     try:
-        with pytest.raises(ValueError):
-            udf.score_sections(panel(spark), lambda s: s["close"])
+        rows = udf.score_sections(panel(spark), lambda s: s["close"] - s["top"], {"top": F.max("close")}).collect()
     finally:
         spark.conf.unset("quantspark.maxGroupRows")
+    assert rows and max(r.score for r in rows) == 0.0
 
 
 def test_registry(spark):

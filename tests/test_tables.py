@@ -73,6 +73,9 @@ def test_minute_fallback(spark):
     sparse = spark.createDataFrame([("A", D1, 570, 7.0)], schema)
     read = lambda s: [r.close for r in scan.load_minute(full, ["A"], D1, D2, ["09:30"], s).collect()]
     assert read(sparse) == [7.0] and read(sparse.limit(0)) == [1.0]
+    more = full.union(spark.createDataFrame([("A", dt.date(2024, 1, 1), 570, 3.0)], schema)) if D1 != dt.date(2024, 1, 1) else full.union(spark.createDataFrame([("B", D1, 570, 3.0)], schema))
+    found = scan.load_minute(more, ["A", "B"], dt.date(2023, 12, 1), D2, ["09:30"], sparse).collect()
+    assert sorted(r.close for r in found) == [3.0, 7.0]  # what the sparse table lacks comes from the full one
 
 
 def test_filter_rules(spark):
