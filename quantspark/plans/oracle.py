@@ -210,7 +210,8 @@ def text_of(node: Node, done: set[str]) -> str:
 
 def factor_sql(source: str, outputs: dict[str, Node], keys=("symbol", "trade_date"), digits=6,
                where: str = "") -> str:
-    """SELECT keys and rounded outputs over ``source``, one CTE per pass."""
+    """SELECT keys and rounded outputs over ``source``, one CTE per pass; ``digits`` may differ by output."""
+    by_name = digits if isinstance(digits, dict) else dict.fromkeys(outputs, digits)
     plan = passes(outputs.values())
     ctes = [f"s0 AS (SELECT *, row_number() OVER ({W}) AS bar_no_ FROM {source})"]
     done: set[str] = set()
@@ -222,7 +223,7 @@ def factor_sql(source: str, outputs: dict[str, Node], keys=("symbol", "trade_dat
         ]
         ctes.append(f"s{i} AS (SELECT *, {', '.join(cols)} FROM s{i - 1})")
         done |= {n.key for n in nodes}
-    outs = [f"round({text_of(n, done)} + 1e-9, {digits}) + 0.0 AS {name}" for name, n in outputs.items()]
+    outs = [f"round({text_of(n, done)} + 1e-9, {by_name.get(name, 6)}) + 0.0 AS {name}" for name, n in outputs.items()]
     tail = f" WHERE {where}" if where else ""
     return (
         "WITH " + ", ".join(ctes)

@@ -225,8 +225,8 @@ def _(t):
     return fs.mixed_dates(t.store, {"close_level": date(2024, 1, 10), "volume_level": date(2024, 1, 8)})
 
 
-def long_sql(factors, source):
-    wide = factor_sql(source, factors)
+def long_sql(factors, source, digits=6):
+    wide = factor_sql(source, factors, digits=digits)
     parts = " UNION ALL ".join(f"SELECT symbol, trade_date, '{n}' AS factor_name, {n} AS value FROM w WHERE {n} IS NOT NULL" for n in factors)
     return f"WITH w AS ({wide}) {parts}"
 

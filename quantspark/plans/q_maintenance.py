@@ -15,7 +15,7 @@ from quantspark.operators import aggregates as ag
 from quantspark.operators import quality as dq
 from quantspark.operators.joins import newest
 from quantspark.plans.q_evaluate import long_sql
-from quantspark.plans.registry import query
+from quantspark.plans.registry import HALF_NUDGE, query
 from quantspark.sources import scan
 from quantspark.sources import sinks as sk
 from quantspark.sources import store as fs
@@ -208,28 +208,35 @@ def _(t):
     return t.alpha_d.select("symbol", "trade_date", "vwap", "ret", "market_value", "industry")
 
 
-_SOME = {n: ALPHAS[n] for n in list(ALPHAS)[:20] if n not in ("alpha101_007", "alpha101_019")}
+#: factors that are compared at fewer than six digits: close to a zero denominator, or over long windows
+_DIGITS = {
+    "alpha101_053": 2, "elasticity_amount_resilience_20d": 3, "research_turnover_liquidity": 4,
+    "research_low_beta": 4, "research_idiosyncratic_volatility": 4, "research_residual_momentum": 4,
+}
 
 
-@query("ap15_batch_alphas", long_sql(_SOME, "alpha_d"), value=6)
-def _(t):
-    return fs.batch_values(t.alpha_d, _SOME, section_rows=t.section_rows_d)
-
-
-_RF = {n: f for n, f in RESEARCH_FACTORS.items() if n not in ("research_low_beta", "research_idiosyncratic_volatility", "research_residual_momentum")}
-
-
-@query("rf09_batch_research", long_sql(_RF, "research_l").replace("+ 1e-9, 6)", "+ 1e-9, 5)"), value=5)
-def _(t):
-    return fs.batch_values(t.research_l, _RF, section_rows=t.section_rows_l)
+def _whole_family(name, factors, source, section_rows):
+    """Registers the batch job of every factor of a family, each rounded as its digits say."""
 
+    @query(name, f"SELECT * FROM ({long_sql(factors, source, _DIGITS)}) f_")
+    def _(t):
+        long = fs.batch_values(getattr(t, source), factors, section_rows=getattr(t, section_rows))
+        value = F.round(F.col("value") + HALF_NUDGE, 6)
+        for factor, digits in _DIGITS.items():
+            if factor in factors:
+                value = F.when(F.col("factor_name") == factor, F.round(F.col("value") + HALF_NUDGE, digits)).otherwise(value)
+        return long.withColumn("value", value + F.lit(0.0))
 
-_PF = {n: PAPER_FACTORS[n] for n in ("paper_new_high_anchor", "overnight_momentum_20", "low_max_return_20", "paper_composite_value", "growth_duration_proxy_pit", "earnings_surprise_combo_pit")}
 
-
-@query("pff36_batch_paper", long_sql(_PF, "paper_l"), value=6)
-def _(t):
-    return fs.batch_values(t.paper_l, _PF, section_rows=t.section_rows_l)
+#: alphas of one job; a plan with windows of many more takes minutes to analyse
+_ALPHA_JOB = 14
+_FIRST = [n for n in list(ALPHAS)[:20] if n not in ("alpha101_007", "alpha101_019")]
+_REST = [n for n in ALPHAS if n not in _FIRST]
+_whole_family("ap15_batch_alphas", {n: ALPHAS[n] for n in _FIRST}, "alpha_d", "section_rows_d")
+for _i in range(0, len(_REST), _ALPHA_JOB):
+    _whole_family(f"ap15_batch_alphas_{_i // _ALPHA_JOB + 2}", {n: ALPHAS[n] for n in _REST[_i : _i + _ALPHA_JOB]}, "alpha_d", "section_rows_d")
+_whole_family("rf09_batch_research", RESEARCH_FACTORS, "research_l", "section_rows_l")
+_whole_family("pff36_batch_paper", PAPER_FACTORS, "paper_l", "section_rows_l")
 
 
 _SC = """SELECT symbol, trade_date, 'market_cap' AS factor_name, coalesce(circ_mv, total_mv) AS value FROM basic UNION ALL
