@@ -3,8 +3,8 @@
 A symbol's trades can be a large part of the ledger, so nothing here needs all of one
 symbol's trades in one task: running quantities are prefix sums in two levels (inside a
 chunk, then over the chunks), and the average-cost recurrence is composed the same way.
-A chunk is a symbol's day; ``part`` splits days further where a single day is too big (any
-expression that never decreases along the day's order, such as a range of ``seq``).
+A chunk is a symbol's day; ``part`` splits days further, so that no hot symbol-day is one task
+(any expression that never decreases along the day's order, such as a range of ``seq``).
 """
 
 from __future__ import annotations
@@ -102,7 +102,8 @@ def average_cost(fills: DataFrame, part: Column | None = None) -> DataFrame:
 
     A buy maps the average cost a to a*h/(h+q) + value/(h+q), a sell leaves it. Such maps
     compose, so each chunk is folded on its own to (alpha, beta) plus the terms of its
-    realised profit that are linear in the opening cost; a second fold runs over the chunks.
+    realised profit that are linear in the opening cost. Chunks are composed to days, days to
+    months and months to the symbol, so no array holds all chunks of a symbol.
     """
     rows = held_before(fills, part)
     buy = F.col("side") == "BUY"
@@ -131,27 +132,31 @@ def average_cost(fills: DataFrame, part: Column | None = None) -> DataFrame:
             (s["slope"] + o["sold"] * s["a"]).alias("slope"),
         )
 
-    days = rows.groupBy("symbol", CHUNK).agg(
+    chunks = rows.groupBy("symbol", CHUNK).agg(
         F.aggregate(F.array_sort(F.collect_list("o")), zero, day_step).alias("m"),
         F.sum("dq").alias("dq"), F.sum("dc").alias("dc"),
-    )
-    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("realised"))
+    ).select("symbol", F.col(f"{CHUNK}.trade_date").alias("day"), F.col(f"{CHUNK}.part").alias("part"), "m", "dq", "dc")
 
-    def life_step(s, d):
+    def compose(s, d):
         return F.struct(
-            (s["cost"] * d["m"]["a"] + d["m"]["b"]).alias("cost"),
-            (s["realised"] + d["m"]["gain"] - d["m"]["slope"] * s["cost"]).alias("realised"),
+            (s["a"] * d["a"]).alias("a"), (s["b"] * d["a"] + d["b"]).alias("b"),
+            (s["gain"] + d["gain"] - d["slope"] * s["b"]).alias("gain"),
+            (s["slope"] + d["slope"] * s["a"]).alias("slope"),
         )
 
-    per_day = F.array_sort(F.collect_list(F.struct(CHUNK, "m")))  # one entry per chunk
-    out = days.groupBy("symbol").agg(
-        F.sum("dq").alias("quantity"), F.sum("dc").alias("cash_flow"),
-        F.aggregate(per_day, start, life_step).alias("s"),
-    )
-    open_ = F.col("quantity") > 1e-6
+    def level(df, keys, order):
+        parts = F.array_sort(F.collect_list(F.struct(order, "m")))
+        return df.groupBy(*keys).agg(
+            F.aggregate(parts, zero, lambda s, d: compose(s, d["m"])).alias("m"),
+            F.sum("dq").alias("dq"), F.sum("dc").alias("dc"),
+        )
+
+    days = level(chunks, ["symbol", "day"], "part").withColumn("month", F.trunc("day", "month"))
+    out = level(level(days, ["symbol", "month"], "day"), ["symbol"], "month")
+    open_ = F.col("dq") > 1e-6
     return out.select(
-        "symbol", "quantity", F.when(open_, F.col("s.cost")).alias("avg_cost"),
-        F.col("s.realised").alias("realised"), "cash_flow",
+        "symbol", F.col("dq").alias("quantity"), F.when(open_, F.col("m.b")).alias("avg_cost"),
+        F.col("m.gain").alias("realised"), F.col("dc").alias("cash_flow"),
     )
 
 

@@ -17,13 +17,21 @@ FIFO = f"""b AS (SELECT *, sum(quantity) OVER w AS e1, sum(quantity) OVER w - qu
  sum((least(b.e1, s.e1) - greatest(b.e0, s.e0)) * (s.price - b.price)) AS realised, max(b.trade_date) < any_value(s.trade_date) AS t_plus_1 FROM s JOIN b ON b.symbol = s.symbol AND b.e0 < s.e1 AND s.e0 < b.e1 GROUP BY 1, 2, 3)"""
 
 
+#: a symbol-day is split by ranges of the sequence number; one range spans 10,000 orders of all symbols
+SEQ_RANGE = 10_000 * 1_000_000_000
+
+
+def part():
+    return F.expr(f"seq div {SEQ_RANGE}")
+
+
 def filled(t):
     return t.ledger.where("status = 'filled'")
 
 
 @query("ld01_fifo_realised", f"WITH {FIFO} SELECT symbol, seq, trade_date, quantity, matched, realised, t_plus_1 FROM fifo", realised=2)
 def _(t):
-    return ld.fifo_realised(filled(t))
+    return ld.fifo_realised(filled(t), part())
 
 
 RECONCILE = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date, seq, quantity, price) AS rn FROM {FILLED}),
@@ -35,7 +43,7 @@ RECONCILE = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY s
 
 @query("ld02_average_cost", RECONCILE, quantity=3, avg_cost=4, realised=1, cash_flow=1)
 def _(t):
-    return ld.average_cost(filled(t))
+    return ld.average_cost(filled(t), part())
 
 
 @query("ld03_apply_pending", f"""WITH p AS (SELECT symbol, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS quantity FROM {FILLED} GROUP BY 1),
@@ -68,7 +76,7 @@ def _(t):
 
 @query("ld06_trade_rollup", f"WITH {FIFO} SELECT symbol, count(*) AS trades, count(*) FILTER (realised > 0) AS wins, avg(realised) AS mean_pnl, count(*) FILTER (realised > 0) * 1.0 / count(*) AS win_rate FROM fifo GROUP BY 1", mean_pnl=2, win_rate=6)
 def _(t):
-    return ld.trade_rollup(ld.fifo_realised(filled(t)))
+    return ld.trade_rollup(ld.fifo_realised(filled(t), part()))
 
 
 factor("ld06_mavg", x.mean(CLOSE, 5, 1))

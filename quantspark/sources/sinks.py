@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from quantspark.operators.joins import newest
 
-#: rows one output file should hold
-ROWS_PER_FILE = 5_000_000
-
-
 def with_month(df: DataFrame, day: str) -> DataFrame:
     return df.withColumns({"year": F.year(day), "month": F.date_format(day, "MM")})
 
@@ -25,11 +21,7 @@ def upserted(old: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def write_upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], day: str) -> None:
-    """Replace only the months the batch touches.
-
-    The merged months go to a staging folder first, because a partition cannot be
-    overwritten while it is being read.
-    """
+    """Replace only the months the batch touches."""
     batch = with_month(batch, day)
     months = [(r["year"], r["month"]) for r in batch.select("year", "month").distinct().collect()]  # months only
     touched = F.lit(False)
@@ -41,21 +33,28 @@ def write_upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequenc
         if "PATH_NOT_FOUND" not in str(error):
             raise
         old = batch.limit(0)
-    merged = upserted(old.where(touched), batch, keys)
-    staged = path.rstrip("/") + "__staged"
-    write_partitioned(merged, staged, "overwrite")
+    replace_months(spark, upserted(old.where(touched), batch, keys), path)
+
+
+def replace_months(spark: SparkSession, rows: DataFrame, path: str, sort: Sequence[str] = ()) -> None:
+    """Overwrite the months that ``rows`` has.
+
+    The rows go to a staging folder of this run first, because a partition cannot be overwritten
+    while it is being read. The folder goes after the swap; a swap that fails leaves it, so that
+    nothing is lost.
+    """
+    staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    write_partitioned(rows, staged, "overwrite", sort=sort)
     fresh = spark.read.parquet(staged).withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "append", parts: Sequence[str] = ("year", "month"),
-                      sort: Sequence[str] = (), files_per_part: int = 1) -> None:
-    """One task per partition folder; a big month is spread over several files by salt."""
-    if files_per_part > 1:
-        key = F.pmod(F.xxhash64(*(sort or df.columns[:1])), F.lit(files_per_part))
-        df = df.repartition(*[F.col(p) for p in parts], key)
-    else:
-        df = df.repartition(*[F.col(p) for p in parts])
+                      sort: Sequence[str] = ()) -> None:
+    """Rows of one partition folder go together; AQE splits a folder that outgrows a task over several files."""
+    df = df.hint("rebalance", *[F.col(p) for p in parts])
     if sort:
         df = df.sortWithinPartitions(*parts, *sort)
     df.write.mode(mode).partitionBy(*parts).parquet(path)
@@ -106,11 +105,15 @@ def crowded_partitions(spark: SparkSession, path: str, max_files: int) -> DataFr
     return out.where(F.col("files") > max_files)
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Column, max_files: int = 1) -> DataFrame:
-    """Rewrite crowded partitions with one row per key; returns the report of what was crowded."""
+def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Column, max_files: int = 1,
+            dry_run: bool = False) -> DataFrame:
+    """Rewrite crowded partitions with one row per key; returns the report of what was crowded.
+
+    A dry run only reports.
+    """
     report = crowded_partitions(spark, path, max_files).cache()
     rows = report.collect()  # one row per crowded month
-    if not rows:
+    if not rows or dry_run:
         return report
     # months come back from the folder names as integers
     hit = F.lit(False)
@@ -118,9 +121,5 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Column,
         hit = hit | ((F.col("year") == r["year"]) & (F.col("month") == r["month"]))
     kept = newest(spark.read.parquet(path).where(hit), list(keys), order)
     kept = kept.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
-    files = max(1, math.ceil(max(r["row_count"] for r in rows) / ROWS_PER_FILE))
-    staged = path.rstrip("/") + "__staged"
-    write_partitioned(kept, staged, "overwrite", sort=keys, files_per_part=files)
-    fresh = spark.read.parquet(staged).withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    replace_months(spark, kept, path, sort=keys)
     return report

@@ -68,9 +68,10 @@ def normalise(batch: DataFrame, source: str = "batch", version: int | None = Non
 def append(batch: DataFrame, path: str, **defaults) -> None:
     rows = normalise(batch, **defaults)
     rows = rows.withColumns({"year": F.year("trade_date"), "month": F.date_format("trade_date", "MM")})
-    rows.repartition("year", "month").sortWithinPartitions("factor_name", "symbol", "trade_date").write.mode(
-        "append"
-    ).partitionBy("year", "month").parquet(path)
+    # months go together; AQE splits a month that outgrows a task
+    rows.hint("rebalance", F.col("year"), F.col("month")).sortWithinPartitions(
+        "year", "month", "factor_name", "symbol", "trade_date"
+    ).write.mode("append").partitionBy("year", "month").parquet(path)
 
 
 def latest(store: DataFrame) -> DataFrame:

@@ -56,6 +56,19 @@ def test_average_cost(spark, seed, part):
         assert r.cash_flow == pytest.approx(cash, abs=0.05)
 
 
+def test_one_symbol_day_with_most_fills(spark):
+    """A hot symbol-day, split by ranges of seq, gives what one chunk gives."""
+    day = dt.date(2024, 3, 1)
+    rows = [("A", i, day, side, qty, price, value) for i, (_, _, _, side, qty, price, value) in enumerate(trades(7, 2000))]
+    rows += [("A", 5000 + i, dt.date(2024, 4, 1 + i), "BUY", 3.0, 7.0, 21.0) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, split = ld.average_cost(df).first(), ld.average_cost(df, F.floor(F.col("seq") / 50)).first()
+    for c in ("quantity", "avg_cost", "realised", "cash_flow"):
+        assert split[c] == pytest.approx(whole[c], rel=1e-9)
+    lots = [{(r.symbol, r.seq): (round(r.matched, 6), round(r.realised, 6)) for r in ld.fifo_realised(df, p).collect()} for p in (None, F.floor(F.col("seq") / 50))]
+    assert lots[0] == lots[1] and lots[0]
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_fifo(spark, seed, monkeypatch):
     monkeypatch.setattr(ld, "SHARE_BUCKET", 64.0)  # many bucket borders

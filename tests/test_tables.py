@@ -56,9 +56,24 @@ def test_compact(spark, tmp_path):
     for v in (1, 2):
         sinks.append_rows(values(spark, [("A", D1, "f", float(v))]).withColumn("version", F.lit(v)), path, "trade_date")
     assert sinks.crowded_partitions(spark, path, 1).count() == 1
+    dry = sinks.compact(spark, path, ["symbol", "trade_date", "factor_name"], F.col("version"), dry_run=True)
+    assert [r.files for r in dry.collect()] == [2] and spark.read.parquet(path).count() == 2
     sinks.compact(spark, path, ["symbol", "trade_date", "factor_name"], F.col("version"))
     assert [r.value for r in spark.read.parquet(path).collect()] == [2.0]
     assert sinks.crowded_partitions(spark, path, 1).count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["store"]  # no staging folder stays
+
+
+def test_a_big_month_is_several_files(spark, tmp_path):
+    path = str(tmp_path / "big")
+    df = spark.range(400_000).select(F.concat(F.lit("S"), F.col("id") % 500).alias("symbol"), F.lit(D1).alias("trade_date"), F.rand(1).alias("value"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.append_rows(df.repartition(16), path, "trade_date")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    report = sinks.crowded_partitions(spark, path, 1).collect()
+    assert report and report[0].files > 1 and report[0].row_count == 400_000
 
 
 def test_symbol_csvs(spark, tmp_path):
