@@ -16,13 +16,10 @@ def tick_stream(t):
     return jobs.tick_stream(t.spark, t.root, "events.parquet")
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
-
-@query("st01_stream_bars", f"""SELECT symbol, date_trunc('minute', datetime) AS start, arg_min(price, (datetime, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (datetime, event_id)) AS close, sum(volume) AS volume
- FROM ticks GROUP BY 1, 2 HAVING date_trunc('minute', any_value(datetime)) + INTERVAL 1 MINUTE <= {CLOSED}""", open=6, high=6, low=6, close=6)
+@query("st01_stream_bars", """SELECT symbol, date_trunc('minute', datetime) AS start, arg_min(price, (datetime, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (datetime, event_id)) AS close, sum(volume) AS volume
+ FROM ticks GROUP BY 1, 2""", open=6, high=6, low=6, close=6)
 def _(t):
-    return jobs.run_available(jobs.stream_bars(tick_stream(t)))
+    return jobs.run_upserts(jobs.stream_bars(tick_stream(t)), ["symbol", "start"])
 
 
 @query("st02_stream_dedupe", "SELECT event_id, symbol, price FROM ticks", price=6)
@@ -31,10 +28,13 @@ def _(t):
     return jobs.run_available(jobs.stream_dedupe(ticks, ["event_id"]).select("event_id", "symbol", "price"))
 
 
-@query("st03_stream_cum_volume", f"""SELECT symbol, trade_date, sum(volume) FILTER (minute_of_day <= 630) AS v_1030, sum(volume) FILTER (minute_of_day <= 840) AS v_1400 FROM ticks GROUP BY 1, 2
- HAVING CAST(trade_date AS TIMESTAMP) + INTERVAL 1 DAY <= {CLOSED}""")
+@query("st03_stream_cum_volume", """SELECT symbol, trade_date, sum(volume) FILTER (minute_of_day <= 630) AS v_1030, sum(volume) FILTER (minute_of_day <= 840) AS v_1400 FROM ticks GROUP BY 1, 2""")
 def _(t):
-    return jobs.run_available(jobs.stream_cum_volume(tick_stream(t), ["10:30", "14:00"]))
+    return jobs.run_upserts(jobs.stream_cum_volume(tick_stream(t), ["10:30", "14:00"]), ["symbol", "trade_date"])
+
+
+def day_and_minute():
+    return F.to_date("start").alias("trade_date"), (F.hour("start") * 60 + F.minute("start")).alias("minute_of_day")
 
 
 _REF = "(SELECT symbol, max(volume) AS max_volume, max(close) * 0.98 AS up_limit, min(close) + 0.5 AS down_limit FROM bars_m GROUP BY 1)"
@@ -47,7 +47,11 @@ def reference(t):
 @query("st04_alerts", f"""SELECT * FROM (SELECT b.symbol, trade_date, minute_of_day, volume / nullif(max_volume, 0) AS share, volume / nullif(max_volume, 0) > 0.9 AS high_volume, close >= up_limit AS touch_up, close <= down_limit AS touch_down
  FROM bars_m b JOIN {_REF} r USING (symbol)) WHERE high_volume OR touch_up OR touch_down""", share=6)
 def _(t):
-    return jobs.alerts(t.bars_m, reference(t))
+    path = jobs.work_folder(t.spark)
+    reference(t).write.parquet(path)  # one row per symbol, computed once for all micro-batches
+    flags = jobs.alert_flags(jobs.stream_bars(tick_stream(t)), t.spark.read.parquet(path))
+    found = jobs.run_upserts(flags, ["symbol", "start"]).where(jobs.ALERT)
+    return found.select("symbol", *day_and_minute(), "share", "high_volume", "touch_up", "touch_down")
 
 
 GRID = """g0 AS (SELECT symbol, trade_date, minute_of_day, close, sum(close * volume) OVER w / sum(volume) OVER w AS anchor FROM bars_m WINDOW w AS (PARTITION BY symbol ORDER BY trade_date, minute_of_day ROWS 19 PRECEDING)),
@@ -59,32 +63,33 @@ def anchored(t):
     w = Window.partitionBy("symbol").orderBy("trade_date", "minute_of_day")
     roll = w.rowsBetween(-19, 0)
     anchor = F.sum(F.col("close") * F.col("volume")).over(roll) / F.sum("volume").over(roll)
-    return t.bars_m.withColumn("anchor", anchor), w
+    start = F.expr("cast(trade_date as timestamp_ntz) + make_dt_interval(0, 0, minute_of_day)")
+    return t.bars_m.select("symbol", start.alias("start"), "close", anchor.alias("anchor"))
 
 
 @query("st05_grid_signals", f"""WITH {GRID} SELECT symbol, trade_date, minute_of_day, reference, CASE WHEN close <= reference * 0.8 THEN 'BUY' WHEN close >= reference * 1.2 THEN 'SELL' ELSE 'HOLD' END AS action FROM g1""", reference=6)
 def _(t):
-    bars, w = anchored(t)
-    # a reset depends only on the bar itself, so the reference is the last reset anchor
-    reset = (F.row_number().over(w) == 1) | (F.abs(F.col("close") / F.col("anchor") - 1.0) > 0.5)
-    bars = bars.withColumn("mark", F.when(reset, F.col("anchor")))
-    ref = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = bars.withColumn("reference", ref)
-    action = F.when(F.col("close") <= F.col("reference") * 0.8, "BUY").when(F.col("close") >= F.col("reference") * 1.2, "SELL").otherwise("HOLD")
-    return out.select("symbol", "trade_date", "minute_of_day", "reference", action.alias("action"))
-
-
-@query("st06_stream_vwap", f"""SELECT symbol, start, sum(price * volume) / sum(volume) AS vwap FROM (SELECT symbol, price, volume, unnest([time_bucket(INTERVAL 10 MINUTE, datetime), time_bucket(INTERVAL 10 MINUTE, datetime) - INTERVAL 10 MINUTE, time_bucket(INTERVAL 10 MINUTE, datetime) - INTERVAL 20 MINUTE]) AS start FROM ticks)
- GROUP BY 1, 2 HAVING start + INTERVAL 30 MINUTE <= {CLOSED}""", vwap=6)
+    path = jobs.work_folder(t.spark)
+    bars = anchored(t)
+    bars.write.parquet(path)
+    # a replay: all files are one micro-batch, since files are not in the order of time
+    stream = t.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(path)
+    out = jobs.run_available(jobs.stream_grid_signals(stream, 0.2, 0.5))
+    return out.select("symbol", *day_and_minute(), "reference", "action")
+
+
+@query("st06_stream_vwap", """SELECT symbol, start, sum(price * volume) / sum(volume) AS vwap FROM (SELECT symbol, price, volume, unnest([time_bucket(INTERVAL 10 MINUTE, datetime), time_bucket(INTERVAL 10 MINUTE, datetime) - INTERVAL 10 MINUTE, time_bucket(INTERVAL 10 MINUTE, datetime) - INTERVAL 20 MINUTE]) AS start FROM ticks)
+ GROUP BY 1, 2""", vwap=6)
 def _(t):
-    return jobs.run_available(jobs.stream_vwap(tick_stream(t)))
+    return jobs.run_upserts(jobs.stream_vwap(tick_stream(t)), ["symbol", "start"])
 
 
-@query("st07_stream_append", """SELECT symbol, CAST(datetime AS DATE) AS trade_date, 'tick_price' AS factor_name, arg_max(price, (0, price)) AS value FROM ticks GROUP BY 1, 2""", value=6)
+@query("st07_stream_append", """SELECT symbol, CAST(datetime AS DATE) AS trade_date, 'tick_price' AS factor_name, arg_max(price, (datetime, price)) AS value FROM ticks GROUP BY 1, 2""", value=6)
 def _(t):
     folder = jobs.work_folder(t.spark)
     values = tick_stream(t).select(
-        "symbol", F.to_date("datetime").alias("trade_date"), F.lit("tick_price").alias("factor_name"), F.col("price").alias("value"))
+        "symbol", F.to_date("datetime").alias("trade_date"), F.lit("tick_price").alias("factor_name"), F.col("price").alias("value"),
+        F.unix_micros("datetime").alias("version"))
     jobs.stream_append(values, folder + "/store", folder + "/state").start().awaitTermination()
     return latest(t.spark.read.parquet(folder + "/store")).select("symbol", "trade_date", "factor_name", "value")
 

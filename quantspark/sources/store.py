@@ -75,8 +75,8 @@ def append(batch: DataFrame, path: str, **defaults) -> None:
 
 
 def latest(store: DataFrame) -> DataFrame:
-    """Newest version of every logical key."""
-    return newest(store, KEY, F.col("version"))
+    """Newest version of every logical key; the greater value where versions tie."""
+    return newest(store, KEY, F.struct("version", "value"))
 
 
 def load(store, names=None, start=None, end=None, symbols=None, as_of_time=None, hash_=None) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantspark.operators.joins import newest
 from quantspark.operators.rowwise import sdiv
+from quantspark.session import shared_root
 from quantspark.sources.panels import digits_plus_one
 from quantspark.sources.scan import minute_of
 from quantspark.sources.store import append
@@ -28,10 +30,13 @@ EVENTS = T.StructType(
 )
 
 
-def tick_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+def tick_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Tick files of a folder as a stream; the event time is a UTC timestamp because
     watermarks need one."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.parquet(folder)
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("datetime"), "event_id",
         F.col("value").alias("price"), digits_plus_one().alias("volume"),
@@ -60,15 +65,26 @@ def stream_cum_volume(ticks: DataFrame, times: Sequence[str], delay: str = "10 m
     return days.select("symbol", F.to_date("window.start").alias("trade_date"), *["v_" + t.replace(":", "") for t in times])
 
 
+ALERT = "high_volume or touch_up or touch_down"
+
+
 def alerts(bars: DataFrame, reference: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """High-volume and band-touch flags against a static table; works on batch and stream."""
+    """The bars with a high-volume or band-touch flag; works on batch and stream."""
+    return alert_flags(bars, reference, ratio).where(ALERT)
+
+
+def alert_flags(bars: DataFrame, reference: DataFrame, ratio: float = 0.9) -> DataFrame:
+    """High-volume and band-touch flags of every bar against a static table.
+
+    An update-mode stream keeps the unflagged bars too, since a later tick can lift a flag.
+    """
     j = bars.join(reference, "symbol")
     share = sdiv(F.col("volume"), F.col("max_volume"))
     return j.select(
         *[c for c in ("symbol", "start", "trade_date", "minute_of_day") if c in bars.columns],
         share.alias("share"), (share > ratio).alias("high_volume"),
         (F.col("close") >= F.col("up_limit")).alias("touch_up"), (F.col("close") <= F.col("down_limit")).alias("touch_down"),
-    ).where("high_volume or touch_up or touch_down")
+    )
 
 
 def stream_vwap(ticks: DataFrame, width: str = "30 minutes", slide: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -81,45 +97,48 @@ def stream_vwap(ticks: DataFrame, width: str = "30 minutes", slide: str = "10 mi
 GRID_OUT = "symbol string, start timestamp_ntz, close double, reference double, action string"
 
 
-def grid_action(close: float, reference: float, step: float) -> str:
-    if close <= reference * (1.0 - step):
-        return "BUY"
-    return "SELL" if close >= reference * (1.0 + step) else "HOLD"
-
-
 def stream_grid_signals(bars: DataFrame, step: float, reset: float) -> DataFrame:
     """Band crossings against a per-symbol reference that resets to the anchor.
 
-    State is one number per symbol. ``bars`` carries symbol, start, close, anchor.
+    State is one number per symbol. ``bars`` carries symbol, start, close, anchor. A reset
+    depends on its bar alone, so the reference is the last reset anchor, or the carried one.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("start")
-        reference = state.get[0] if state.exists else None
-        out = []
-        for start, close, anchor in zip(rows["start"], rows["close"], rows["anchor"]):
-            if reference is None or abs(close / anchor - 1.0) > reset:
-                reference = float(anchor)
-            out.append((key[0], start, close, reference, grid_action(close, reference, step)))
-        state.update((reference,))
-        yield pd.DataFrame(out, columns=["symbol", "start", "close", "reference", "action"])
+        resets = (rows["close"] / rows["anchor"] - 1.0).abs() > reset
+        if not state.exists:
+            resets.iloc[0] = True
+        reference = rows["anchor"].where(resets).ffill()
+        if state.exists:
+            reference = reference.fillna(state.get[0])
+        state.update((float(reference.iloc[-1]),))
+        low, high = rows["close"] <= reference * (1.0 - step), rows["close"] >= reference * (1.0 + step)
+        yield pd.DataFrame({
+            "symbol": key[0], "start": rows["start"], "close": rows["close"], "reference": reference,
+            "action": np.select([low, high], ["BUY", "SELL"], "HOLD"),
+        })
 
     return bars.groupBy("symbol").applyInPandasWithState(update, GRID_OUT, "reference double", "append", "NoTimeout")
 
 
 def stream_append(values: DataFrame, path: str, checkpoint: str):
-    """Append every micro-batch to the factor store; the batch number is the version."""
+    """Append every micro-batch to the factor store.
+
+    ``values`` carries the version, which comes from the data (such as the event time), so the
+    newest value does not depend on how files fall into batches. A retried batch adds rows equal
+    to those it added before, which the store's latest-wins reading folds together.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        append(batch, path, source="stream", version=int(number))
+        append(batch, path, source="stream")
 
     return values.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder (local temp only where unset)."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="quantspark-stream-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder name below the shared checkpoint folder."""
+    return f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame) -> DataFrame:
@@ -131,3 +150,26 @@ def run_available(stream: DataFrame) -> DataFrame:
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(folder + "/out")
+
+
+def run_upserts(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Process what is there in update mode; the newest row of every key, open windows included.
+
+    Each micro-batch writes its changed rows to a folder of its own and overwrites that folder
+    when it is retried, so no row is lost or doubled. Without any file the result is empty.
+    """
+    spark = stream.sparkSession
+    folder = work_folder(spark)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], stream.schema).write.parquet(folder + "/out/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema(schema).parquet(folder + "/out")
+    return newest(rows, list(keys), F.col("batch"), stream.columns)

@@ -1,12 +1,14 @@
 """Streams equal their batch twins; user-code surfaces validate."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quantspark.functions import udf
+from quantspark.sources.store import latest
 from quantspark.streaming import jobs
 
 SCHEMA = "symbol string, start timestamp_ntz, close double, volume double, anchor double"
@@ -32,7 +34,9 @@ def test_grid_stream_equals_fold(spark, tmp_path):
     for r in bars(spark).orderBy("start").collect():
         if r.symbol not in ref or abs(r.close / r.anchor - 1) > reset:
             ref[r.symbol] = r.anchor
-        want[(r.symbol, r.start)] = (round(ref[r.symbol], 9), jobs.grid_action(r.close, ref[r.symbol], step))
+        level = ref[r.symbol]
+        action = "BUY" if r.close <= level * (1 - step) else "SELL" if r.close >= level * (1 + step) else "HOLD"
+        want[(r.symbol, r.start)] = (round(level, 9), action)
     assert got == want
 
 
@@ -44,6 +48,42 @@ def test_alert_stream_joins_static_reference(spark, tmp_path):
     assert got == sorted(map(str, jobs.alerts(bars(spark), ref).collect())) and got
 
 
+def ticks(spark, folder, files):
+    """Random ticks in several files, in the order of time."""
+    rnd = random.Random(5)
+    start = dt.datetime(2024, 1, 1, 9)
+    rows = [(i, start + dt.timedelta(seconds=20 * i), i % 3, "AB"[i % 2], float(rnd.randint(1, 50)), '{"k": %d}' % (i % 7)) for i in range(600)]
+    size = len(rows) // files
+    for k in range(files):
+        part = spark.createDataFrame(rows[k * size : (k + 1) * size], jobs.EVENTS)
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_any_split_into_batches_gives_the_same_rows(spark, tmp_path):
+    """One batch and five batches agree with each other and hold the last, open windows."""
+    ticks(spark, str(tmp_path / "in"), 5)
+    for make, keys in (
+        (jobs.stream_bars, ["symbol", "start"]), (jobs.stream_vwap, ["symbol", "start"]),
+        (lambda t: jobs.stream_cum_volume(t, ["10:30", "14:00"]), ["symbol", "trade_date"]),
+    ):
+        found = [sorted(map(str, jobs.run_upserts(make(jobs.tick_stream(spark, str(tmp_path / "in"), files_per_batch=k)), keys).collect())) for k in (None, 1)]
+        assert found[0] == found[1] and found[0]
+    bars_ = jobs.run_upserts(jobs.stream_bars(jobs.tick_stream(spark, str(tmp_path / "in"), files_per_batch=1)), ["symbol", "start"])
+    assert bars_.agg(F.max("start")).first()[0] == dt.datetime(2024, 1, 1, 9) + dt.timedelta(minutes=599 * 20 // 60)
+
+
+def test_store_stream_does_not_depend_on_batches(spark, tmp_path):
+    ticks(spark, str(tmp_path / "in"), 4)
+    found = []
+    for k in (None, 1):
+        values = jobs.tick_stream(spark, str(tmp_path / "in"), files_per_batch=k).select(
+            "symbol", F.to_date("datetime").alias("trade_date"), F.lit("p").alias("factor_name"), F.col("price").alias("value"), F.unix_micros("datetime").alias("version"))
+        for again in ("a", "b"):  # the second run repeats every batch
+            jobs.stream_append(values, str(tmp_path / f"store{k}"), str(tmp_path / f"state{k}{again}")).start().awaitTermination()
+        found.append(sorted((r.symbol, r.value) for r in latest(spark.read.parquet(str(tmp_path / f"store{k}"))).collect()))
+    assert found[0] == found[1] and len(found[0]) == 2
+
+
 def panel(spark):
     rows = [(s, dt.date(2024, 1, d), float(d)) for s in ("A.X", "B.X") for d in range(1, 11)]
     return spark.createDataFrame(rows, "symbol string, trade_date date, close double")
