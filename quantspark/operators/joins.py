@@ -158,7 +158,8 @@ def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFr
     """(doc, symbol) pairs whose upper-cased text contains an alias of three letters or more.
 
     Filter and verify on equi-joins, so the dictionary may grow without a product of texts
-    and aliases: an alias is looked up by its rarest three letters. An alias without blanks
+    and aliases: an alias is looked up by its three letters that the fewest distinct words of
+    the corpus hold; an alias with a piece in no word cannot occur. An alias without blanks
     lies inside one word, so it is searched in the distinct words of the whole corpus and
     the words are traced back to their texts; the others are searched in the texts that
     share the piece.
@@ -170,13 +171,16 @@ def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFr
     names = aliases.select("symbol", F.upper("alias").alias("alias_")).where(F.length("alias_") >= 3).distinct()
     names = names.withColumn("blank", F.col("alias_").rlike(r"\s"))
     keyed = names.select("*", pieces(F.col("alias_")).alias("piece"))
-    counts = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    rarest = keyed.join(counts, "piece").groupBy("symbol", "alias_", "blank").agg(
-        F.min(F.struct("n", "piece")).alias("best")
-    ).select("symbol", "alias_", "blank", F.col("best.piece").alias("piece"))
     docs = posts.select("doc_id", F.upper(text).alias("u_"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("u_", r"\s+"))).alias("word"))
+    wanted = keyed.select("piece").distinct()
     vocabulary = words.select("word").distinct().select("word", pieces(F.col("word")).alias("piece"))
+    vocabulary = vocabulary.join(small(wanted), "piece", "left_semi")
+    counts = vocabulary.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("piece").rlike(r"\s"), F.lit(2**62)).otherwise(F.coalesce("n", F.lit(0)))  # words hold no blank
+    rarest = keyed.join(counts, "piece", "left").groupBy("symbol", "alias_", "blank").agg(
+        F.min(F.struct(n.alias("n"), "piece")).alias("best")
+    ).where("best.n > 0").select("symbol", "alias_", "blank", F.col("best.piece").alias("piece"))
     inside = F.col("word").contains(F.col("alias_"))
     known = vocabulary.join(small(rarest.where("not blank")), "piece").where(inside).select("word", "symbol")
     hit = words.join(known.distinct(), "word").select("doc_id", "symbol")
@@ -186,3 +190,9 @@ def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFr
         found = side.join(docs, "doc_id").where(F.col("u_").contains(F.col("alias_")))
         hit = hit.unionByName(found.select("doc_id", "symbol"))
     return hit.distinct()
+
+
+def code_mentions(posts: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, symbol) pairs of the exchange codes written out in the upper-cased text; no join."""
+    codes = F.regexp_extract_all(F.upper(text), F.lit(r"\b((?:SH|SZ|BJ)\d{6})\b"), F.lit(1))
+    return posts.select("doc_id", F.explode(F.array_distinct(codes)).alias("symbol"))

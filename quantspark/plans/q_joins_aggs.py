@@ -169,6 +169,13 @@ def _(t):
     return jn.mentions(t.posts.select("doc_id", "text"), aliases)
 
 
+@query("jn16_codes", r"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(upper(text || ' sz' || lpad(CAST(doc_id % 1000 AS VARCHAR), 6, '0') || ', BJ12'), '\b((?:SH|SZ|BJ)\d{6})\b', 1)) AS symbol FROM posts""")
+def _(t):
+    # the given texts hold no codes, so each gets one
+    code = F.lpad((F.col("doc_id") % 1000).cast("string"), 6, "0")
+    return jn.code_mentions(t.posts.select("doc_id", F.concat("text", F.lit(" sz"), code, F.lit(", BJ12")).alias("text")))
+
+
 @query("jn17_latest_financial", """SELECT symbol, max(report_date) AS report_date, max_by(revenue, report_date) AS revenue, max_by(net_profit, report_date) AS net_profit FROM fin GROUP BY symbol""", revenue=2, net_profit=2)
 def _(t):
     return jn.newest(t.fin, ["symbol"], F.col("report_date"), ["report_date", "revenue", "net_profit"])

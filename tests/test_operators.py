@@ -137,3 +137,15 @@ def test_mentions_with_blanks(spark):
     aliases = spark.createDataFrame([("A", "Acme Corp"), ("A2", "acme"), ("Z", "000001"), ("S", "ab")], "symbol string, alias string")
     got = {(r.doc_id, r.symbol) for r in jn.mentions(posts, aliases).collect()}
     assert got == {(1, "A"), (1, "A2"), (2, "A2"), (3, "Z")}
+
+
+def test_mentions_find_every_alias(spark):
+    """Aliases inside words, with blanks, with a piece in no word, and frequent pieces."""
+    from quantspark.operators import joins as jn
+
+    posts = spark.createDataFrame([(1, "the alphabet soup"), (2, "Big Corp rose, big corp fell"), (3, "bigcorp"), (4, None), (5, "a b c done")], "doc_id long, text string")
+    aliases = spark.createDataFrame([(10, "alpha"), (11, "big corp"), (12, "BIGCORP"), (13, "zzzz"), (14, "a b c"), (15, "ab")], "symbol long, alias string")
+    found = {tuple(r) for r in jn.mentions(posts, aliases).select("doc_id", "symbol").collect()}
+    assert found == {(1, 10), (2, 11), (3, 12), (5, 14)}
+    codes = spark.createDataFrame([(1, "buy sh600000 and SZ000001, sh600000"), (2, "XSH600000 SH6000001"), (3, None)], "doc_id long, text string")
+    assert {tuple(r) for r in jn.code_mentions(codes).collect()} == {(1, "SH600000"), (1, "SZ000001")}
