@@ -13,6 +13,7 @@ from quantspark.functions.expr import (
 )
 from quantspark.operators.cross_section import section_position
 from quantspark.operators.filters import special_treatment
+from quantspark.operators.joins import each_day
 from quantspark.operators.panel import with_factors
 
 KEYS = ["symbol", "trade_date"]
@@ -93,12 +94,12 @@ def cap_rank(caps: DataFrame, wide: bool = False) -> DataFrame:
 def st_flags(stocks, changes, days) -> DataFrame:
     """Dense 1.0/0.0 grid: every symbol on every calendar day (that is the definition)."""
     hit = special_treatment(stocks, changes, days).withColumn("value", F.lit(1.0))
-    grid = stocks.select("symbol").join(F.broadcast(days), F.lit(True))
+    grid = each_day(stocks.select("symbol"), days)
     return grid.join(hit, KEYS, "left").select(*KEYS, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def paused_flags(symbols, days, bars, minute: int) -> DataFrame:
-    grid = symbols.join(F.broadcast(days), F.lit(True))
+    grid = each_day(symbols, days)
     seen = bars.where(F.col("minute_of_day") == minute).groupBy(*KEYS).agg(F.lit(0.0).alias("seen"))
     return grid.join(seen, KEYS, "left").select(*KEYS, F.coalesce("seen", F.lit(1.0)).alias("value"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantspark.operators.joins import asof_join
+from quantspark.operators.joins import asof_join, each_day
 
 
 def week_end(day: Column) -> Column:
@@ -95,7 +95,7 @@ def missing_points(have: DataFrame, days: DataFrame, symbols: DataFrame, minutes
     listed times) is compared, never raw rows.
     """
     times = F.explode(F.array(*map(F.lit, minutes))).alias("minute_of_day")
-    grid = symbols.join(F.broadcast(days), F.lit(True)).select("symbol", "trade_date", times)
+    grid = each_day(symbols, days).select("symbol", "trade_date", times)
     seen = have.where(F.col("minute_of_day").isin(list(minutes))).groupBy(
         "symbol", "trade_date", "minute_of_day"
     ).agg(F.lit(1).alias("s_"))
@@ -120,7 +120,8 @@ def dividend_yield(dividends: DataFrame, bars: DataFrame) -> DataFrame:
 def top_words(df: DataFrame, words: Column, group: str, n=10) -> DataFrame:
     """Per group the n most frequent words as one ordered, comma-joined string.
 
-    Counting happens before ranking, so only n rows per group are ever collected.
+    Counting happens before ranking, and Spark keeps n words per group in every task before it
+    shuffles them, so no task holds a group's vocabulary.
     """
     counts = df.select(group, F.explode(words).alias("w")).groupBy(group, "w").agg(F.count(F.lit(1)).alias("c"))
     rn = Window.partitionBy(group).orderBy(F.desc("c"), "w")

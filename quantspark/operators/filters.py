@@ -188,11 +188,14 @@ def extreme_n(df, value: str, n=20, ascending=False) -> DataFrame:
 
 def smallest_caps(caps: DataFrame, days: DataFrame, n: int) -> DataFrame:
     """(trade_date, symbol): the N smallest latest-known caps per calendar day."""
-    from quantspark.operators.joins import asof_join
+    from quantspark.operators.joins import asof_join, each_day
 
     known = caps.select("symbol", F.col("trade_date").alias("cap_date"), "total_mv")
-    grid = caps.select("symbol").distinct().join(F.broadcast(days), F.lit(True))
+    # before its first cap a symbol has none
+    firsts = caps.groupBy("symbol").agg(F.min("trade_date").alias("first_"))
+    grid = each_day(firsts, days, F.col("first_")).select("symbol", "trade_date")
     latest = asof_join(grid, known, "trade_date", "cap_date", ["total_mv"])
+    # Spark keeps n rows per date in every task before it shuffles
     w = Window.partitionBy("trade_date").orderBy("total_mv", "symbol")
     ranked = latest.where("total_mv is not null").withColumn("rn", F.row_number().over(w))
     return ranked.where(F.col("rn") <= n).select("trade_date", "symbol")
@@ -213,16 +216,13 @@ def universe_as_of(stocks, as_of, start=None, exchanges=None, include_delisted=F
 def special_treatment(stocks, changes, days, marker="ST") -> DataFrame:
     """(trade_date, symbol) flagged on a date: a marked name in force, a static flag, the
     marker in the current name, or a delisting date already reached."""
-    named = changes.where(F.col("name").contains(marker)).join(
-        F.broadcast(days),
-        (F.col("start_date") <= F.col("trade_date"))
-        & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("trade_date"))),
-    ).select("trade_date", "symbol")
+    from quantspark.operators.joins import each_day
+
+    marked = changes.where(F.col("name").contains(marker))
+    named = each_day(marked, days, F.col("start_date"), F.col("end_date")).select("trade_date", "symbol")
     static = stocks.where((F.col("is_st") > 0) | F.col("name").contains(marker))
-    flagged = static.select("symbol").join(F.broadcast(days), F.lit(True)).select("trade_date", "symbol")
-    gone = stocks.join(F.broadcast(days), F.col("delist_date") <= F.col("trade_date")).select(
-        "trade_date", "symbol"
-    )
+    flagged = each_day(static.select("symbol"), days).select("trade_date", "symbol")
+    gone = each_day(stocks, days, F.col("delist_date")).select("trade_date", "symbol")
     return named.unionByName(flagged).unionByName(gone).distinct()
 
 

@@ -129,18 +129,29 @@ def membership(panel: DataFrame, index: DataFrame, mode: str = "point_in_time")
     return panel.join(allowed, KEYS, "left_semi")
 
 
+def each_day(spans: DataFrame, days: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """``spans`` with one row per calendar day ``trade_date`` from ``start`` to ``end``, both included.
+
+    Without ``start``, from the first day on; without ``end``, or where it is null, to the last.
+    Spans are opened to their dates, which meet the calendar (one row per trading day) by an
+    equi-join; a null start has no day.
+    """
+    first, last = (days.agg(f("trade_date")).scalar() for f in (F.min, F.max))
+    begin = first if start is None else F.when(start.isNotNull(), F.greatest(start, first))
+    stop = last if end is None else F.least(end, last)
+    inside = spans.withColumns({"begin_": begin, "stop_": stop}).where(F.col("begin_") <= F.col("stop_"))
+    opened = inside.withColumn("trade_date", F.explode(F.sequence("begin_", "stop_"))).drop("begin_", "stop_")
+    return opened.join(F.broadcast(days.select("trade_date")), "trade_date")
+
+
 def expand_signal(signal: DataFrame, calendar: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Carry each symbol's signal forward, day by day, until its next signal date."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
     spans = signal.select(
         "symbol", F.col("trade_date").alias("from_"), F.lead("trade_date").over(w).alias("until_"), *columns
     )
-    days = calendar.select("trade_date")
-    inside = (F.col("trade_date") >= F.col("from_")) & (
-        F.col("until_").isNull() | (F.col("trade_date") < F.col("until_"))
-    )
-    # the calendar has one row per trading day, so it is safe to replicate
-    return spans.join(F.broadcast(days), inside).select("symbol", "trade_date", *columns)
+    out = each_day(spans, calendar, F.col("from_"), F.date_sub("until_", 1))
+    return out.select("symbol", "trade_date", *columns)
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, label: str) -> DataFrame:

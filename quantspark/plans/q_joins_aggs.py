@@ -406,7 +406,8 @@ def _(t):
     named = first.join(t.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("analyst"), "first")
     # exact position: rows at or before each of the 15 keys
     marks = F.broadcast(named)  # 15 rows
-    pairs = rows.join(marks, F.col("o") <= F.col("first"))
+    lowest = named.agg(F.max("first.p")).scalar()  # rows below the last key's price are never compared
+    pairs = rows.where(F.col("o.p") <= lowest).join(marks, F.col("o") <= F.col("first"))
     return pairs.groupBy("analyst").agg(F.count(F.lit(1)).cast("long").alias("first_rank"))
 
 

@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from quantspark.functions import expr as x
 from quantspark.functions.expr import field
 from quantspark.operators import joins as jn
@@ -149,3 +151,19 @@ def test_mentions_find_every_alias(spark):
     assert found == {(1, 10), (2, 11), (3, 12), (5, 14)}
     codes = spark.createDataFrame([(1, "buy sh600000 and SZ000001, sh600000"), (2, "XSH600000 SH6000001"), (3, None)], "doc_id long, text string")
     assert {tuple(r) for r in jn.code_mentions(codes).collect()} == {(1, "SH600000"), (1, "SZ000001")}
+
+
+def test_spans_open_to_calendar_days(spark):
+    """Days outside the calendar, null ends, null starts, reversed spans and an empty calendar."""
+    import datetime as dt
+
+    from quantspark.operators.joins import each_day
+
+    d = lambda n: dt.date(2024, 1, n)
+    days = spark.createDataFrame([(d(n),) for n in (2, 3, 5, 8)], "trade_date date")
+    spans = spark.createDataFrame([("a", d(1), d(3)), ("b", d(4), None), ("c", None, d(5)), ("e", d(6), d(4)), ("f", d(9), None)], "symbol string, s date, e date")
+    out = each_day(spans, days, F.col("s"), F.col("e"))
+    assert sorted((r.symbol, r.trade_date.day) for r in out.collect()) == [("a", 2), ("a", 3), ("b", 5), ("b", 8)]
+    assert each_day(spans, days).count() == 20 and each_day(spans, days.limit(0)).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
