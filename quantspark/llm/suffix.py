@@ -203,7 +203,11 @@ def with_segments(rows: DataFrame) -> DataFrame:
 
 
 def shard_matches(rows: DataFrame, ranges: int) -> DataFrame:
-    """Per shard: ``k1, k2, flags``, the repeated windows of a segment as bits, or ``part, blob``, windows left to merge."""
+    """Per shard: ``k1, k2, flags``, the repeated windows of a segment as bits, or ``part, blob``, windows left to merge.
+
+    Of a split anchor, one of every distinct window goes on, also of those that repeat in the
+    shard: they may equal a window that stands alone in another shard.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -214,14 +218,19 @@ def shard_matches(rows: DataFrame, ranges: int) -> DataFrame:
 
         def work() -> None:
             part = pdf.iloc[held]
+            passed: set[bytes] = set()
             for row, flags in zip(part.itertuples(index=False), repeated(list(part["segment"]), part["windows"].to_numpy())):
                 if row.times > 1:  # the whole segment is elsewhere too
                     flags = np.ones(row.windows, bool)
                 if flags.any():
                     out.append((row.k1, row.k2, np.packbits(flags).tobytes(), None, None))
                 if row.n > SHARD_SEGMENTS:
-                    for at in np.flatnonzero(~flags).tolist():
+                    for at, again in enumerate(flags.tolist()):
                         f = hashlib.blake2b(row.segment[at : at + LENGTH], digest_size=16).digest()
+                        if again:
+                            if f in passed:
+                                continue
+                            passed.add(f)
                         entry = f + np.array([row.k1, row.k2], "<i8").tobytes() + bytes([at])
                         left[int.from_bytes(f[:4], "big") % ranges].append(entry)
             held.clear()

@@ -203,6 +203,27 @@ def test_suffix_removal(spark, docs, monkeypatch, segments):
     assert out == expected
 
 
+def test_suffix_removal_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SHARD_SEGMENTS", 2)
+    monkeypatch.setattr(suffix, "SHARD_TEXT", 1000)  # some fifty shards
+    rng = np.random.default_rng(3)
+
+    def letters(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+
+    texts = {}
+    for i in range(0, 120, 4):  # each passage in three different texts, or in a shared segment and another one
+        shared, tail = letters(260), letters(300)
+        for k in range(3):
+            texts[i + k] = letters(150) + shared + letters(150)
+        if i % 8 == 0:
+            texts[i + 1], texts[i + 2], texts[i + 3] = "a" + shared + tail, "b" + shared + tail, letters(150) + shared
+    expected = brute_force_removal(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed_of_documents(rows).collect()}
+    assert out == expected and all(e[1] >= 260 for e in expected.values())
+
+
 def test_removed_text_stays_readable(spark):
     shared = "é" * 150
     rows = spark.createDataFrame([(1, "a" + shared + "x tail", "en", "s", 1), (2, "b" + shared + "ü end", "en", "s", 1), (3, None, "en", "s", None)], DOCS)
