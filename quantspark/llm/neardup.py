@@ -3,6 +3,7 @@
 A text's shingles of five words are labelled by occurrence, so repeats count. Each of several
 rounds hashes them, takes the few smallest and keeps these in text order: texts share such a
 sketch when they share shingles in the same order. Texts that share a sketch are candidates.
+Short texts also share keys by prefix filtering, by which no similar pair of them is missed.
 Candidates are aligned, shingle by shingle, within the band that the wanted similarity leaves.
 
 In every bucket, members are first held against one of them, the one that shares most sketches
@@ -29,6 +30,10 @@ SIMILARITY = 0.8
 #: rounds, and labelled shingles of a round's sketch; at similarity 0.8 a pair misses all with odds of 1e-4
 ROUNDS = 24
 SAMPLED = 5
+#: pairs whose shorter text has fewer shingles are all candidates, by prefix keys besides sketches
+SHORT = 40
+#: shingles that more short texts have than all their shingles over this are joined by broadcast
+HOT_SHINGLES = 100_000
 #: words hashed at once of a long text
 SPAN_WORDS = 1 << 17
 #: classes of shingles, a power of two, by which the greatest possible overlap is bounded
@@ -116,7 +121,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(docs: DataFrame, text_col: str) -> DataFrame:
-    """``text_key, n, sketch`` of every row, n its number of shingles; no shuffle."""
+    """``text_key, n, sketch, few`` of every row: n shingles, few: all of them where prefix keys are due; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -124,12 +129,33 @@ def sketches(docs: DataFrame, text_col: str) -> DataFrame:
                 found = [shingles(t) for t in texts_of(batch, text_col)]
                 drawn = [sketch(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in found]
                 flat = np.concatenate(drawn) if drawn else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(h) for h in found], pa.int64()), lists(flat, list(map(len, drawn)))], names=["text_key", "n", "sketch"]
-                )
+                few = [h.view(np.int64) if len(h) * SIMILARITY < SHORT else np.zeros(0, np.int64) for h in found]
+                cols = [batch.column(0), pa.array([len(h) for h in found], pa.int64()), lists(flat, list(map(len, drawn)))]
+                yield pa.RecordBatch.from_arrays([*cols, lists(np.concatenate(few), list(map(len, few)))], names=["text_key", "n", "sketch", "few"])
 
     rows = docs.select(key_of(text_col), text_col)
-    return rows.mapInArrow(run, "text_key string, n long, sketch array<long>")
+    return rows.mapInArrow(run, "text_key string, n long, sketch array<long>, few array<long>")
+
+
+def prefix_keys(nodes: DataFrame) -> DataFrame:
+    """``node, n, round, value``: the rarest shingles of each short text, those that another one has.
+
+    Texts of n shingles have ceil(0.8 n) in common with any similar text. In one order of all
+    shingles, the least common one is thus among the first n - ceil(0.8 n) + 1 of both texts.
+    """
+    few = nodes.select("node", "n", F.explode("few").alias("value"))
+    often = staged(few.groupBy("value").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > 1))
+    total = nodes.agg(F.sum(F.size("few"))).first()[0] or 0
+    hot = F.col("texts") > max(1, total // HOT_SHINGLES)
+    frequent = F.broadcast(often.where(hot))
+    usual = few.join(frequent.select("value"), "value", "left_anti").join(often.where(~hot), "value")
+    shared = usual.unionByName(few.join(frequent, "value")).groupBy("node", "n")
+    ordered = shared.agg(F.array_sort(F.collect_list(F.struct("texts", "value"))).alias("shared"))
+    # shingles that no other text has are the rarest, and come first
+    own = F.col("n") - F.size("shared")
+    left = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - own
+    keys = ordered.withColumn("left", left.cast("int")).where(F.col("left") > 0)
+    return keys.select("node", "n", F.lit(ROUNDS).alias("round"), F.explode(F.slice("shared.value", F.lit(1), F.col("left"))).alias("value"))
 
 
 def key_of(text_col: str) -> Column:
@@ -211,9 +237,9 @@ def across(rows: DataFrame, others: DataFrame, counts: DataFrame, tried: DataFra
 
 def similar_links(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, links): distinct texts ``text_key, node``, and verified ``a, b`` links between them."""
-    every = sketches(docs, text_col).groupBy("text_key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    every = sketches(docs, text_col).groupBy("text_key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("few").alias("few"))
     nodes = staged(every.withColumn("node", F.monotonically_increasing_id()))  # fixed once it is written
-    rows = nodes.select("node", "n", F.posexplode("sketch").alias("round", "value"))
+    rows = nodes.select("node", "n", F.posexplode("sketch").alias("round", "value")).unionByName(prefix_keys(nodes))
     crowded = rows.groupBy("round", "value").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     inside = staged(rows.join(crowded, ["round", "value"]))
     shared = inside.groupBy("node").agg(F.sum("members").alias("shared"))

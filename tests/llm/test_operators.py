@@ -256,6 +256,17 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert len({found[i] for i, _ in near}) == 1 and found[9100] == found[9101]
 
 
+def test_short_near_duplicates_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    rows, expected = [], {}
+    for i, n in enumerate([4, 4, 4, 5, 8, 8, 12, 16, 20, 28, 36, 39] * 4):  # shingles of the shorter text
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, n + n // 4 + 4)]
+        rows += [(2 * i, " ".join(words[: n + 4])), (2 * i + 1, " ".join(words))]  # similarity 0.8 or a little more
+        expected |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    found = neardup.classes_of_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == expected  # among them 8 against 9 words
+
+
 def test_alignment_minds_order():
     with np.errstate(over="ignore"):
         words = [f"w{i}" for i in range(200)]
