@@ -32,7 +32,17 @@ NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "quantspark/warc")
 #: date of captures whose table has none
 NO_DATE = "1970-01-01T00:00:00Z"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: what is not shown, or begins so
+_OPENS = re.compile(r"<(!--|(?:script|style|noscript|template|svg|head)\b)", re.I)
+_CLOSES = {"!--": re.compile("-->")} | {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg")}
+_TAG_REST = re.compile(r"[^<>]*>?")
+#: what a head holds besides; anything else ends it, as in browsers
+_IN_HEAD = re.compile(
+    r"\s+|<title\b[^<>]*>(?:[^<]|<(?!/?(?:title|head|body)\b))*(?:</title\s*>)?"
+    r"|</?(?:meta|link|base|basefont|bgsound)\b[^<>]*>|</(?:title|script|style|noscript|template)\s*>|<(?:html\b|[?]|!(?!--))[^<>]*>",
+    re.I,
+)
+_HEAD_END = re.compile(r"</head\s*>", re.I)
 _BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^<>]*>",
     re.I,
@@ -52,9 +62,47 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def hidden_end(source: str, found: re.Match, unclosed: set[str]) -> int:
+    """Where what ``found`` opens ends. Comments, scripts and styles without an end take the rest of the page.
+
+    Others without an end, and an svg closed in its own tag, hide that tag only. ``unclosed``
+    remembers names that no end follows, so that a page is not searched for them again.
+    """
+    name = found[1].lower()
+    tag = found.end() if name == "!--" else _TAG_REST.match(source, found.end()).end()
+    if name == "svg" and source.endswith("/>", found.end(), tag):
+        return tag
+    close = None if name in unclosed else _CLOSES[name].search(source, found.end())
+    if close:
+        return close.end()
+    unclosed.add(name)
+    return len(source) if name in ("!--", "script", "style") else tag
+
+
+def shown(source: str) -> str:
+    """A page without what is not shown: a blank for each comment, head, script and the like."""
+    out, at, unclosed = [], 0, set()
+    while found := _OPENS.search(source, at):
+        out += [source[at : found.start()], " "]
+        if found[1].lower() != "head":
+            at = hidden_end(source, found, unclosed)
+            continue
+        at = _TAG_REST.match(source, found.end()).end()
+        while True:  # </head> can be left out
+            if part := _IN_HEAD.match(source, at):
+                at = part.end()
+            elif (part := _OPENS.match(source, at)) and part[1].lower() not in ("head", "svg"):
+                at = hidden_end(source, part, unclosed)
+            else:
+                break
+        if end := _HEAD_END.match(source, at):
+            at = end.end()
+    return "".join([*out, source[at:]])
+
+
 def page_text(source: str) -> str:
     """The visible text of a page: one line per block element, blanks collapsed, empty lines left out."""
-    plain = html.unescape(_TAGS.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", source))))
+    plain = html.unescape(_TAGS.sub("", _BREAKS.sub("\n", shown(source))))
     return "\n".join(line for line in (" ".join(x.split()) for x in plain.split("\n")) if line)
 
 

@@ -338,6 +338,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert text.fields["WARC-Concurrent-To"] == meta.record_id and meta.fields["WARC-Concurrent-To"] == text.record_id
 
 
+def test_unclosed_elements_hide_no_text():
+    texts = {
+        "<html><head><title>t</title><body><p>text": "text",
+        "<head><meta charset=x><script>'</head>'</script><!-- </head> --><title>a < b</title><p>text<div>more": "text\nmore",
+        "<head><title>t</title><style>x</style></head><body>text": "text",
+        "<head><noscript><link href=x></noscript><template><p>no</template></head>text": "text",
+        "<p>a<svg width='1'/>b<svg><text>no</text></svg>c<svg>d": "a b c d",
+        "<p>a<noscript>b<template>c": "a b c",
+        "<p>a<noscript>no</noscript>b<script>no": "a b",
+        "<p>a<!-- no": "a", "<p>a<style>no": "a", "<header>a</header>": "a", "<head>": "", "<svg": "",
+    }
+    assert {source: warc.page_text(source) for source in texts} == texts
+
+
 def test_http_codings():
     import gzip
 
