@@ -1,10 +1,10 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
 Documents start in a shard drawn from a hash. Documents with equal texts are linked through a
-hub. In each round every hub looks at the shards of its documents and names the one that holds
-most of them, less the shard's load; documents of the hub elsewhere move there, as far as the
-shard's quota allows. Last, single documents move from shards above their exact number to shards
-below it, so row counts differ by one at most.
+hub. The few largest groups are placed first, whole where a shard has room. In each round every
+other hub names the shard that holds most of its documents, less the shard's load; documents of
+the hub elsewhere move there, as far as the shard's quota allows. Last, single documents, then whole groups, move from shards above their exact
+number to shards below it, so row counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from quantspark.llm.common import staged
 
 ROUNDS = 3
-#: a text with more copies than a shard's share over this is linked through several hubs
+#: a text with more copies than a shard's share over this is placed before the others
 HUBS_PER_SHARD = 8
-#: copies that one hub links in any case, as far as a shard holds them
+#: copies that a text placed with the others can have in any case, as far as a shard holds them
 LEAST_HUB = 32
 #: rows that one window numbers, on average
 BUCKET_ROWS = 4_000
@@ -29,11 +29,16 @@ def share(*seed: Column) -> Column:
     return F.pmod(F.xxhash64(*seed), F.lit(1 << 30)) / float(1 << 30)
 
 
+def largest_hub(n: int, shards: int) -> int:
+    """Copies of a text beyond which it is hot."""
+    return max(1, n // (shards * HUBS_PER_SHARD), min(-(-n // shards), LEAST_HUB))
+
+
 def linked_rows(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Slim rows with ``hub`` (null: no equal text) and a first ``shard``; their number.
+    """Slim rows with ``hub`` (null: no equal text), ``hot`` and a first ``shard``; their number.
 
-    Copies of one text beyond a fraction of a shard split over several hubs. No more than
-    shards x HUBS_PER_SHARD texts can be that frequent, so these are broadcast.
+    hot: the text has more copies than a fraction of a shard. No more than shards x
+    HUBS_PER_SHARD texts can be that frequent, so these are broadcast.
     """
     text = F.col(text_col)
     rows = staged(
@@ -45,18 +50,47 @@ def linked_rows(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tup
         )
     )
     n = rows.count()
-    most = max(1, n // (shards * HUBS_PER_SHARD), min(-(-n // shards), LEAST_HUB))
+    most = largest_hub(n, shards)
     copies = staged(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1))
-    hot = copies.where(F.col("copies") > most).select("text_key", F.ceil(F.col("copies") / most).alias("hubs"))
+    hot = copies.where(F.col("copies") > most).select("text_key", F.lit(True).alias("hot"))
     usual = copies.where(F.col("copies") <= most).select("text_key", F.lit(True).alias("linked"))
-    spread = F.pmod(F.xxhash64(F.col(id_col), F.lit("hub")), F.col("hubs"))
     placed = (
         rows.join(F.broadcast(hot), "text_key", "left")
         .join(usual, "text_key", "left")
-        .withColumn("hub", F.when(F.col("hubs").isNotNull(), F.xxhash64("text_key", spread)).when(F.col("linked"), F.xxhash64("text_key", F.lit(0))))
+        .withColumn("hot", F.coalesce("hot", F.lit(False)))
+        .withColumn("hub", F.when(F.col("hot") | F.col("linked"), F.xxhash64("text_key", F.lit(0))))
         .withColumn("shard", F.pmod(F.xxhash64(F.col(id_col), F.col("text_key"), F.lit("shard")), F.lit(shards)).cast("int"))
     )
-    return placed.select(id_col, "size", "text_crc32", "text_key", "hub", "shard"), n
+    return placed.select(id_col, "size", "text_crc32", "text_key", "hub", "hot", "shard"), n
+
+
+def settled(rows: DataFrame, room: list[int], id_col: str) -> tuple[DataFrame, list[int]]:
+    """Hot rows in the shard that their text's counts choose, and the room that is left.
+
+    Copies are counted by text and shard. Largest first, a text goes to the shard that it fills
+    best, of these to the one that holds most of it; only a text that no shard has room for is
+    split, over as few as can be.
+    """
+    held: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("text_key", "shard").agg(F.count(F.lit(1)).alias("n")).collect():  # broadcast-sized
+        held.setdefault(r["text_key"], {})[r["shard"]] = r["n"]
+    room, plan = list(room), []
+    for text, own in sorted(held.items(), key=lambda t: (-sum(t[1].values()), t[0])):
+        left = copies = sum(own.values())
+        while left:
+            fits = [s for s in range(len(room)) if room[s] >= left]
+            to = min(fits, key=lambda s: (room[s], -own.get(s, 0), s)) if fits else max(range(len(room)), key=lambda s: (room[s], own.get(s, 0), -s))
+            part = min(left, room[to])
+            room[to] -= part
+            left -= part
+            plan.append((text, (copies - left) / copies, to))
+    if not plan:
+        return rows, room
+    ends = rows.sparkSession.createDataFrame(plan, "text_key string, end double, to int")
+    ends = ends.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("end", "to"))).alias("ends"))
+    draw = share(F.col(id_col), F.col("text_key"), F.lit("part"))
+    to = F.element_at(F.filter("ends", lambda e: draw < e["end"]), 1)["to"]
+    return rows.join(F.broadcast(ends), "text_key").withColumn("shard", to).select(*rows.columns), room
 
 
 def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
@@ -87,12 +121,12 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUND
     return linked
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], buckets: int, name: str) -> DataFrame:
-    """``rows`` with a gapless number from 0 within ``group``, by a hash bucket and then ``order``.
+def numbered(rows: DataFrame, group: list[str], order: list[str], buckets: int, name: str, key: Column | None = None) -> DataFrame:
+    """``rows`` with a gapless number from 0 within ``group``, by a hash bucket (of ``key``) and then ``order``.
 
     Bucket counts are summed first, then each bucket is numbered, so no task holds a group.
     """
-    salted = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    salted = rows.withColumn("bucket", F.pmod(F.xxhash64(*order) if key is None else key, F.lit(buckets)))
     counts = salted.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -101,7 +135,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], buckets: int,
 
 
 def evened(rows: DataFrame, shards: int, n: int, id_col: str) -> DataFrame:
-    """Moves rows from shards above their exact number to shards below it, unlinked rows first."""
+    """Moves rows from shards above their exact number to shards below it: unlinked rows, then small groups side by side, then hot rows."""
     spark = rows.sparkSession
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     # of the n % shards shards with one row more, the fullest keep theirs, so fewer rows move
@@ -113,14 +147,15 @@ def evened(rows: DataFrame, shards: int, n: int, id_col: str) -> DataFrame:
     gives = plan.select("shard", "over", F.coalesce(F.sum("over").over(until), F.lit(0)).alias("given"))
     takes = plan.where(F.col("under") > 0).select(F.col("shard").alias("to"), F.coalesce(F.sum("under").over(until), F.lit(0)).alias("from_"), "under")
     buckets = max(LEAST_BUCKETS, n // (shards * BUCKET_ROWS))
-    order = [id_col, "size", "text_key"]
-    split = rows.withColumn("linked", F.col("hub").isNotNull())
-    ranked = numbered(split, ["shard", "linked"], order, buckets, "place")
-    singles = split.where(~F.col("linked")).groupBy("shard").agg(F.count(F.lit(1)).alias("singles"))
+    order = ["text_key", id_col, "size"]
+    split = rows.withColumn("kind", F.when(F.col("hub").isNull(), 0).when(~F.col("hot"), 1).otherwise(2))
+    key = F.when(F.col("kind") == 1, F.xxhash64("text_key")).otherwise(F.xxhash64(*order))
+    ranked = numbered(split, ["shard", "kind"], order, buckets, "place", key)
+    before = split.groupBy("shard").agg(*[F.count(F.when(F.col("kind") < k, 1)).alias(f"before{k}") for k in (1, 2)])
     lined = (
         ranked.join(F.broadcast(gives), "shard")
-        .join(F.broadcast(singles), "shard", "left")
-        .withColumn("place", F.col("place") + F.when(F.col("linked"), F.coalesce("singles", F.lit(0))).otherwise(0))
+        .join(F.broadcast(before), "shard")
+        .withColumn("place", F.col("place") + F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, F.col("before1")).otherwise(F.col("before2")))
         .withColumn("leaves", F.col("place") < F.col("over"))
         .withColumn("turn", F.when(F.col("leaves"), F.col("given") + F.col("place")))
     )
@@ -143,8 +178,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     """
     rows, n = linked_rows(docs, shards, id_col, text_col)
     rows = staged(rows)
-    moved = propagate(rows.where(F.col("hub").isNotNull()), shards, max(1, -(-n // shards)))
-    even = staged(evened(moved.unionByName(rows.where(F.col("hub").isNull())), shards, n, id_col))
+    hot, _ = settled(rows.where("hot"), [n // shards + (s < n % shards) for s in range(shards)], id_col)
+    moved = propagate(rows.where(F.col("hub").isNotNull() & ~F.col("hot")), shards, max(1, -(-n // shards)))
+    even = staged(evened(moved.unionByName(hot).unionByName(rows.where(F.col("hub").isNull())), shards, n, id_col))
     buckets = max(LEAST_BUCKETS, n // (shards * BUCKET_ROWS))
     return numbered(even, ["shard"], [id_col, "size", "text_key"], buckets, "slot")
 

@@ -112,6 +112,22 @@ def test_sharding_laws(spark, docs, odd):
     assert (groups["nunique"] == 1).mean() >= 0.8
 
 
+def sharded(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sharding.shards_of_documents(rows).join(rows, "doc_id").toPandas()
+    counts = out.groupby("shard").size().reindex(range(16), fill_value=0)
+    assert len(out) == len(texts) and counts.max() - counts.min() <= 1
+    groups = out.groupby("text").shard.agg(["size", "nunique"])
+    return groups[groups["size"] > 1]
+
+
+def test_sharding_keeps_large_groups_whole(spark):
+    groups = sharded(spark, [f"g{k}" for k, n in enumerate([250, 200, 150, 120, 90, 60, 40, 33]) for _ in range(n)] + [f"t{i}" for i in range(3057)])
+    assert (groups["nunique"] == 1).all()  # 4,000 rows: all fit a shard of 250
+    groups = sharded(spark, ["big"] * 600 + [f"t{i}" for i in range(3400)])
+    assert groups["nunique"].max() <= 4  # three shards, and what the draw leaves over
+
+
 def test_mix_meets_targets(docs):
     out = mixing.mix_of_documents(docs).join(docs.select("doc_id", "source", "text"), "doc_id").toPandas()
     words = [len([w for w in __import__("re").split("[\x20\x09-\x0d]+", t) if w]) for t in out.text]
