@@ -2,8 +2,9 @@
 
 Documents start in a shard drawn from a hash. Documents with equal texts are linked through a
 hub. The few largest groups are placed first, whole where a shard has room. In each round every
-other hub names the shard that holds most of its documents, less the shard's load; documents of
-the hub elsewhere move there, as far as the shard's quota allows. Last, single documents, then whole groups, move from shards above their exact
+other hub names the shard that holds most of its documents, less what the shard is over its room;
+documents of the hub elsewhere move there, as far as room and departures allow, until the cut no
+longer falls. Last, single documents, then whole groups, move from shards above their exact
 number to shards below it, so row counts differ by one at most.
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quantspark.llm.common import staged
 
-ROUNDS = 3
+#: rounds in a row without a smaller cut that end the propagation
+STALE_ROUNDS = 2
 #: a text with more copies than a shard's share over this is placed before the others
 HUBS_PER_SHARD = 8
 #: copies that a text placed with the others can have in any case, as far as a shard holds them
@@ -93,31 +95,50 @@ def settled(rows: DataFrame, room: list[int], id_col: str) -> tuple[DataFrame, l
     return rows.join(F.broadcast(ends), "text_key").withColumn("shard", to).select(*rows.columns), room
 
 
-def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """Moves linked rows towards their hub's best shard, in rounds and under quotas."""
-    for turn in range(rounds):
-        held = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        loads = held.groupBy("shard").agg(F.sum("n").alias("load"))  # one row per shard at most
-        total = F.sum("n").over(Window.partitionBy("hub"))
-        pull = F.col("n") / total - F.col("load") / float(capacity)
-        wish = (
-            held.join(F.broadcast(loads), "shard")
-            .select("hub", "shard", "n", "load", pull.alias("pull"), total.alias("total"))
+def accepted(flows: list[tuple[int, int, int]], loads: list[int], room: list[int]) -> list[float]:
+    """For each shard the part of the rows wanting in that it takes; rows that leave in the same round make room."""
+    shards = range(len(room))
+    wanted = [sum(n for _, to, n in flows if to == s) for s in shards]
+    part = [1.0] * len(room)
+    for _ in range(len(room) ** 2):
+        leaving = [sum(n * part[to] for of, to, n in flows if of == s) for s in shards]
+        part = [min(part[s], max(0.0, room[s] - loads[s] + leaving[s]) / wanted[s]) if wanted[s] else 1.0 for s in shards]
+    return part
+
+
+def propagate(linked: DataFrame, room: list[int], slack: int) -> DataFrame:
+    """Moves linked rows towards their hub's best shard, in rounds, until the cut no longer falls.
+
+    The cut is the number of rows outside their hub's best shard. A shard takes rows up to its
+    room, what leaves it in the round, and ``slack``, which the row law takes back by whole groups.
+    """
+    least, stale, turn = None, 0, 0
+    full = F.element_at(F.array(*[F.lit(float(max(r, 1))) for r in room]), F.col("shard") + 1)
+    while stale < STALE_ROUNDS:
+        held = staged(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")))
+        load = held.groupBy("shard").agg(F.sum("n").alias("load"))  # one row per shard at most
+        over = F.greatest(F.col("load") / full - 1, F.lit(0.0))
+        totals = held.groupBy("hub").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
+        wish = staged(
+            held.join(totals, "hub")
+            .join(F.broadcast(load), "shard")
+            .withColumn("pull", F.col("n") / F.col("total") - over)
             .groupBy("hub")
-            .agg(F.max(F.struct("pull", F.xxhash64("hub", "shard").alias("tie"), "shard", "n", "load", "total")).alias("best"))
-            .select("hub", "best.*")
-            .withColumn("enter", F.col("total") - F.col("n"))
-            .where(F.col("enter") > 0)
-            .drop("pull", "tie", "n", "total")
-        )
-        quota = wish.groupBy("shard").agg(F.sum("enter").alias("wanted"))
-        free = F.greatest(F.lit(float(capacity)) - F.col("load"), F.lit(0.0))
-        moves = (
-            wish.join(F.broadcast(quota), "shard")
-            .where(share(F.col("hub"), F.lit(turn)) < free / F.col("wanted"))
-            .select("hub", F.col("shard").alias("to"))
+            .agg(F.max(F.struct("pull", F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")).alias("best"))
+            .select("hub", F.col("best.shard").alias("to"))
         )
-        linked = staged(linked.join(moves, "hub", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
+        flows = held.join(wish, "hub").where(F.col("shard") != F.col("to")).groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # shards x shards
+        cut = sum(r["n"] for r in flows)
+        if not cut:
+            break
+        stale = 0 if least is None or cut < least else stale + 1
+        least = cut if least is None else min(cut, least)
+        loads = {r["shard"]: r["load"] for r in load.collect()}
+        part = accepted([tuple(r) for r in flows], [loads.get(s, 0) for s in range(len(room))], [r + slack for r in room])
+        takes = F.element_at(F.array(*map(F.lit, part)), F.col("to") + 1)
+        moves = wish.where(share(F.col("hub"), F.lit(turn)) < takes)
+        linked = staged(linked.join(moves, "hub", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to").select(*linked.columns))
+        turn += 1
     return linked
 
 
@@ -178,8 +199,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
     """
     rows, n = linked_rows(docs, shards, id_col, text_col)
     rows = staged(rows)
-    hot, _ = settled(rows.where("hot"), [n // shards + (s < n % shards) for s in range(shards)], id_col)
-    moved = propagate(rows.where(F.col("hub").isNotNull() & ~F.col("hot")), shards, max(1, -(-n // shards)))
+    hot, room = settled(rows.where("hot"), [n // shards + (s < n % shards) for s in range(shards)], id_col)
+    moved = propagate(rows.where(F.col("hub").isNotNull() & ~F.col("hot")), room, largest_hub(n, shards))
     even = staged(evened(moved.unionByName(hot).unionByName(rows.where(F.col("hub").isNull())), shards, n, id_col))
     buckets = max(LEAST_BUCKETS, n // (shards * BUCKET_ROWS))
     return numbered(even, ["shard"], [id_col, "size", "text_key"], buckets, "slot")

@@ -128,6 +128,13 @@ def test_sharding_keeps_large_groups_whole(spark):
     assert groups["nunique"].max() <= 4  # three shards, and what the draw leaves over
 
 
+def test_sharding_of_pairs(spark):
+    groups = sharded(spark, [f"p{i // 2}" for i in range(4000)])
+    assert (groups["nunique"] > 1).sum() <= 32  # boundaries of shards that give or take
+    groups = sharded(spark, [f"p{i // 2}" for i in range(3600)] + [f"t{i}" for i in range(400)])
+    assert (groups["nunique"] > 1).sum() <= 32
+
+
 def test_mix_meets_targets(docs):
     out = mixing.mix_of_documents(docs).join(docs.select("doc_id", "source", "text"), "doc_id").toPandas()
     words = [len([w for w in __import__("re").split("[\x20\x09-\x0d]+", t) if w]) for t in out.text]
