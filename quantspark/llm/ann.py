@@ -4,7 +4,8 @@ Each table hashes a vector to the whole parts of a few random projections over a
 query, buckets are visited in the order of estimated success: a step across the nearer boundary
 of a projection costs the square of the query's distance from it, and the sets of steps with the
 least sums come first. The candidates of all tables are merged, then ranked by their exact inner
-product.
+product. Hashes see directions only, so vectors longer than the average are candidates at any
+angle. A query that meets too few candidates is scored against the whole cell.
 """
 
 from __future__ import annotations
@@ -64,14 +65,16 @@ class Index:
         rng = np.random.default_rng(seed)
         self.x = x
         self.tables = [Table(unit(x), rng) for _ in range(TABLES)]
+        norm = np.linalg.norm(x, axis=1)
+        self.long = norm > norm.mean() * (1 + 1e-6)
 
     def candidates(self, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each query the places of the vectors in visited buckets."""
+        """For each query the places of the long vectors and of those in visited buckets."""
         for begin in range(0, len(q), 256):
             part = unit(q[begin : begin + 256])
             spans = [t.probes(part) for t in self.tables]
             for i in range(len(part)):
-                hit = np.zeros(len(self.x), dtype=bool)
+                hit = self.long.copy()
                 for t, (lo, hi) in zip(self.tables, spans):
                     size = hi[i] - lo[i]
                     filled = size > 0
@@ -90,8 +93,9 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     """``query_id, rank, vec_id, score``: each query's k nearest found by inner product.
 
     Queries: rows whose id is divisible by ``every``; candidates: every row but those of the
-    query's own id; fewer than k found: all found. Directions are hashed, scores come from the
-    original vectors in double precision; ties go to the smaller id. Rows with a null id, and
+    query's own id; fewer than k candidates: all. A query for which the visited buckets of a cell
+    hold fewer than k is scored against all of the cell. Directions are hashed, vectors longer than
+    the average of a cell always scored; scores come from the original vectors in double precision; ties go to the smaller id. Rows with a null id, and
     vectors that are null, empty, zero or hold null or non-finite components, take no part.
     Vectors that many rows share are hashed once. Repeated rows count once; an empty table gives
     an empty result; other columns are not read. Every row is indexed; buckets have no cap.
@@ -102,7 +106,11 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     vectors, queries = prepared(rows, k, every)
 
     def search(names: np.ndarray, q: np.ndarray, v: np.ndarray, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        sizes = np.array(list(map(len, ids)))
         for i, at in Index(v).candidates(q):
+            # an id stands once in a vector's ids, so own ids are at most one a vector
+            if sizes[at].sum() < k + len(at) and sum((ids[j] != names[i]).sum() for j in at) < k:
+                at = np.arange(len(v))
             scores = v[at] @ q[i]
             yield i, *best_of(ids, at, scores, names[i], k)
 

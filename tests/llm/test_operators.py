@@ -341,6 +341,27 @@ def test_nearest_recall(spark, monkeypatch):
     assert out == [(100, 1, 1), (100, 2, 2), (100, 3, 3)]
 
 
+def test_nearest_fills_up(spark):
+    rng = np.random.default_rng(6)
+    few = [(i, rng.standard_normal(64).tolist()) for i in range(0, 200, 10)]
+    far = [(2000 + 20 * i, (-np.eye(64)[0] + 0.01 * rng.standard_normal(64)).tolist()) for i in range(5)]
+    crowd = [(3001 + 20 * i, (np.eye(64)[0] + 0.01 * rng.standard_normal(64)).tolist()) for i in range(100)]
+    for rows, least in ((few, 19), (far + crowd, 20)):
+        found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+        assert found.groupby("query_id").size().tolist() == [least] * sum(i % 20 == 0 for i, _ in rows)
+
+
+def test_nearest_recall_of_unequal_lengths(spark):
+    p = spark.read.parquet(f"{ROOT}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(p.embedding).astype(float)
+    x *= np.random.default_rng(7).lognormal(0, 0.7, (len(x), 1))
+    recall = []
+    for i, at in ann.Index(x).candidates(x[::20]):
+        best = [j for j in np.argsort(-(x @ x[20 * i])) if j != 20 * i][:20]
+        recall.append(np.isin(best, at).mean())
+    assert np.mean(recall) >= 0.95  # 0.91 by directions alone
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; t</title><p>One<br>two<script>x</script> <a href='/l'>l</a>\r\n\r\nWARC/1.1"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     source = warc.responses(pages)
