@@ -1,7 +1,8 @@
 """The registered queries: each applies one operator to its whole table.
 
-None has a checkable SQL text: they learn models, hash, refine or encode in ways SQL does not
-express, or take minutes there; the tests hold them against brute force, laws or held-out rows.
+Exact top-k, hard negatives and fill-in-the-middle have a SQL text. The others learn models, hash,
+refine or encode in ways SQL does not express, or take minutes there; the tests hold them against
+brute force, laws or held-out rows.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspark.llm import ann, bpe, langid, mixing, neardup, quality, sharding, suffix, topk, warc
+from quantspark.llm import ann, bpe, infill, langid, mixing, neardup, negatives, outliers, quality, sharding, suffix, topk, warc
 from quantspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": topk.SQL,
+    "op11_fill_in_middle": infill.SQL,
+    "op12_hard_negatives": negatives.SQL,
+}
 
 
 def vocabulary_path() -> str:
@@ -77,3 +82,18 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives_of_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))

@@ -102,3 +102,21 @@ def exact_top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
             yield i, *best_of(ids, at, scores, names[i], k)
 
     return ranked(cells(vectors, queries, search, "long"), k)
+
+
+SQL = """
+WITH valid AS (
+  SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asked AS (
+  SELECT id, min(v) AS v FROM valid WHERE id % 100 = 0 GROUP BY id
+), scored AS (
+  SELECT DISTINCT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM asked q JOIN valid c ON q.id <> c.id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
