@@ -4,8 +4,10 @@ Each table hashes a vector to the whole parts of a few random projections over a
 query, buckets are visited in the order of estimated success: a step across the nearer boundary
 of a projection costs the square of the query's distance from it, and the sets of steps with the
 least sums come first. The candidates of all tables are merged, then ranked by their exact inner
-product. Hashes see directions only, so vectors longer than the average are candidates at any
-angle. A query that meets too few candidates is scored against the whole cell.
+product. For inner products a vector gets one more coordinate that makes all of a band equally
+long; bands hold vectors of similar length, each with its own tables, and are visited from the
+longest on until no vector of a band can reach the k-th score found. A query that meets too few
+candidates is scored against the whole cell.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.vectors import best_of, cells, prepared, ranked, whole
+from quantspark.llm.vectors import best_of, cells, only_ids, prepared, ranked, whole
 
 TABLES = 5
 PROJECTIONS = 8
 #: bucket width in standard deviations of a unit vector's projection
 WIDTH = 2.5
 #: buckets visited in each table for a query, of 2 ** PROJECTIONS sets of steps
-PROBES = 128
+PROBES = 160
+#: bands of lengths for each doubling
+BANDS = 2
 SEED = 20
 
 
@@ -59,34 +63,62 @@ class Table:
 
 
 class Index:
-    """All tables over one group of vectors."""
+    """The tables of all bands over one group of vectors."""
 
-    def __init__(self, x: np.ndarray, seed: int = SEED):
-        rng = np.random.default_rng(seed)
+    def __init__(self, x: np.ndarray, ids: list[np.ndarray], seed: int = SEED):
         self.x = x
-        self.tables = [Table(unit(x), rng) for _ in range(TABLES)]
+        self.first_id, self.alone = only_ids(ids)
         norm = np.linalg.norm(x, axis=1)
-        self.long = norm > norm.mean() * (1 + 1e-6)
-
-    def candidates(self, q: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each query the places of the long vectors and of those in visited buckets."""
+        band = np.floor(BANDS * np.log2(norm / norm.max()) + 1e-9).astype(np.int64)
+        self.bands = []
+        for number in np.unique(band)[::-1]:
+            at = np.flatnonzero(band == number)
+            most = norm[at].max()
+            rest = np.sqrt(np.maximum(0, 1 - (norm[at] / most) ** 2))
+            rng = np.random.default_rng(seed)
+            level = np.concatenate([x[at] / most, rest[:, None]], axis=1)
+            self.bands.append((at, most, [Table(level, rng) for _ in range(TABLES)]))
+
+    def search(self, q: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the candidates of the visited buckets: places and scores, its own vectors left out."""
+        norm = np.linalg.norm(q, axis=1)
+        level = np.concatenate([q / norm[:, None], np.zeros((len(q), 1))], axis=1)
         for begin in range(0, len(q), 256):
-            part = unit(q[begin : begin + 256])
-            spans = [t.probes(part) for t in self.tables]
-            for i in range(len(part)):
-                hit = self.long.copy()
-                for t, (lo, hi) in zip(self.tables, spans):
-                    size = hi[i] - lo[i]
-                    filled = size > 0
-                    ends = np.cumsum(size[filled])
-                    if len(ends):
-                        jump = np.repeat(lo[i][filled] - (ends - size[filled]), size[filled])
-                        hit[t.order[np.arange(ends[-1]) + jump]] = True
-                yield begin + i, np.flatnonzero(hit)
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+            part = range(begin, min(begin + 256, len(q)))
+            at: dict[int, list] = {i: [] for i in part}
+            scores: dict[int, list] = {i: [] for i in part}
+            kth = np.full(len(q), -np.inf)
+            for members, most, tables in self.bands:
+                # a vector as long as the bound allows; what floats may round off is added
+                going = [i for i in part if kth[i] <= norm[i] * most * (1 + 1e-9)]
+                if not going:
+                    break
+                spans = [t.probes(level[going]) for t in tables]
+                for place, i in enumerate(going):
+                    hit = np.zeros(len(members), bool)
+                    for table, (lo, hi) in zip(tables, spans):
+                        size = hi[place] - lo[place]
+                        filled = size > 0
+                        ends = np.cumsum(size[filled])
+                        if len(ends):
+                            jump = np.repeat(lo[place][filled] - (ends - size[filled]), size[filled])
+                            hit[table.order[np.arange(ends[-1]) + jump]] = True
+                    near = self.others(members[hit], names[i])
+                    at[i].append(near)
+                    scores[i].append(self.x[near] @ q[i])
+                    found = np.concatenate(scores[i])
+                    if len(found) >= k:
+                        kth[i] = np.partition(found, len(found) - k)[len(found) - k]
+            for i in part:
+                if sum(map(len, at[i])) < k:
+                    near = self.others(np.arange(len(self.x)), names[i])
+                    yield i, near, self.x[near] @ q[i]
+                else:
+                    yield i, np.concatenate(at[i]), np.concatenate(scores[i])
+
+    def others(self, at: np.ndarray, own: int) -> np.ndarray:
+        """The places of vectors that stand for another id than ``own``."""
+        return at[(self.first_id[at] != own) | ~self.alone[at]]
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -94,8 +126,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     Queries: rows whose id is divisible by ``every``; candidates: every row but those of the
     query's own id; fewer than k candidates: all. A query for which the visited buckets of a cell
-    hold fewer than k is scored against all of the cell. Directions are hashed, vectors longer than
-    the average of a cell always scored; scores come from the original vectors in double precision; ties go to the smaller id. Rows with a null id, and
+    hold fewer than k is scored against all of the cell. Scores come from the original vectors in
+    double precision; ties go to the smaller id. Rows with a null id, and
     vectors that are null, empty, zero or hold null or non-finite components, take no part.
     Vectors that many rows share are hashed once. Repeated rows count once; an empty table gives
     an empty result; other columns are not read. Every row is indexed; buckets have no cap.
@@ -106,12 +138,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     vectors, queries = prepared(rows, k, every)
 
     def search(names: np.ndarray, q: np.ndarray, v: np.ndarray, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        sizes = np.array(list(map(len, ids)))
-        for i, at in Index(v).candidates(q):
-            # an id stands once in a vector's ids, so own ids are at most one a vector
-            if sizes[at].sum() < k + len(at) and sum((ids[j] != names[i]).sum() for j in at) < k:
-                at = np.arange(len(v))
-            scores = v[at] @ q[i]
+        for i, at, scores in Index(v, ids).search(q, names, k):
             yield i, *best_of(ids, at, scores, names[i], k)
 
     return ranked(cells(vectors, queries, search, "double"), k)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.vectors import best_of, cells, prepared, ranked, whole
+from quantspark.llm.vectors import LEAST, best_of, cells, integer_products, only_ids, prepared, ranked, whole
 
 #: documents of one block
 BLOCK_ROWS = 128
@@ -40,22 +40,30 @@ def near_order(x: np.ndarray) -> np.ndarray:
 class Blocks:
     """Document-range blocks of one group with term maxima, minima and forward indexes."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, ids: list[np.ndarray]):
         self.order = near_order(x)
-        self.x = x[self.order].astype(np.float64)  # whole numbers below 2**53 are exact
+        self.x = x[self.order]
+        self.first_id, self.alone = (a[self.order] for a in only_ids(ids))
         self.starts = np.arange(0, len(x), BLOCK_ROWS)
-        self.most = np.maximum.reduceat(self.x, self.starts)
-        self.least = np.minimum.reduceat(self.x, self.starts)
+        self.most = np.maximum.reduceat(self.x, self.starts).astype(float)
+        self.least = np.minimum.reduceat(self.x, self.starts).astype(float)
+        self.visited = 0
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        return np.maximum(q, 0) @ self.most.T + np.minimum(q, 0) @ self.least.T
+        """No score in a block is greater; what floats may round off is added."""
+        q = q.astype(float)
+        slack = np.abs(q) @ np.maximum(np.abs(self.most), np.abs(self.least)).T * 1e-12
+        return np.maximum(q, 0) @ self.most.T + np.minimum(q, 0) @ self.least.T + slack
 
-    def search(self, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query the visited candidates that can be among the k best: places and scores."""
+    def search(self, q: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the visited candidates that can be among the k best: places and scores.
+
+        Vectors that stand for the query's own id alone are no candidates.
+        """
         bounds = self.bounds(q)
         order = np.argsort(-bounds, axis=1, kind="stable")
-        kth = np.full(len(q), -np.inf)
-        best = np.full((len(q), k), -np.inf)
+        kth = np.full(len(q), LEAST)
+        best = np.full((len(q), k), LEAST)
         seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
         active = np.arange(len(q))
         for turn in range(len(self.starts)):
@@ -64,17 +72,19 @@ class Blocks:
             active, block = active[going], block[going]
             if not len(active):
                 break
+            self.visited += len(active)
             by_block = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.diff(block[by_block])) + 1
             for asked in np.split(by_block, cut):
                 start = self.starts[block[asked[0]]]
-                who = active[asked]
-                scores = q[who] @ self.x[start : start + BLOCK_ROWS].T
-                both = np.concatenate([best[who], scores], axis=1)
+                who, near = active[asked], slice(start, start + BLOCK_ROWS)
+                scores = integer_products(q[who], self.x[near].T)
+                own = (self.first_id[near] == names[who][:, None]) & self.alone[near]
+                both = np.concatenate([best[who], np.where(own, LEAST, scores)], axis=1)
                 best[who] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
                 kth[who] = best[who].min(axis=1)
-                for i, row in zip(who, scores):
-                    good = np.flatnonzero(row >= kth[i])
+                for i, row, mine in zip(who, scores, own):
+                    good = np.flatnonzero((row >= kth[i]) & ~mine)
                     if len(good):
                         seen[i].append((self.order[start + good], row[good]))
         for i, parts in enumerate(seen):
@@ -88,7 +98,8 @@ def exact_top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     Components become floor(1024 x). Queries: rows whose id is divisible by ``every``; candidates:
     every row but those of the query's own id. Fewer than k candidates: all. Ties go to the
     smaller id. Rows with a null id, and vectors that are null, empty or hold null or non-finite
-    components, take no part; vectors of different lengths do not score. Vectors that many rows
+    components, take no part; vectors of different lengths do not score. A component or score beyond
+    64 bits counts as the nearest 64-bit number; all others are exact. Vectors that many rows
     share are scored once. Repeated rows count once; an empty table gives an empty result; other
     columns are not read.
     """
@@ -98,7 +109,7 @@ def exact_top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
     vectors, queries = prepared(rows, k, every)
 
     def search(names: np.ndarray, q: np.ndarray, v: np.ndarray, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for i, at, scores in Blocks(v).search(q.astype(np.float64), k + 1):  # one more: the query's own row
+        for i, at, scores in Blocks(v, ids).search(q, names, k):
             yield i, *best_of(ids, at, scores, names[i], k)
 
     return ranked(cells(vectors, queries, search, "long"), k)

@@ -74,10 +74,18 @@ def cells(
     return own_q.groupBy("gq", "gv").cogroup(own_v.groupBy("gq", "gv")).applyInPandas(run, f"query_id long, vec_id long, score {score_type}")
 
 
+def only_ids(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the id it stands for and whether it stands for that one alone."""
+    return np.array([x[0] for x in ids], np.int64), np.array([len(x) == 1 for x in ids], bool)
+
+
 def best_of(ids: list[np.ndarray], at: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) among vectors ``at``, each standing for all its ids but ``own``; ties to smaller ids."""
-    if len(at) > k + 1:  # one vector may be the query's own
-        least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+    """The k best (ids, scores) among vectors ``at``, each standing for all its ids but ``own``; ties to smaller ids.
+
+    None of ``at`` may stand for ``own`` alone, so that each gives an id.
+    """
+    if len(at) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
         at, scores = at[scores >= least], scores[scores >= least]
     names = np.concatenate([ids[i] for i in at]) if len(at) else np.zeros(0, np.int64)
     values = np.repeat(scores, [len(ids[i]) for i in at])
@@ -87,6 +95,20 @@ def best_of(ids: list[np.ndarray], at: np.ndarray, scores: np.ndarray, own: int,
     return names[order], values[order]
 
 
+LEAST = np.iinfo(np.int64).min + 1
+MOST = np.iinfo(np.int64).max
+
+
+def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` of 64-bit integers, exact: by floats while they hold every sum, beyond 64 bits the limit."""
+    bound = a.shape[1] * float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0))
+    if bound < 2.0**53:
+        return (a.astype(float) @ b.astype(float)).astype(np.int64)
+    if bound < 2.0**62:
+        return a @ b
+    return np.clip(a.astype(object) @ b.astype(object), int(LEAST), int(MOST)).astype(np.int64)
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query over all groups."""
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -354,12 +354,35 @@ def test_nearest_fills_up(spark):
 def test_nearest_recall_of_unequal_lengths(spark):
     p = spark.read.parquet(f"{ROOT}/embeddings.parquet").orderBy("vec_id").toPandas()
     x = np.stack(p.embedding).astype(float)
-    x *= np.random.default_rng(7).lognormal(0, 0.7, (len(x), 1))
-    recall = []
-    for i, at in ann.Index(x).candidates(x[::20]):
-        best = [j for j in np.argsort(-(x @ x[20 * i])) if j != 20 * i][:20]
-        recall.append(np.isin(best, at).mean())
-    assert np.mean(recall) >= 0.95  # 0.91 by directions alone
+    for sigma in (0.3, 0.7, 1.5):
+        long = x * np.random.default_rng(7).lognormal(0, sigma, (len(x), 1))
+        recall = []
+        for i, at, scores in ann.Index(long, [np.array([j]) for j in range(len(x))]).search(long[::20], np.arange(0, len(x), 20), 20):
+            best = [j for j in np.argsort(-(long @ long[20 * i])) if j != 20 * i][:20]
+            recall.append(np.isin(best, at).mean())
+            assert scores == pytest.approx(long[at] @ long[20 * i]) and 20 * i not in at
+        assert np.mean(recall) >= 0.9
+
+
+def test_an_id_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(100, [50.0 + i, 1.0 + j, 1.0]) for i in range(4) for j in range(3)] + [(i, rng.uniform(0.1, 1, 3).tolist()) for i in range(1, 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("id", "ids", "vector", "score", "gq", "rank"):
+        df = df.withColumn(name, F.lit("own"))
+    assert sorted(r.vec_id for r in ann.nearest(df).collect()) == list(range(1, 16))
+    top = topk.exact_top_k(df).collect()
+    assert len(top) == 10 and all(r.vec_id < 16 for r in top)
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    x = rng.uniform(2e4, 2e5, (60, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(1024 * c)) for c in v] for v in x]
+    scores = [sum(a * b for a, b in zip(whole[0], v)) for v in whole]
+    best = sorted(range(1, 60), key=lambda i: (-scores[i], i))[:10]
+    assert [(r.vec_id, r.score) for r in topk.exact_top_k(df).orderBy("rank").collect()] == [(i, scores[i]) for i in best]
 
 
 def test_warc_round_trip(spark, tmp_path):
