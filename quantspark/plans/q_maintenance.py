@@ -11,8 +11,10 @@ from quantspark.factors.alpha101 import ALPHAS
 from quantspark.factors.paper import PAPER_FACTORS
 from quantspark.factors.research import RESEARCH_FACTORS
 from quantspark.factors import smallcap as sc
+from quantspark.functions.expr import field, mean
 from quantspark.operators import aggregates as ag
 from quantspark.operators import quality as dq
+from quantspark.operators.batch import run_factors
 from quantspark.operators.joins import newest
 from quantspark.plans.q_evaluate import long_sql
 from quantspark.plans.registry import HALF_NUDGE, query
@@ -215,30 +217,54 @@ _DIGITS = {
 }
 
 
+def _rounded(values, digits=_DIGITS):
+    """Values rounded as their factor's digits say."""
+    value = F.round(F.col("value") + HALF_NUDGE, 6)
+    for factor, n in digits.items():
+        value = F.when(F.col("factor_name") == factor, F.round(F.col("value") + HALF_NUDGE, n)).otherwise(value)
+    return values.withColumn("value", value + F.lit(0.0))
+
+
+#: factors of one piece of oracle text; DuckDB takes long over many more windows at once
+_PIECE = 14
+
+
+def _family_sql(factors, source):
+    """The long values of a family, by pieces."""
+    names = list(factors)
+    pieces = [{n: factors[n] for n in names[i : i + _PIECE]} for i in range(0, len(names), _PIECE)]
+    return " UNION ALL ".join(f"SELECT * FROM ({long_sql(p, source, _DIGITS)}) f{i}_" for i, p in enumerate(pieces))
+
+
 def _whole_family(name, factors, source, section_rows):
-    """Registers the batch job of every factor of a family, each rounded as its digits say."""
+    """Registers the batch job of every factor of a family."""
 
-    @query(name, f"SELECT * FROM ({long_sql(factors, source, _DIGITS)}) f_")
+    @query(name, _family_sql(factors, source))
     def _(t):
-        long = fs.batch_values(getattr(t, source), factors, section_rows=getattr(t, section_rows))
-        value = F.round(F.col("value") + HALF_NUDGE, 6)
-        for factor, digits in _DIGITS.items():
-            if factor in factors:
-                value = F.when(F.col("factor_name") == factor, F.round(F.col("value") + HALF_NUDGE, digits)).otherwise(value)
-        return long.withColumn("value", value + F.lit(0.0))
-
-
-#: alphas of one job; a plan with windows of many more takes minutes to analyse
-_ALPHA_JOB = 14
-_FIRST = [n for n in list(ALPHAS)[:20] if n not in ("alpha101_007", "alpha101_019")]
-_REST = [n for n in ALPHAS if n not in _FIRST]
-_whole_family("ap15_batch_alphas", {n: ALPHAS[n] for n in _FIRST}, "alpha_d", "section_rows_d")
-for _i in range(0, len(_REST), _ALPHA_JOB):
-    _whole_family(f"ap15_batch_alphas_{_i // _ALPHA_JOB + 2}", {n: ALPHAS[n] for n in _REST[_i : _i + _ALPHA_JOB]}, "alpha_d", "section_rows_d")
+        return _rounded(run_factors(getattr(t, source), factors, section_rows=getattr(t, section_rows)).values)
+
+
+_whole_family("ap15_batch_alphas", ALPHAS, "alpha_d", "section_rows_d")
 _whole_family("rf09_batch_research", RESEARCH_FACTORS, "research_l", "section_rows_l")
 _whole_family("pff36_batch_paper", PAPER_FACTORS, "paper_l", "section_rows_l")
 
 
+#: two formulas that cannot run stand among those that can
+_MIXED = {n: RESEARCH_FACTORS[n] for n in list(RESEARCH_FACTORS)[:3]}
+
+
+def _unbuildable():
+    raise ZeroDivisionError("window of no bars")
+
+
+@query("ap15_isolation", f"""SELECT factor_name, count(*) AS row_count, min(trade_date) AS min_date, max(trade_date) AS max_date, false AS failed FROM ({_family_sql(_MIXED, 'research_l')}) v GROUP BY 1
+ UNION ALL SELECT n, 0, NULL, NULL, true FROM (VALUES ('no_column'), ('no_formula')) b(n)""")
+def _(t):
+    broken = {"no_column": mean(field("close") / field("missing"), 5), "no_formula": _unbuildable}
+    status = run_factors(t.research_l, {**broken, **_MIXED}, section_rows=t.section_rows_l).status()
+    return status.withColumn("failed", F.col("error").isNotNull()).drop("error")
+
+
 _SC = """SELECT symbol, trade_date, 'market_cap' AS factor_name, coalesce(circ_mv, total_mv) AS value FROM basic UNION ALL
  SELECT symbol, trade_date, 'market_cap_rank', CAST(row_number() OVER (PARTITION BY trade_date ORDER BY coalesce(circ_mv, total_mv), symbol) AS DOUBLE) FROM basic UNION ALL
  SELECT p.symbol, p.trade_date, 'is_limit_up', CASE WHEN up_limit > 0 AND close >= up_limit - 0.0001 THEN 1.0 ELSE 0.0 END FROM panel_l p LEFT JOIN limits_l USING (symbol, trade_date)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,17 @@ def shared_root(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder of one run under the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/quantspark-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote, wherever it lies; a missing one is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
