@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,10 +13,12 @@ from quantspark.functions.expr import (
     Node, bars_total, bfill, clip, coalesce, ema, ffill, field, flag, greatest, isnull, mean,
     prior_max, rank, rmax, rmin, total, where, xsum,
 )
+from quantspark.operators.batch import Outcome, run_factors, run_frames
 from quantspark.operators.cross_section import section_position
 from quantspark.operators.filters import special_treatment
 from quantspark.operators.joins import each_day
 from quantspark.operators.panel import with_factors
+from quantspark.sources.store import params_hash
 
 KEYS = ["symbol", "trade_date"]
 #: price distance that still counts as touching a limit
@@ -141,3 +145,59 @@ def drop_hottest(heat: DataFrame, pct: float = 0.2, minimum: int = 5, section_ro
     keep = flag(isnull(value) | (rank(value) <= 1.0 - pct))
     rows = with_factors(heat, {"keep_": keep, "left_": xsum(keep)}, section_rows=section_rows)
     return rows.where((F.col("keep_") > 0) | (F.col("left_") < minimum)).select(*KEYS, "value")
+
+
+# --- the core job ------------------------------------------------------------
+
+
+def stamps(timer: str = "10:30", late: str = "14:30", window: int = 120, threshold: float = 0.9, lots: float = 100.0) -> dict[str, tuple[str, Mapping]]:
+    """As-of time and parameters under which the core job stores each factor; daily ones have none."""
+    at, volume = {"time": timer}, {"time": late, "window": window, "daily_volume_to_share_multiplier": lots}
+    daily = ["market_cap", "market_cap_rank", "is_st", "yesterday_limit_up", *BAR_FACTORS]
+    timed = ["is_paused", "is_limit_up", "is_limit_down"]
+    return {
+        **{n: ("", {}) for n in daily}, **{n: (timer, at) for n in timed}, "cum_volume_at_time": (late, {"time": late}),
+        **{n: (late, volume) for n in ("rolling_max_volume", "high_volume_ratio", "avoid_high_volume_ratio")},
+        "high_volume_signal": (late, {**volume, "threshold": threshold}),
+    }
+
+
+def stamped(values: DataFrame, of: Mapping[str, tuple[str, Mapping]]) -> DataFrame:
+    """Long values with the as-of time and parameter hash of their factor: rows for the store."""
+    pairs = [F.struct(F.lit(time).alias("as_of_time"), F.lit(params_hash(params)).alias("params_hash")) for time, params in of.values()]
+    lookup = F.create_map(*[x for name, pair in zip(of, pairs) for x in (F.lit(name), pair)])
+    mark = F.try_element_at(lookup, F.col("factor_name"))
+    return values.select(*KEYS, mark["as_of_time"].alias("as_of_time"), "factor_name", mark["params_hash"].alias("params_hash"), "value")
+
+
+def core_batch(bars: DataFrame, basic: DataFrame, limits: DataFrame, stocks: DataFrame, changes: DataFrame, minutes: DataFrame, *, minute: int = 630,
+               window: int = 120, threshold: float = 0.9, lots: float = 100.0) -> list[Outcome]:
+    """The eighteen core factors: bar factors as one planned batch, the status frames part by part.
+
+    ``bars`` carries ``cum_volume`` (the volume up to the late timer); ``minutes`` has ``symbol,
+    trade_date, minute_of_day``. Calendars and names come from the bars and the stock list.
+    A part that fails leaves the others their values.
+    """
+    caps = market_cap(basic)
+    days = bars.select("trade_date").distinct()
+    formulas = {**BAR_FACTORS, **high_volume(window, threshold, lots)}
+    seen = minutes.select("symbol", "trade_date", "minute_of_day")
+    frames = {
+        "market_cap": lambda: caps.withColumnRenamed("value", "market_cap"),
+        "market_cap_rank": lambda: cap_rank(caps).withColumnRenamed("value", "market_cap_rank"),
+        "is_st": lambda: st_flags(stocks, changes, days).withColumnRenamed("value", "is_st"),
+        "is_paused": lambda: paused_flags(bars.select("symbol").distinct(), days, seen, minute).withColumnRenamed("value", "is_paused"),
+        "is_limit_up, is_limit_down": lambda: limit_flags(bars, limits),
+        "yesterday_limit_up": lambda: yesterday_limit_up(bars, limits),
+    }
+    return [run_factors(bars, formulas, section_rows=1), run_frames(bars, frames)]
+
+
+def timer_batch(bars: DataFrame, limits: DataFrame, minutes: DataFrame, minute: int = 630) -> Outcome:
+    """The three status factors of one timer point, without the daily ones."""
+    days = bars.select("trade_date").distinct()
+    seen = minutes.select("symbol", "trade_date", "minute_of_day")
+    return run_frames(bars, {
+        "is_paused": lambda: paused_flags(bars.select("symbol").distinct(), days, seen, minute).withColumnRenamed("value", "is_paused"),
+        "is_limit_up, is_limit_down": lambda: limit_flags(bars, limits),
+    })

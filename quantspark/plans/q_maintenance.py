@@ -265,21 +265,69 @@ def _(t):
     return status.withColumn("failed", F.col("error").isNotNull()).drop("error")
 
 
-_SC = """SELECT symbol, trade_date, 'market_cap' AS factor_name, coalesce(circ_mv, total_mv) AS value FROM basic UNION ALL
- SELECT symbol, trade_date, 'market_cap_rank', CAST(row_number() OVER (PARTITION BY trade_date ORDER BY coalesce(circ_mv, total_mv), symbol) AS DOUBLE) FROM basic UNION ALL
- SELECT p.symbol, p.trade_date, 'is_limit_up', CASE WHEN up_limit > 0 AND close >= up_limit - 0.0001 THEN 1.0 ELSE 0.0 END FROM panel_l p LEFT JOIN limits_l USING (symbol, trade_date)"""
+_HV = sc.high_volume(20, 0.9, 1.0)
+_LATE_VOLUME = "(SELECT *, volume * (0.5 + (symbol % 10) / 10.0) AS cum_volume FROM panel_l)"
+#: names of the long panel: every fifth is special from a date on
+_NAMES = """SELECT symbol, name, CASE WHEN symbol % 5 = 0 THEN 1 ELSE 0 END AS is_st, CAST(CASE WHEN symbol % 11 = 0 THEN DATE '2000-01-01' END AS DATE) AS delist_date FROM dim_l"""
+_RENAMED = """SELECT symbol, 'ST ' || name AS name, DATE '1996-01-01' AS start_date, CAST(DATE '1997-06-30' AS DATE) AS end_date FROM dim_l WHERE symbol % 7 = 3"""
 
 
-@query("scf11_core_batch", _SC, value=2)
+def _marked(name, value, source):
+    return f"SELECT symbol, trade_date, '{name}' AS factor_name, CAST({value} AS DOUBLE) AS value FROM {source}"
+
+
+_GRID = "(SELECT s.symbol, d.trade_date FROM (SELECT DISTINCT symbol FROM panel_l) s CROSS JOIN (SELECT DISTINCT trade_date FROM panel_l) d) g"
+_LIMITED = "(SELECT p.*, up_limit, down_limit FROM panel_l p LEFT JOIN limits_l USING (symbol, trade_date)) x"
+_TIMER = [
+    _marked("is_paused", "CASE WHEN EXISTS (SELECT 1 FROM panel_l p WHERE p.symbol = g.symbol AND p.trade_date = g.trade_date AND (p.symbol + day(p.trade_date)) % 4 <> 0) THEN 0 ELSE 1 END", _GRID),
+    _marked("is_limit_up", "CASE WHEN up_limit > 0 AND close >= up_limit - 0.0001 THEN 1 ELSE 0 END", _LIMITED),
+    _marked("is_limit_down", "CASE WHEN down_limit > 0 AND close <= down_limit + 0.0001 THEN 1 ELSE 0 END", _LIMITED),
+]
+_CORE = [
+    _marked("market_cap", "coalesce(circ_mv, total_mv)", "basic"),
+    _marked("market_cap_rank", "row_number() OVER (PARTITION BY trade_date ORDER BY coalesce(circ_mv, total_mv), symbol)", "basic"),
+    _marked("is_st", f"""CASE WHEN EXISTS (SELECT 1 FROM ({_RENAMED}) c WHERE c.symbol = g.symbol AND g.trade_date BETWEEN start_date AND end_date) OR EXISTS (SELECT 1 FROM ({_NAMES}) n
+ WHERE n.symbol = g.symbol AND (is_st > 0 OR contains(name, 'ST') OR delist_date <= g.trade_date)) THEN 1 ELSE 0 END""", "(SELECT s.symbol, d.trade_date FROM dim_l s CROSS JOIN (SELECT DISTINCT trade_date FROM panel_l) d) g"),
+    *_TIMER,
+    _marked("yesterday_limit_up", "CASE WHEN EXISTS (SELECT 1 FROM panel_l q JOIN limits_l l USING (symbol, trade_date) WHERE q.symbol = p.symbol AND q.trade_date = c.prev AND l.up_limit > 0 AND q.close >= l.up_limit - 0.0001) THEN 1 ELSE 0 END",
+            "panel_l p JOIN (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev FROM (SELECT DISTINCT trade_date FROM panel_l)) c USING (trade_date)"),
+    f"SELECT * FROM ({_family_sql({**sc.BAR_FACTORS, **_HV}, _LATE_VOLUME)}) b",
+]
+_STAMPS = sc.stamps(window=20, lots=1.0)
+
+
+def _stamped_sql(parts):
+    """Long values with the as-of time and hash of each factor, written out as the store has them."""
+    def text(params):
+        return "{" + ",".join(f'"{k}":{v!r}' if not isinstance(v, str) else f'"{k}":"{v}"' for k, v in sorted(params.items())) + "}"
+
+    marks = ", ".join(f"('{n}', '{time}', substr(sha1('{text(params)}'), 1, 16))" for n, (time, params) in _STAMPS.items())
+    return f"""SELECT symbol, trade_date, as_of_time, factor_name, params_hash, round(value + {HALF_NUDGE}, CASE factor_name WHEN 'market_cap' THEN 2 ELSE 6 END) + 0.0 AS value FROM ({' UNION ALL '.join(parts)}) v
+ JOIN (VALUES {marks}) m(factor_name, as_of_time, params_hash) USING (factor_name) WHERE value IS NOT NULL"""
+
+
+def _small_caps(t):
+    bars = t.panel_l.withColumn("cum_volume", F.col("volume") * (0.5 + (F.col("symbol") % 10) / 10.0))
+    minutes = t.panel_l.where("(symbol + dayofmonth(trade_date)) % 4 <> 0").select("symbol", "trade_date", F.lit(630).alias("minute_of_day"))
+    return bars, minutes
+
+
+@query("scf11_core_batch", _stamped_sql(_CORE))
+def _(t):
+    bars, minutes = _small_caps(t)
+    name = F.col("name")
+    stocks = t.dim_l.select("symbol", "name", F.when(F.col("symbol") % 5 == 0, 1).otherwise(0).alias("is_st"),
+                            F.when(F.col("symbol") % 11 == 0, F.lit(date(2000, 1, 1))).alias("delist_date"))
+    changes = t.dim_l.where("symbol % 7 = 3").select("symbol", F.concat(F.lit("ST "), name).alias("name"),
+                                                     F.lit(date(1996, 1, 1)).alias("start_date"), F.lit(date(1997, 6, 30)).alias("end_date"))
+    done = sc.core_batch(bars, t.basic, t.limits_l, stocks, changes, minutes, window=20, lots=1.0)
+    return sc.stamped(_rounded(done[0].values.unionByName(done[1].values), {"market_cap": 2}), _STAMPS)
+
+
+@query("scf11_timer_batch", _stamped_sql(_TIMER))
 def _(t):
-    caps = sc.market_cap(t.basic)
-    parts = {"market_cap": caps, "market_cap_rank": sc.cap_rank(caps),
-             "is_limit_up": sc.limit_flags(t.panel_l, t.limits_l).select("symbol", "trade_date", F.col("is_limit_up").alias("value"))}
-    out = None
-    for name, df in parts.items():
-        df = df.select("symbol", "trade_date", F.lit(name).alias("factor_name"), "value")
-        out = df if out is None else out.unionByName(df)
-    return out
+    bars, minutes = _small_caps(t)
+    return sc.stamped(_rounded(sc.timer_batch(bars, t.limits_l, minutes).values), _STAMPS)
 
 
 # --- written tables ---------------------------------------------------------------------
