@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantspark.operators.rowwise import sdiv
+from quantspark.session import cut_lineage
 
 ORDER = ("seq", "quantity", "price")
 #: width, in shares, of the buckets on which cumulative intervals meet
@@ -170,24 +171,122 @@ def apply_pending(positions: DataFrame, pending: DataFrame) -> DataFrame:
     )
 
 
-def first_exit(entries: DataFrame, bars: DataFrame, stop=0.1, trail=0.15, take=0.3) -> DataFrame:
-    """Earliest later bar that meets a stop-loss, trailing-stop or take-profit rule."""
-    later = bars.select("symbol", "trade_date", "close")
-    j = entries.join(later, "symbol").where(F.col("trade_date") > F.col("entry_date"))
-    w = Window.partitionBy("symbol", "entry_date").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.max("close").over(w), F.col("entry_price"))
-    gain = F.col("close") / F.col("entry_price") - 1.0
-    rule = (
-        F.when(gain <= -stop, "stop_loss")
-        .when(F.col("close") / F.col("peak") - 1.0 <= -trail, "trailing_stop")
-        .when(gain >= take, "take_profit")
-    )
-    hits = j.withColumn("peak", peak).withColumn("rule", rule).where("rule is not null")
-    first = hits.groupBy("symbol", "entry_date").agg(
-        F.min("trade_date").alias("exit_date"), F.min_by("rule", "trade_date").alias("rule"),
-        F.min_by("close", "trade_date").alias("exit_price"),
+#: bars of one block, and blocks of one block of the next level
+FAN = 64
+
+
+def _summary(children: Column) -> Column:
+    """Least and greatest price of a node, its deepest fall below its own running peak, and its risk mark."""
+    start = F.struct(
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("dd"), F.lit(False).alias("risk")
     )
-    return entries.join(first, ["symbol", "entry_date"], "left")
+    return F.aggregate(
+        children, start,
+        lambda s, c: F.struct(
+            F.least(s["lo"], c["lo"]).alias("lo"), F.greatest(s["hi"], c["hi"]).alias("hi"),
+            F.least(s["dd"], c["dd"], sdiv(c["lo"], s["hi"])).alias("dd"), (s["risk"] | c["risk"]).alias("risk"),
+        ),
+    )
+
+
+def _levels(bars: DataFrame, risk: str | None) -> list[DataFrame]:
+    """The bars of each symbol as a tree: ``symbol, node, children`` of every level.
+
+    A child of the lowest level is a bar; above, the summary of a node. A node has ``FAN`` children.
+    """
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    flag = F.coalesce(F.col(risk), F.lit(False)) if risk else F.lit(False)
+    rows = bars.where("close is not null").select("symbol", "trade_date", F.col("close").cast("double").alias("close"), flag.alias("risk"))
+    rows = rows.withColumn("no", F.row_number().over(w) - 1)
+    child = F.struct(
+        (F.col("no") % FAN).alias("i"), F.col("close").alias("lo"), F.col("close").alias("hi"), F.lit(1.0).alias("dd"), "risk",
+        F.col("trade_date").alias("day"),
+    )
+    node = F.floor(F.col("no") / FAN).cast("int")
+    levels = [cut_lineage(rows.groupBy("symbol", node.alias("node")).agg(F.array_sort(F.collect_list(child)).alias("children")))]
+    nodes = (levels[0].agg(F.max("node")).first()[0] or 0) + 1  # one number
+    while nodes > 1:
+        child = F.struct((F.col("node") % FAN).alias("i"), "s.lo", "s.hi", "s.dd", "s.risk")
+        below = levels[-1].select("symbol", "node", _summary(F.col("children")).alias("s"))
+        levels.append(below.groupBy("symbol", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(F.array_sort(F.collect_list(child)).alias("children")))
+        nodes = -(-nodes // FAN)
+    return levels
+
+
+def _first_child(start: Column, stop: float, trail: float, take: float) -> Column:
+    """The first child from ``start`` on in which some rule is met, -1 if none, and the peak before it.
+
+    A node's summary decides exactly: its least price meets the stop or the peak so far, its greatest
+    the profit target, and its own deepest fall the trailing stop, or no bar in it does.
+    """
+    def step(s, c):
+        hit = (
+            (sdiv(c["lo"], F.col("entry_price")) - 1.0 <= -stop) | (sdiv(c["lo"], s["peak"]) - 1.0 <= -trail)
+            | (c["dd"] - 1.0 <= -trail) | (sdiv(c["hi"], F.col("entry_price")) - 1.0 >= take) | c["risk"]
+        )
+        met = F.struct(s["peak"].alias("peak"), c["i"].cast("int").alias("at"))
+        on = F.struct(F.greatest(s["peak"], c["hi"]).alias("peak"), s["at"].alias("at"))
+        return F.when(s["at"] >= 0, s).when(F.coalesce(hit, F.lit(False)), met).otherwise(on)
+
+    zero = F.struct(F.col("peak").alias("peak"), F.lit(-1).alias("at"))
+    # a start behind the last child gives an empty slice
+    return F.coalesce(F.aggregate(F.slice("children", start + 1, F.lit(FAN)), zero, step), zero)
+
+
+def first_exit(entries: DataFrame, bars: DataFrame, stop=0.1, trail=0.15, take=0.3, risk: str | None = None) -> DataFrame:
+    """Earliest later bar that meets a stop-loss, trailing-stop, take-profit or risk rule, in that order.
+
+    ``risk`` names a boolean column of ``bars``. The peak runs from the entry price on. The search
+    climbs a tree of blocks of bars until some block must hold the first hit, then goes down
+    into it: an entry meets one node a level on the way up and on the way down, and never its
+    symbol's bars. Bars without a price are skipped; an entry without a positive price can
+    only leave by the trailing stop of the bars after it, or by risk.
+    """
+    levels = _levels(bars, risk)
+    # the number of bars up to the entry is the place of the first later one
+    marks = levels[0].select("symbol", F.explode("children.day").alias("day"), F.lit(1).alias("bar"))
+    own = ["symbol", "entry_date", "entry_price"]
+    asked = entries.select(*own).distinct()
+    both = marks.unionByName(asked.withColumns({"day": F.col("entry_date"), "bar": F.lit(0)}), allowMissingColumns=True)
+    upto = Window.partitionBy("symbol").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    at = both.withColumn("next", F.sum("bar").over(upto).cast("int")).where("bar = 0").select(*own, "next")
+    # found: the level below which the hit lies; node: where to look next on the level at hand
+    rows = at.withColumns({"peak": F.coalesce(F.col("entry_price").cast("double"), F.lit(0.0)), "found": F.lit(-1), "node": F.col("next")})
+    spread = -1 - F.pmod(F.xxhash64("symbol", "entry_date"), F.lit(1 << 20)).cast("int")  # no node: meets nothing
+
+    def visit(rows: DataFrame, level: int, wanted: Column, node: Column, start: Column) -> DataFrame:
+        rows = rows.withColumn("at_node", F.when(wanted, node).otherwise(spread))
+        tree = levels[level].withColumnRenamed("node", "at_node")
+        return rows.join(tree, ["symbol", "at_node"], "left").withColumn("s", F.when(F.col("children").isNotNull(), _first_child(start, stop, trail, take)))
+
+    for level in range(len(levels)):
+        # ``node`` is the first place of this level that is still to be seen
+        rows = visit(rows, level, F.col("found") < 0, F.floor(F.col("node") / FAN).cast("int"), F.col("node") % FAN)
+        hit = F.coalesce(F.col("s.at") >= 0, F.lit(False))
+        rows = rows.withColumns({
+            "peak": F.coalesce("s.peak", "peak"),
+            "node": F.when(F.col("found") >= 0, F.col("node")).when(hit, F.col("at_node") * FAN + F.col("s.at")).otherwise(F.floor(F.col("node") / FAN).cast("int") + 1),
+            "found": F.when(F.col("found") >= 0, F.col("found")).when(hit, level).otherwise(-1),
+        }).drop("children", "s", "at_node")
+    for level in range(len(levels) - 2, -1, -1):
+        rows = visit(rows, level, F.col("found") == level + 1, F.col("node"), F.lit(0))
+        down = F.col("s.at").isNotNull()
+        rows = rows.withColumns({
+            "peak": F.coalesce("s.peak", "peak"),
+            "node": F.when(down, F.col("at_node") * FAN + F.col("s.at")).otherwise(F.col("node")),
+            "found": F.when(down, level).otherwise(F.col("found")),
+        }).drop("children", "s", "at_node")
+    rows = rows.withColumn("at_node", F.when(F.col("found") == 0, F.floor(F.col("node") / FAN).cast("int")).otherwise(spread))
+    rows = rows.join(levels[0].withColumnRenamed("node", "at_node"), ["symbol", "at_node"], "left")
+    bar = F.get("children", F.col("node") % FAN)
+    gain = sdiv(bar["lo"], F.col("entry_price")) - 1.0
+    rule = (
+        F.when(gain <= -stop, "stop_loss").when(sdiv(bar["lo"], F.greatest("peak", bar["lo"])) - 1.0 <= -trail, "trailing_stop")
+        .when(gain >= take, "take_profit").when(bar["risk"], "risk")
+    )
+    exits = rows.select(*[F.col(c).alias(f"{c}_") for c in own], bar["day"].alias("exit_date"), rule.alias("rule"), bar["lo"].alias("exit_price"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in own]
+    return entries.join(exits, same[0] & same[1] & same[2], "left").drop(*[f"{c}_" for c in own])
 
 
 def order_flags(orders: DataFrame, bars: DataFrame, band: float = 0.1, share: float = 0.25) -> DataFrame:

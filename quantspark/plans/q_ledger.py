@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quantspark.factors.bars import AMOUNT, CLOSE, VOLUME
 from quantspark.functions import expr as x
@@ -64,6 +65,19 @@ def _(t):
     return ld.first_exit(e, t.panel_d)
 
 
+@query("ld04_first_exit_long", """WITH b AS (SELECT *, volume > 0.9 * max(volume) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AND count(*) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = 20 AS hot FROM panel_l),
+ e AS (SELECT symbol, trade_date AS entry_date, close AS entry_price FROM panel_l WHERE day(trade_date) = 3),
+ j AS (SELECT e.*, p.trade_date, p.close, p.hot, greatest(max(p.close) OVER (PARTITION BY e.symbol, e.entry_date ORDER BY p.trade_date), entry_price) AS peak FROM e JOIN b p ON p.symbol = e.symbol AND p.trade_date > e.entry_date),
+ h AS (SELECT *, CASE WHEN close / entry_price - 1 <= -0.6 THEN 'stop_loss' WHEN close / peak - 1 <= -0.7 THEN 'trailing_stop' WHEN close / entry_price - 1 >= 1.5 THEN 'take_profit' WHEN hot THEN 'risk' END AS rule FROM j),
+ f AS (SELECT symbol, entry_date, min(trade_date) AS exit_date, min_by(rule, trade_date) AS rule, min_by(close, trade_date) AS exit_price FROM h WHERE rule IS NOT NULL GROUP BY 1, 2)
+ SELECT e.symbol, e.entry_date, entry_price, exit_date, rule, exit_price FROM e LEFT JOIN f ON e.symbol = f.symbol AND e.entry_date = f.entry_date""", entry_price=4, exit_price=4)
+def _(t):
+    before = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-20, -1)
+    hot = (F.col("volume") > 0.9 * F.max("volume").over(before)) & (F.count("*").over(before) == 20)
+    e = t.panel_l.where("dayofmonth(trade_date) = 3").select("symbol", F.col("trade_date").alias("entry_date"), F.col("close").alias("entry_price"))
+    return ld.first_exit(e, t.panel_l.withColumn("hot", hot), 0.6, 0.7, 1.5, risk="hot")
+
+
 _BARS = "(SELECT l_partkey % 50 AS symbol, CAST(l_shipdate AS DATE) AS trade_date, sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"
 
 
