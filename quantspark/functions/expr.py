@@ -233,6 +233,92 @@ def unfold_ema(node: Node, done: dict[str, Node]) -> Node:
     return done[node.key]
 
 
+#: windows of so many bars and more are put together from two parts
+WIDE = 40
+_WIDE_OPS = ("mean", "sum", "std", "stdp", "var", "max", "min", "count", "corr", "cov")
+
+
+class _Parts:
+    """The two parts of a window of n bars, out of blocks of n bars.
+
+    A window ends inside one block and begins inside the one before: it is the start of its own block
+    up to the bar, and the end of the block before from n - 1 bars ago on. Both parts grow bar by
+    bar, so a window costs the same whatever its length, and nothing is ever subtracted.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+        at = Node("bar_index", "ts") - 1.0
+        self.block = floor_(at / float(n))
+        # the last bar of a block has its whole window inside the block
+        self.reaches_back = (at + 1.0) > (floor_((at + 1.0) / float(n)) * float(n))
+
+    def start(self, fn: str, *xs) -> Node:
+        return Node(f"block_start_{fn}", "ts", (*xs, self.block))
+
+    def end(self, fn: str, *xs) -> Node:
+        ended = Node("delay", "ts", (Node(f"block_end_{fn}", "ts", (*xs, self.block)),), (self.n - 1,))
+        return where(self.reaches_back, ended, None)
+
+    def added(self, fn: str, *xs) -> Node:
+        return coalesce(self.start(fn, *xs), 0.0) + coalesce(self.end(fn, *xs), 0.0)
+
+    def joined(self, cross: str, x: Node, y: Node) -> Node:
+        """Sum of products about the means, ``cross`` within the parts: the parts' own and that of their means."""
+        na, nb = self.start("count", x), coalesce(self.end("count", x), 0.0)
+        shift = where((na > 0.0) & (nb > 0.0), self.between(x) * self.between(y) * na * nb / (na + nb), 0.0)
+        return self.added(cross, *((x,) if x is y else (x, y))) + shift
+
+    def between(self, x: Node) -> Node:
+        return self.start("mean", x) - self.end("mean", x)
+
+
+def _from_parts(op: str, xs: tuple[Node, ...], n: int, need: int) -> Node:
+    p = _Parts(n)
+    if op == "count":
+        return p.added("count", xs[0])
+    if op in ("corr", "cov"):
+        a, b = xs
+        x, y = where(notnull(b), a, None), where(notnull(a), b, None)
+        count, cross = p.added("count", x), p.joined("cross", x, y)
+        if op == "cov":
+            return where(count >= float(need), rounded(cross / nullif(count - 1.0, 0.0), 10), None)
+        spread = sqrt(p.joined("square", x, x)) * sqrt(p.joined("square", y, y))
+        flat = [least(p.start("min", v), p.end("min", v)).eq(greatest(p.start("max", v), p.end("max", v))) for v in (x, y)]
+        return where((count >= float(need)) & where(flat[0] | flat[1], False, True), rounded(cross / spread, 10), None)
+    (x,) = xs
+    count = p.added("count", x)
+    if op in ("max", "min"):
+        value = (greatest if op == "max" else least)(p.start(op, x), p.end(op, x))
+    elif op in ("sum", "mean"):
+        value = p.added("sum", x) if op == "sum" else p.added("sum", x) / count
+    else:
+        square = p.joined("square", x, x)
+        value = square / nullif(count if op == "stdp" else count - 1.0, 0.0)
+        value = value if op == "var" else sqrt(value)
+    return where((count >= float(need)) & (count > 0.0), value, None)
+
+
+def unfold_wide(node: Node, done: dict[str, Node]) -> Node:
+    """``node`` with every wide window below it put together from parts of blocks."""
+    if node.key not in done:
+        args = tuple(unfold_wide(a, done) for a in node.args)
+        if node.kind == "ts" and node.op in _WIDE_OPS and node.params[0] >= WIDE:
+            done[node.key] = _from_parts(node.op, args, *node.params)
+        elif any(new is not old for new, old in zip(args, node.args)):
+            done[node.key] = Node(node.op, node.kind, args, node.params)
+        else:
+            done[node.key] = node
+    return done[node.key]
+
+
+def unfolded(outputs) -> dict[str, Node]:
+    """The same outputs by name, with averages and wide windows in the form that is linear in the bars."""
+    ema_done: dict[str, Node] = {}
+    wide_done: dict[str, Node] = {}
+    return {name: unfold_wide(unfold_ema(node, ema_done), wide_done) for name, node in outputs.items()}
+
+
 def cumulative(x):
     return Node("cumsum", "ts", (x,))
 

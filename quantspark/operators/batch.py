@@ -19,7 +19,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.functions.expr import Node, field, unfold_ema, windows_in
+from quantspark.functions.expr import Node, field, unfolded, windows_in
 from quantspark.operators.cross_section import CS
 from quantspark.operators.panel import FIELD_COLUMN, with_factors
 from quantspark.operators.rowwise import ROW
@@ -70,7 +70,7 @@ def known(node: Node, columns: frozenset[str], seen: set[str]) -> None:
     seen.add(node.key)
     if node.kind == "field" and FIELD_COLUMN.get(node.params[0], node.params[0]) not in columns:
         raise Broken(f"no column {node.params[0]}")
-    operators = {"row": ROW, "ts": {**TS, **BLOCK}, "cs": CS}.get(node.kind)
+    operators = {"row": ROW, "ts": {**TS, **BLOCK, "ema": None}, "cs": CS}.get(node.kind)
     if operators is not None and node.op not in operators and node.op != "round":
         raise Broken(f"no operator {node.op}")
     for arg in node.args:
@@ -80,15 +80,14 @@ def known(node: Node, columns: frozenset[str], seen: set[str]) -> None:
 def formulas(factors: Mapping[str, Node | Callable[[], Node]], columns: Sequence[str]) -> tuple[dict[str, Node], dict[str, str]]:
     """The formulas that can be planned, and why the others cannot; a callable builds its formula here."""
     good, errors = {}, {}
-    unfolded: dict[str, Node] = {}
     for name, formula in factors.items():
         try:
-            node = unfold_ema(formula() if callable(formula) else formula, unfolded)
+            node = formula() if callable(formula) else formula
             known(node, frozenset(columns), set())
             good[name] = node
         except Exception as error:  # one formula never stops the others
             errors[name] = f"{type(error).__name__}: {error}"
-    return good, errors
+    return unfolded(good), errors
 
 
 def windows_of(node: Node) -> frozenset[str]:

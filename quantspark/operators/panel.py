@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quantspark.functions.expr import Node, passes, unfold_ema
+from quantspark.functions.expr import Node, passes, unfolded
 from quantspark.operators.cross_section import CS, attach_sections
 from quantspark.operators.rowwise import ROW
 from quantspark.operators.timeseries import BLOCK, TS
@@ -56,8 +56,7 @@ def with_factors(
     not know it and a cross-section is needed, it is measured. Sections beyond
     ``quantspark.maxGroupRows`` use the bucketed form.
     """
-    unfolded: dict[str, Node] = {}
-    outputs = {name: unfold_ema(node, unfolded) for name, node in outputs.items()}
+    outputs = unfolded(outputs)
     plan = passes(outputs.values())
     limit = int_conf(df.sparkSession, MAX_GROUP_ROWS, DEFAULT_MAX_GROUP_ROWS)
     if section_rows is None and any(kind == "cs" for kind, _ in plan):

@@ -110,8 +110,30 @@ def previous_block_sum(symbol: str, date: str, y: Column, block: Column) -> Colu
     return F.sum(y).over(Window.partitionBy(symbol).orderBy(block).rangeBetween(-1, -1))
 
 
+#: what the two parts of a wide window carry; the last two become sums about the means
+PARTS = {"sum": F.sum, "count": F.count, "mean": F.avg, "min": F.min, "max": F.max, "square": F.var_pop, "cross": F.covar_pop}
+
+
+def _part(name: str, from_start: bool):
+    """Over the bars of a block up to the current one, or from it on; both frames only ever grow."""
+
+    def op(symbol: str, date: str, *args: Column) -> Column:
+        *xs, block = args
+        w = Window.partitionBy(symbol, block).orderBy(F.asc(date) if from_start else F.desc(date))
+        spec = w.rowsBetween(Window.unboundedPreceding, 0)
+        value = PARTS[name](*xs).over(spec)
+        if name in ("square", "cross"):
+            value = value * F.count(xs[0]).over(spec)
+        return value.cast("double")
+
+    return op
+
+
 #: window operators with a partitioning of their own
-BLOCK = {"block_running_sum": block_running_sum, "previous_block_sum": previous_block_sum}
+BLOCK = {
+    "block_running_sum": block_running_sum, "previous_block_sum": previous_block_sum,
+    **{f"block_start_{n}": _part(n, True) for n in PARTS}, **{f"block_end_{n}": _part(n, False) for n in PARTS},
+}
 
 
 def _running(fn):

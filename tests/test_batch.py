@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantspark.factors.alpha101 import ALPHAS
-from quantspark.functions.expr import Node, corr, delta, field, mean, rank, total, unfold_ema
+from quantspark.functions.expr import Node, corr, delta, field, mean, rank, total, unfolded
 from quantspark.operators import batch
 from quantspark.operators.panel import with_factors
 from quantspark.sources import store as fs
@@ -64,7 +64,7 @@ def test_dates_and_nothing_at_all(bars):
 
 
 def test_jobs_of_the_alphas_are_bounded_and_share():
-    nodes = {n: unfold_ema(x, {}) for n, x in ALPHAS.items()}
+    nodes = unfolded(ALPHAS)
     jobs = batch.packed(nodes, batch.WIDTH)
     assert sorted(n for j in jobs for n in j) == sorted(ALPHAS)
     for job in jobs:
