@@ -107,24 +107,35 @@ def annual_rebalance_dates(days: DataFrame, month: int = 5) -> DataFrame:
     )
 
 
+def whole_market_baskets(bars: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every name in every period (entry_date, exit_date) that begins on its first bar or later.
+
+    A name is opened to its own years, which meet the periods by an equi-join.
+    """
+    years = spans.withColumn("year", F.year("entry_date"))
+    last = years.agg(F.max("year").alias("last"))  # one row
+    listed = bars.groupBy("symbol").agg(F.min("trade_date").alias("first")).join(F.broadcast(last))
+    opened = listed.where("last >= year(first)").select("symbol", "first", F.explode(F.sequence(F.year("first"), "last")).alias("year"))
+    return opened.join(F.broadcast(years), "year").where("first <= entry_date").select("symbol", "entry_date", "exit_date")  # a few periods a year
+
+
 def basket_returns(baskets: DataFrame, bars: DataFrame, dividends: DataFrame) -> DataFrame:
     """Equal-weight total return per holding period and its compounded value.
 
-    ``baskets`` has symbol, entry_date, exit_date. Each dividend finds its period by an
-    as-of lookup on the entry dates, so no dividend is paired with more than one period.
+    ``baskets`` has symbol, entry_date, exit_date; holding periods may overlap. The dividends of a
+    period are the difference of two running sums, found as of its two dates.
     """
     prices = bars.select("symbol", F.col("trade_date").alias("price_date"), "close")
-    entry = asof_join(baskets, prices, "entry_date", "price_date", ["close"])
-    entry = entry.withColumnRenamed("close", "entry_price").drop("price_date")
-    both = asof_join(entry, prices, "exit_date", "price_date", ["close"])
-    both = both.withColumnRenamed("close", "exit_price").drop("price_date")
-    spans = baskets.select("symbol", F.col("entry_date").alias("from_"), F.col("exit_date").alias("to_"))
-    placed = asof_join(dividends, spans, "ex_date", "from_", ["to_"], strict=True)
-    paid = placed.where(F.col("ex_date") <= F.col("to_")).groupBy(
-        "symbol", F.col("from_").alias("entry_date")
-    ).agg(F.sum("dividend").alias("paid"))
-    held = both.join(paid, ["symbol", "entry_date"], "left").where("entry_price > 0 and exit_price is not null")
-    gain = (F.col("exit_price") + F.coalesce("paid", F.lit(0.0))) / F.col("entry_price") - 1.0
+    upto = Window.partitionBy("symbol").orderBy("ex_date").rowsBetween(Window.unboundedPreceding, 0)
+    daily = dividends.groupBy("symbol", "ex_date").agg(F.sum("dividend").alias("dividend"))
+    running = daily.select("symbol", "ex_date", F.sum("dividend").over(upto).alias("sum_"))
+    held = baskets
+    for side in ("entry", "exit"):
+        held = asof_join(held, prices, f"{side}_date", "price_date", ["close"]).withColumnRenamed("close", f"{side}_price").drop("price_date")
+        held = asof_join(held, running, f"{side}_date", "ex_date", ["sum_"]).withColumnRenamed("sum_", f"{side}_sum").drop("ex_date")
+    held = held.where("entry_price > 0 and exit_price is not null")
+    paid = F.coalesce("exit_sum", F.lit(0.0)) - F.coalesce("entry_sum", F.lit(0.0))
+    gain = (F.col("exit_price") + paid) / F.col("entry_price") - 1.0
     periods = held.groupBy("entry_date", "exit_date").agg(
         F.count(F.lit(1)).alias("names"), F.avg(gain).alias("ret")
     )

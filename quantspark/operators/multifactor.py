@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from quantspark.functions.expr import (
     xintercept, xmax, xmin, xslope, xstdp, zscore_pop,
 )
 from quantspark.operators.panel import with_factors
+from quantspark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -137,30 +139,64 @@ def order_deltas(targets: DataFrame, positions: DataFrame, prices: DataFrame, po
     return rows.withColumn("side", side).orderBy(F.when(F.col("delta") < 0, 0).otherwise(1), "symbol")
 
 
+#: ranks of one chunk of a date's orders
+RANKS = 4096
+
+
+def _sum_before(orders: DataFrame, value: Column, out: str) -> DataFrame:
+    """The sum of ``value`` over the orders of the date that come first, chunk by chunk of ranks."""
+    orders = orders.withColumns({"chunk_": F.floor(F.col("rank") / RANKS), "value_": value})
+    chunks = orders.groupBy("trade_date", "chunk_").agg(F.sum("value_").alias("own_"))
+    by_chunk = Window.partitionBy("trade_date").orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunks.select("trade_date", "chunk_", F.coalesce(F.sum("own_").over(by_chunk), F.lit(0)).alias("start_"))
+    inside = Window.partitionBy("trade_date", "chunk_").orderBy("rank", "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    placed = orders.withColumn("in_", F.coalesce(F.sum("value_").over(inside), F.lit(0)))
+    return placed.join(starts, ["trade_date", "chunk_"]).withColumn(out, F.col("start_") + F.col("in_")).drop("chunk_", "value_", "in_", "start_")
+
+
 def admit_buys(orders: DataFrame, cash: float, buffer: float = 0.02, max_orders: int | None = None) -> DataFrame:
     """Greedy, rank-ordered admission of buys under a cash limit, per date.
 
-    Greedy admission is sequential. Every order comes back; with ``max_orders``, the strategy's
-    position limit, orders ranked beyond it are not accepted. Orders that cost more than the cash
-    are left out of the fold, since they can never be accepted.
+    Every order comes back; with ``max_orders``, the strategy's position limit, orders ranked beyond
+    it are not accepted. An order without a cost or with a negative one is not accepted, a free
+    one is. ``rank`` is a number and, with the symbol, the order within a date.
+
+    Greedy admission is sequential, but not order by order. While at least half of a date's cash is
+    left, every order of at most that half fits, and what is left before each order is a prefix sum
+    over these. So the first order is found at which a larger one fits or the cash falls below
+    half: up to there all is decided, and the rest goes on with less than half the cash. Each
+    round is one distributed pass over all dates; there are as many as the cash halves
+    until nothing is left that it pays.
     """
-    few = orders
+    at = F.struct("rank", "symbol")
+    base = orders
     if max_orders is not None:
-        w = Window.partitionBy("trade_date").orderBy("rank", "symbol")
-        few = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_orders)
-    few = few.where(F.col("cost") <= cash * (1.0 - buffer))
-    arr = F.array_sort(F.collect_list(F.struct("rank", "symbol", "cost")))
-    start = F.struct(F.lit(cash * (1.0 - buffer)).alias("left"), F.array().cast("array<string>").alias("ok"))
-
-    def step(acc, o):
-        fits = o["cost"] <= acc["left"]
-        return F.struct(
-            F.when(fits, acc["left"] - o["cost"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["ok"], F.array(o["symbol"].cast("string")))).otherwise(acc["ok"]).alias("ok"),
-        )
-
-    folded = few.groupBy("trade_date").agg(F.aggregate(arr, start, step).alias("s"))
-    accepted = folded.select("trade_date", F.explode("s.ok").alias("symbol_text"))
-    j = orders.withColumn("symbol_text", F.col("symbol").cast("string")).join(
-        accepted.withColumn("accepted", F.lit(True)), ["trade_date", "symbol_text"], "left")
-    return j.select("trade_date", "symbol", "rank", "cost", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        base = _sum_before(base, F.lit(1), "placed_").withColumn("placed_", F.col("placed_") < max_orders)
+    else:
+        base = base.withColumn("placed_", F.lit(True))
+    base = cut_lineage(base.select("trade_date", "symbol", "rank", "cost", "placed_"))
+    buys = base.where(F.col("placed_") & (F.col("cost") > 0)).select("trade_date", "symbol", "rank", "cost", at.alias("at_"))
+    state = buys.groupBy("trade_date").agg(F.lit(float(cash * (1.0 - buffer))).alias("left_"), F.struct((F.min("rank") - 1).alias("rank"), F.min("symbol").alias("symbol")).alias("from_"))
+    rounds = []
+    while True:
+        state = cut_lineage(state)  # one row per date that still has cash to give
+        live = buys.join(F.broadcast(state), "trade_date").where((F.col("at_") > F.col("from_")) & (F.col("cost") <= F.col("left_")))
+        half = F.col("left_") / 2.0
+        small = F.col("cost") <= half
+        seen = _sum_before(live, F.when(small, F.col("cost")).otherwise(0.0), "spent_").withColumn("room_", F.col("left_") - F.col("spent_"))
+        turn = F.when(small, F.col("room_") - F.col("cost") < half).otherwise(F.col("cost") <= F.col("room_"))
+        ends = seen.where(turn).groupBy("trade_date").agg(F.min("at_").alias("to_"), F.min_by(F.col("room_") - F.col("cost"), "at_").alias("rest_"))
+        done = cut_lineage(state.join(ends, "trade_date", "left"))
+        rounds.append(done.select("trade_date", "left_", "from_", "to_"))
+        state = done.where("to_ is not null").select("trade_date", F.col("rest_").alias("left_"), F.col("to_").alias("from_"))
+        if state.isEmpty():
+            break
+    decided = reduce(DataFrame.unionByName, rounds).groupBy("trade_date").agg(F.collect_list(F.struct("left_", "from_", "to_")).alias("rounds_"))
+
+    def taken(r):
+        inside = (at > r["from_"]) & F.coalesce(at <= r["to_"], F.lit(True))
+        return inside & (F.col("cost") <= r["left_"]) & ((F.col("cost") <= r["left_"] / 2.0) | at.eqNullSafe(r["to_"]))
+
+    accepted = F.col("placed_") & ((F.col("cost") == 0) | ((F.col("cost") > 0) & F.exists("rounds_", taken)))
+    both = base.join(F.broadcast(decided), "trade_date", "left")  # one row per date
+    return both.select("trade_date", "symbol", "rank", "cost", F.coalesce(accepted, F.lit(False)).alias("accepted"))

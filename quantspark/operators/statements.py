@@ -21,8 +21,8 @@ REPORTED = [
     "roe", "revenue", "net_profit", "revenue_yoy", "profit_yoy", "gross_margin",
     "total_assets", "total_liability", "total_equity",
 ]
-#: beyond this many statements the 1 % / 99 % bounds are found by value buckets
-EXACT_QUANTILE_ROWS = 5_000_000
+#: present values that a column needs for its bounds
+LEAST_VALUES = 10
 
 
 def available_date(report: Column, announced: Column) -> Column:
@@ -33,27 +33,19 @@ def available_date(report: Column, announced: Column) -> Column:
     return F.coalesce(announced, F.date_add(report, days))
 
 
-def clip_bounds(df: DataFrame, columns, low=0.01, high=0.99, rows: int | None = None) -> DataFrame:
-    """One row with the lower and upper bound of every column (NULL below ten values)."""
-    total = df.count() if rows is None else rows
-    if total <= EXACT_QUANTILE_ROWS:
-        aggs = []
-        for c in columns:
-            enough = F.count(c) >= 10
-            aggs += [
-                F.when(enough, F.percentile(c, F.lit(low))).alias(f"{c}_lo"),
-                F.when(enough, F.percentile(c, F.lit(high))).alias(f"{c}_hi"),
-            ]
-        return df.agg(*aggs)
-    one = df.select(F.lit(1).alias("all_")).limit(1)
-    keyed = df.select(F.lit(1).alias("all_"), *columns)
-    for c in columns:
-        bounds = quantile_table(keyed, ["all_"], F.col(c), {f"{c}_lo": low, f"{c}_hi": high})
-        one = one.join(bounds, "all_", "left")
-    return one.drop("all_")
-
-
-def quarterly(statements: DataFrame, *, clip: bool = True, rows: int | None = None) -> DataFrame:
+def clip_bounds(df: DataFrame, columns, low=0.01, high=0.99) -> DataFrame:
+    """One row with the lower and upper bound of every column (NULL below ten values).
+
+    All columns are ranked at once, by counts of equal values, so no buffer holds a whole column.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_", "value_")
+    long = long.where("value_ is not null")
+    enough = long.groupBy("column_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= LEAST_VALUES)
+    bounds = quantile_table(long, ["column_"], F.col("value_"), {"lo": low, "hi": high}).join(F.broadcast(enough), "column_")  # a row for each column
+    return bounds.agg(*[F.max(F.when(F.col("column_") == c, F.col(side))).alias(f"{c}_{side}") for c in columns for side in ("lo", "hi")])
+
+
+def quarterly(statements: DataFrame, *, clip: bool = True) -> DataFrame:
     """Per-quarter growth and ratios from cumulative year-to-date statements."""
     f = statements.withColumn("fiscal_year", F.year("report_date")).withColumn(
         "period_id", F.year("report_date") * 4 + F.quarter("report_date")
@@ -96,7 +88,7 @@ def quarterly(statements: DataFrame, *, clip: bool = True, rows: int | None = No
     )
     if clip:
         # whole-sample bounds are the definition; ``clip=False`` is the point-in-time form
-        bounds = clip_bounds(f, DERIVED, rows=rows)
+        bounds = clip_bounds(f, DERIVED)
         f = f.join(F.broadcast(bounds))  # bounds is a single row by construction
         f = f.withColumns(
             {

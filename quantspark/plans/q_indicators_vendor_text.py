@@ -97,7 +97,7 @@ def _(t):
 def _(t):
     w = Window.partitionBy(F.lit(0)).orderBy("entry_date")  # one row per year
     spans = ind.annual_rebalance_dates(t.panel_l).select(F.col("trade_date").alias("entry_date")).withColumn("exit_date", F.lead("entry_date").over(w)).where("exit_date is not null")
-    baskets = t.dim_l.select("symbol").join(F.broadcast(spans), F.lit(True))  # every name in every yearly basket
+    baskets = ind.whole_market_baskets(t.panel_l, spans)
     div = t.fin.select("symbol", F.col("report_date").alias("ex_date"), (F.col("total_assets") / 1e7).alias("dividend"))
     return ind.basket_returns(baskets, t.panel_l, div)
 

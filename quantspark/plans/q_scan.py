@@ -198,7 +198,14 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), [scan.dataset_bounds(n, getattr(t, n)) for n in scan.CATALOG])
 
 
-@query("sc21_schema")
+#: names of the column types in the two engines
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "DATE": "date", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "HUGEINT": "bigint"}
+_SCHEMA = " UNION ALL ".join(
+    f"""SELECT '{n}' AS dataset, column_name, CASE column_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())} ELSE column_type END AS type,
+ (SELECT count(*) FROM {n}) AS row_count FROM (DESCRIBE SELECT * FROM {n})""" for n in scan.CATALOG)
+
+
+@query("sc21_schema", _SCHEMA)
 def _(t):
     rows = [(n, f.name, f.dataType.simpleString()) for n in scan.CATALOG for f in getattr(t, n).schema.fields]
     known = t.spark.createDataFrame(rows, "dataset string, column_name string, type string")

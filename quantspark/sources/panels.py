@@ -229,13 +229,9 @@ class Tables:
     def alpha_l(self) -> DataFrame:
         return alpha_input(self.panel_l, self.basic, self.dim_l)
 
-    @cached_property
-    def fin_rows(self) -> int:
-        return self.fin.count()
-
     @cached_property
     def fin_q(self) -> DataFrame:
-        return quarterly(self.fin_full, rows=self.fin_rows)
+        return quarterly(self.fin_full)
 
     @cached_property
     def paper_l(self) -> DataFrame:
