@@ -21,14 +21,28 @@ from quantspark.plans.registry import HALF_NUDGE, query
 from quantspark.sources import scan
 from quantspark.sources import sinks as sk
 from quantspark.sources import store as fs
+from quantspark.sources.versioned import Dataset
 from quantspark.streaming.jobs import work_folder
 
 
 @query("sk01_upsert", """SELECT symbol, trade_date, CASE WHEN day(trade_date) >= 15 THEN close + 1 ELSE close END AS close FROM panel_d""", close=6)
 def _(t):
-    old = t.panel_d.select("symbol", "trade_date", "close")
-    batch = old.where("dayofmonth(trade_date) >= 15").withColumn("close", F.col("close") + 1)
-    return sk.upserted(old, batch, ["symbol", "trade_date"])
+    bars = Dataset(t.spark, work_folder(t.spark) + "/bars", ["symbol", "trade_date"])
+    first = t.panel_d.select("symbol", "trade_date", "close")
+    bars.upsert(first)
+    bars.upsert(first.where("dayofmonth(trade_date) >= 15").withColumn("close", F.col("close") + 1))
+    return bars.rows().select("symbol", "trade_date", "close")
+
+
+@query("sk01_upsert_long", """SELECT symbol, trade_date, CASE WHEN year(trade_date) = 1997 AND symbol % 3 = 0 THEN close * 2 ELSE close END AS close,
+ CASE WHEN year(trade_date) = 1997 AND symbol % 3 = 0 THEN 'late' END AS note FROM panel_l WHERE trade_date BETWEEN DATE '1996-11-15' AND DATE '1998-02-10'""", close=6)
+def _(t):
+    bars = Dataset(t.spark, work_folder(t.spark) + "/bars", ["symbol", "trade_date"])
+    first = t.panel_l.select("symbol", "trade_date", "close")
+    bars.upsert(first)
+    late = first.where("year(trade_date) = 1997 and symbol % 3 = 0")
+    bars.upsert(late.withColumns({"close": F.col("close") * 2, "note": F.lit("late")}))
+    return bars.between(date(1996, 11, 15), date(1998, 2, 10)).select("symbol", "trade_date", "close", "note")
 
 
 @query("sk04_migrate", """SELECT symbol, trade_date, CASE factor_name WHEN 'close_level' THEN 'price_level' ELSE factor_name END AS factor_name, version, value FROM store""", value=6)
