@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -67,3 +68,21 @@ def lists(values: np.ndarray | pa.Array, lengths: list[int]) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+#: the columns of documents that stage functions use by name
+USED = ("doc_id", "text", "source", "n_chars")
+
+
+def own_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of documents that gives their columns back, safe from the names of further ones.
+
+    Inside, columns that it does not use stand under names that none of its own can have.
+    """
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        inner = docs.toDF(*[c if c in USED else f"own_column_{i}_" for i, c in enumerate(docs.columns)])
+        return stage(inner, *args, **kwargs).toDF(*docs.columns)
+
+    return run

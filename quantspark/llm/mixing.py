@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import staged
+from quantspark.llm.common import own_columns, staged
 
 #: words of a block; a source's take is within half a block of its target
 BLOCK_WORDS = 64
@@ -156,11 +156,14 @@ def mix_of_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+@own_columns
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: one row for each pass over a document.
+    """The mix as documents, with the columns of ``docs``, whatever their names: one row for each pass over a document.
 
     A pass that takes every word keeps the text as it is; another holds the words it takes, in
-    their order, joined by one blank. Documents without words cannot be taken.
+    their order, joined by one blank. Documents without words, null texts among them, cannot be
+    taken; repeated rows are taken each; a null source is a source of its own; an empty table gives
+    an empty result.
     """
     rows = docs.withColumn("text_key", F.md5("text"))
     documents, found = mix(docs)
@@ -170,7 +173,8 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     # equal rows (id, text, source) stand at several starts: the rank among them tells them apart
     same = Window.partitionBy("doc_id", "source_key", "text_key").orderBy("start")
     placed = documents.select("doc_id", "source_key", "text_key", "start", "size", F.row_number().over(same).alias("copy"))
-    of_rows = sized(rows, "source", "text").drop("size").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source_key", "text_key").orderBy(F.lit(0))))
+    further = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))  # equal ones are the same row
+    of_rows = sized(rows, "source", "text").drop("size").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source_key", "text_key").orderBy(further)))
     ids = ["doc_id", "source_key", "text_key", "copy"]
     match = F.lit(True)
     left, right = of_rows.alias("l"), placed.join(takes, ["source_key", "start"]).alias("r")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import lists, pieces, staged, texts_of
+from quantspark.llm.common import lists, own_columns, pieces, staged, texts_of
 from quantspark.llm.components import components
 from quantspark.llm.hashing import mixed, stretch_hashes
 
@@ -300,8 +300,13 @@ def classes_of_documents(docs: DataFrame) -> DataFrame:
     return near_duplicate_classes(docs).select("doc_id", "class_id", "class_rows", "n_links")
 
 
+@own_columns
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of the least (id, text); the same columns."""
+    """``docs`` with one row of each class: that of the least (id, text); the same columns, whatever their names.
+
+    Null counts as an empty text, null ids come first; of repeated rows one stays; an empty table
+    gives an empty result.
+    """
     first = near_duplicate_classes(docs).where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     rows = docs.withColumn("_text_key", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import held_out, lists, pieces, texts_of
+from quantspark.llm.common import held_out, lists, own_columns, pieces, texts_of
 
 #: labelled rows that the model is fitted on at most, taken in the order of a hash of their id
 SAMPLE_ROWS = 20_000
@@ -202,12 +202,13 @@ def with_features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits the model on labelled documents that are not held out, SAMPLE_ROWS of them at most.
 
-    Labels other than 0 and 1 and null ids are passed over. An id labelled twice counts with
+    Labels other than 0 and 1, null ids and labels without a document are passed over. An id labelled twice counts with
     its lower label, and of documents that share an id the one with the least features counts,
     so that reruns agree. Without any usable row the model is a constant of one half.
     """
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+        .join(docs.select(id_col), id_col, "left_semi")
         .groupBy(F.col(id_col).alias("labelled"))
         .agg(F.min(label_col).cast("int").alias("y"))
         .orderBy(F.xxhash64("labelled"), "labelled")
@@ -247,7 +248,11 @@ def quality_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, learn(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@own_columns
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects; the same columns."""
+    """``docs`` without the documents that the classifier rejects; the same columns, whatever their names.
+
+    Null texts are judged as empty ones, repeated rows each; an empty table gives an empty result.
+    """
     out = scored(docs, learn(docs, labels), "text", docs.columns)
     return out.where(F.col("predicted") == 1).select(*docs.columns)

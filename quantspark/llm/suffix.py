@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import staged
+from quantspark.llm.common import own_columns, staged
 from quantspark.llm.hashing import mixed, stretch_hashes
 
 #: bytes of a repeated string, and of an anchor
@@ -386,10 +386,12 @@ def removed_of_documents(docs: DataFrame) -> DataFrame:
     return rows.join(each, ["t1", "t2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@own_columns
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut from the texts; what keeps no word goes; the same columns.
+    """``docs`` with repeated passages cut from the texts; what keeps no word goes; the same columns, whatever their names.
 
-    A letter whose bytes are cut in part goes wholly.
+    A letter whose bytes are cut in part goes wholly. Null and empty texts keep no word; an empty
+    table gives an empty result.
     """
     rest = docs.select(*identity(F.col("text")), *[c for c in docs.columns if c != "text"])
     rows = staged(docs.select(*identity(F.col("text")), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")))
