@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,10 +71,18 @@ def anchored(t):
 def _(t):
     path = jobs.work_folder(t.spark)
     bars = anchored(t)
-    bars.write.parquet(path)
-    # a replay: all files are one micro-batch, since files are not in the order of time
-    stream = t.spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(path)
-    out = jobs.run_available(jobs.stream_grid_signals(stream, 0.2, 0.5))
+    bars.write.parquet(path + "/all")
+    bars = t.spark.read.schema(bars.schema).parquet(path + "/all")
+    # a replay: slices of ten days arrive in order, their files in any
+    first, last = bars.agg(F.min("start"), F.max("start")).first()
+    schema, n = "symbol string, start timestamp_ntz, close double, anchor double", 0
+    while first is not None and first <= last:
+        until = first + timedelta(days=10)
+        bars.where((F.col("start") >= first) & (F.col("start") < until)).repartition(4).write.parquet(f"{path}/slices/{n:05d}")
+        first, n = until, n + 1
+    if n == 0:
+        return t.spark.createDataFrame([], "symbol string, trade_date date, minute_of_day int, reference double, action string")
+    out = jobs.replay_grid_signals(t.spark, path + "/slices", schema, 0.2, 0.5, "10 days", 4)
     return out.select("symbol", *day_and_minute(), "reference", "action")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from quantspark.operators.joins import newest
 from quantspark.operators.rowwise import sdiv
@@ -94,32 +95,110 @@ def stream_vwap(ticks: DataFrame, width: str = "30 minutes", slide: str = "10 mi
     return out.select("symbol", F.col("window.start").cast("timestamp_ntz").alias("start"), "vwap")
 
 
-GRID_OUT = "symbol string, start timestamp_ntz, close double, reference double, action string"
+GRID_OUT = "symbol string, start timestamp, close double, reference double, action string"
+WAITING = "start timestamp, close double, anchor double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_grid_signals(bars: DataFrame, step: float, reset: float) -> DataFrame:
-    """Band crossings against a per-symbol reference that resets to the anchor.
+class GridSignals(StatefulProcessor):
+    """Band crossings of one symbol in the order of event time.
 
-    State is one number per symbol. ``bars`` carries symbol, start, close, anchor. A reset
-    depends on its bar alone, so the reference is the last reset anchor, or the carried one.
+    Bars wait in the state until the watermark has passed them; a timer at the earliest one then
+    hands out all that are due, sorted. The state is one reference and the bars of one delay. A
+    reset depends on its bar alone, so the reference is the last reset anchor, or the carried one.
     """
 
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("start")
-        resets = (rows["close"] / rows["anchor"] - 1.0).abs() > reset
-        if not state.exists:
+    def __init__(self, step: float, reset: float):
+        self.step, self.reset = step, reset
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.reference = handle.getValueState("reference", "reference double")
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            bars = frame[["start", "close", "anchor"]]
+            self.waiting.appendList(list(bars.itertuples(index=False, name=None)))
+            self.handle.registerTimer(_millis(bars["start"]).min())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        bars = pd.DataFrame(list(self.waiting.get()), columns=["start", "close", "anchor"])
+        if bars.empty:
+            return
+        bars["start"] = pd.to_datetime(bars["start"])
+        due = _millis(bars["start"]) <= timerValues.getCurrentWatermarkInMs()
+        rest = bars[~due]
+        if due.any():
+            yield self.signals(key[0], bars[due].sort_values("start", kind="stable"))
+        if rest.empty:
+            self.waiting.clear()
+            return
+        self.waiting.put(list(rest.itertuples(index=False, name=None)))
+        self.handle.registerTimer(_millis(rest["start"]).min())
+
+    def signals(self, symbol, rows: pd.DataFrame) -> pd.DataFrame:
+        resets = (rows["close"] / rows["anchor"] - 1.0).abs() > self.reset
+        known = self.reference.exists()
+        if not known:
             resets.iloc[0] = True
         reference = rows["anchor"].where(resets).ffill()
-        if state.exists:
-            reference = reference.fillna(state.get[0])
-        state.update((float(reference.iloc[-1]),))
-        low, high = rows["close"] <= reference * (1.0 - step), rows["close"] >= reference * (1.0 + step)
-        yield pd.DataFrame({
-            "symbol": key[0], "start": rows["start"], "close": rows["close"], "reference": reference,
+        if known:
+            reference = reference.fillna(self.reference.get()[0])
+        self.reference.update((float(reference.iloc[-1]),))
+        low, high = rows["close"] <= reference * (1.0 - self.step), rows["close"] >= reference * (1.0 + self.step)
+        return pd.DataFrame({
+            "symbol": symbol, "start": rows["start"], "close": rows["close"], "reference": reference,
             "action": np.select([low, high], ["BUY", "SELL"], "HOLD"),
         })
 
-    return bars.groupBy("symbol").applyInPandasWithState(update, GRID_OUT, "reference double", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def _millis(starts: pd.Series) -> pd.Series:
+    return (starts - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
+
+
+def stream_grid_signals(bars: DataFrame, step: float, reset: float, delay: str = "10 minutes") -> DataFrame:
+    """Band crossings against a per-symbol reference that resets to the anchor.
+
+    ``bars`` carries symbol, start, close, anchor, in any order of arrival within ``delay``; later
+    ones are dropped. A signal comes out once the watermark has passed its bar. Needs the RocksDB
+    state store (``ROCKSDB``).
+    """
+    timed = bars.select("symbol", F.col("start").cast("timestamp").alias("start"), "close", "anchor").withWatermark("start", delay)
+    out = timed.groupBy("symbol").transformWithStateInPandas(
+        statefulProcessor=GridSignals(step, reset), outputStructType=GRID_OUT, outputMode="Append", timeMode="EventTime"
+    )
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def replay_grid_signals(spark: SparkSession, folder: str, schema: str, step: float, reset: float, delay: str,
+                        files_per_batch: int) -> DataFrame:
+    """All signals of a folder of bars whose files are out of order by ``delay`` at most.
+
+    The stream runs through what is there. Then a closing row without a symbol, later than every
+    bar by more than ``delay``, moves the watermark past the bars that still wait, and the same
+    query runs on from its checkpoint.
+    """
+    work = work_folder(spark)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/*")
+        signals = stream_grid_signals(stream, step, reset, delay)
+        _run_on(signals, work)
+        rows = spark.read.schema(schema).parquet(f"{folder}/*")
+        end = F.expr(f"max(start) + 2 * interval {delay} + interval 1 day")
+        rows.agg(F.lit(None).cast("string").alias("symbol"), end.alias("start"), F.lit(1.0).alias("close"), F.lit(1.0).alias("anchor")) \
+            .where("start is not null").write.parquet(f"{folder}/closing")
+        _run_on(signals, work)
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return spark.read.schema(signals.schema).parquet(work + "/out").where("symbol is not null")
 
 
 def stream_append(values: DataFrame, path: str, checkpoint: str):
@@ -141,14 +220,19 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Process what is there, then read the result from the file sink."""
-    folder = work_folder(stream.sparkSession)
+def _run_on(stream: DataFrame, folder: str) -> None:
+    """Process what is there since the last run on ``folder``."""
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", folder + "/out")
         .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def run_available(stream: DataFrame) -> DataFrame:
+    """Process what is there, then read the result from the file sink."""
+    folder = work_folder(stream.sparkSession)
+    _run_on(stream, folder)
     return stream.sparkSession.read.schema(stream.schema).parquet(folder + "/out")
 
 

@@ -23,21 +23,50 @@ def bars(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_grid_stream_equals_fold(spark, tmp_path):
-    step, reset = 0.1, 0.25
-    ordered = bars(spark).orderBy("start")
-    for i, part in enumerate((ordered.where("minute(start) < 30"), ordered.where("minute(start) >= 30"))):
-        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
-    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r.symbol, r.start): (round(r.reference, 9), r.action) for r in jobs.run_available(jobs.stream_grid_signals(stream, step, reset)).collect()}
+def folded(rows, step, reset):
+    """The signals of bars by a plain fold in the order of time."""
     want, ref = {}, {}
-    for r in bars(spark).orderBy("start").collect():
+    for r in sorted(rows, key=lambda r: r.start):
         if r.symbol not in ref or abs(r.close / r.anchor - 1) > reset:
             ref[r.symbol] = r.anchor
         level = ref[r.symbol]
         action = "BUY" if r.close <= level * (1 - step) else "SELL" if r.close >= level * (1 + step) else "HOLD"
         want[(r.symbol, r.start)] = (round(level, 9), action)
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_grid_stream_takes_files_out_of_order(spark, tmp_path, files_per_batch):
+    """Six files of shuffled bars, the last ten minutes first, one file a batch: the same rows as the fold."""
+    rows = bars(spark).select("symbol", "start", "close", "anchor").collect()
+    rnd = random.Random(3)
+    slots = [[r for r in rows if r.start.minute // 10 == k] for k in (5, 2, 0, 4, 1, 3)]
+    schema = "symbol string, start timestamp_ntz, close double, anchor double"
+    for k, part in enumerate(slots):
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    out = jobs.replay_grid_signals(spark, str(tmp_path / "in"), schema, 0.1, 0.25, "1 hour", files_per_batch)
+    got = [(r.symbol, r.start, round(r.reference, 9), r.action) for r in out.collect()]
+    assert len(got) == len(rows) and {g[:2]: g[2:] for g in got} == folded(rows, 0.1, 0.25)
+
+
+def test_grid_stream_gives_bars_once_the_watermark_passes(spark, tmp_path):
+    """In order and one file a batch, early bars come out before the stream ends; late ones are dropped."""
+    rows = bars(spark).select("symbol", "start", "close", "anchor").collect()
+    schema = "symbol string, start timestamp_ntz, close double, anchor double"
+    for k in (0, 1, 2, 3, 4, 5):
+        part = [r for r in rows if r.start.minute // 10 == k]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    late = spark.createDataFrame([("A", dt.datetime(2023, 12, 31), 1.0, 1.0)], schema)
+    late.coalesce(1).write.parquet(str(tmp_path / "in" / "p6"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in") + "/*")
+        out = jobs.run_available(jobs.stream_grid_signals(stream, 0.1, 0.25, "5 minutes")).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    passed = [r for r in rows if r.start <= dt.datetime(2024, 1, 1, 0, 54)]
+    assert {(r.symbol, r.start): (round(r.reference, 9), r.action) for r in out} == folded(passed, 0.1, 0.25)
 
 
 def test_alert_stream_joins_static_reference(spark, tmp_path):
