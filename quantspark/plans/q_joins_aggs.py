@@ -96,7 +96,7 @@ def _(t):
 def _(t):
     member = t.idx.join(t.dim_l, "symbol").groupBy(F.col("industry").alias("block"), "symbol").agg(F.max("trade_date").alias("member_date"))
     flow = t.panel_m.join(t.dim_l, "symbol").groupBy(F.col("industry").alias("block"), "trade_date").agg(F.sum("amount").alias("net"))
-    return flow.join(member, "block").select("trade_date", "symbol", "block", "net")
+    return jn.spread_join(flow, member, "block").select("trade_date", "symbol", "block", "net")  # few blocks, each with many pairs
 
 
 @query("jn10_prior_external_day", """WITH e AS (SELECT trade_date AS ext_date, avg(price) AS level FROM ticks WHERE day(trade_date) % 3 <> 0 GROUP BY 1),

@@ -13,6 +13,9 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 #: largest side, in rows, that is broadcast; a size check precedes every use
 MAX_BROADCAST_ROWS = "quantspark.maxBroadcastRows"
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+#: pairs of one join key that one task makes; a hotter key is spread over several
+PAIRS_PER_TASK = "quantspark.pairsPerTask"
+DEFAULT_PAIRS_PER_TASK = 5_000_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -69,6 +72,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder of its own and read again, for results with several readers."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit
