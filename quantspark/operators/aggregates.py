@@ -42,20 +42,36 @@ def earliest_covered(minute, n_symbols: int, n_times: int, min_symbols=0.8, min_
     return days.where(ok).agg(F.min("trade_date").alias("trade_date"))
 
 
-def suspicious_days(minute, min_rows: int, min_symbols: int, min_positive: float) -> DataFrame:
-    """Days whose row, symbol or positive-volume counts fall below the thresholds."""
+def day_counts(minute) -> DataFrame:
+    """Rows, symbols, rows with volume and volume of every day; symbols meet map-side first."""
     per_symbol = minute.groupBy("trade_date", "symbol").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("volume") > 0).alias("pos"),
         F.sum("volume").alias("vol"),
     )
-    days = per_symbol.groupBy("trade_date").agg(
+    return per_symbol.groupBy("trade_date").agg(
         F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("symbols"),
         F.sum("pos").alias("positive_rows"), F.sum("vol").alias("volume"),
     )
-    bad = (F.col("row_count") < min_rows) | (F.col("symbols") < min_symbols) | (
+
+
+def _below(min_rows, min_symbols, min_positive: float):
+    return (F.col("row_count") < min_rows) | (F.col("symbols") < min_symbols) | (
         F.col("positive_rows") < min_positive * F.col("row_count")
     )
-    return days.where(bad)
+
+
+def suspicious_days(minute, min_rows: int, min_symbols: int, min_positive: float) -> DataFrame:
+    """Days whose row, symbol or positive-volume counts fall below the thresholds."""
+    return day_counts(minute).where(_below(min_rows, min_symbols, min_positive))
+
+
+def untypical_days(minute, share: float, min_positive: float) -> DataFrame:
+    """Days below ``share`` of the table's own median day, by rows or by symbols, or short of positive volume."""
+    days = day_counts(minute)
+    typical = days.agg(F.percentile("row_count", 0.5).alias("rows_"), F.percentile("symbols", 0.5).alias("symbols_"))
+    # typical: a single row
+    bad = days.join(F.broadcast(typical)).where(_below(share * F.col("rows_"), share * F.col("symbols_"), min_positive))
+    return bad.drop("rows_", "symbols_")
 
 
 def freshness(df: DataFrame, day: str, today, stale_after: int) -> DataFrame:

@@ -82,13 +82,14 @@ def search_table(df, rules=(), columns=None, order=(), page=1, size=50) -> DataF
     return out.select(*columns) if columns else out
 
 
-def preview(df: DataFrame, page=1, size=50, order=(), rules=(), include_total=False):
-    """(rows, total): the total is estimated from the page unless asked for exactly."""
+def preview(df: DataFrame, page=1, size=50, order=(), rules=(), include_total=False) -> tuple[DataFrame, DataFrame]:
+    """(rows, total): ``total`` is one row, estimated from the page unless asked for exactly."""
     rows = search_table(df, rules, None, order, page, size)
+    shown = F.count(F.lit(1))
     if include_total:
-        return rows, apply_filters(df, rules).count()
-    offset, shown = (page - 1) * size, rows.count()
-    return rows, offset + shown + (1 if shown == size else 0)
+        return rows, apply_filters(df, rules).agg(shown.alias("total"))
+    more = F.when(shown == size, 1).otherwise(0)
+    return rows, rows.agg((shown + more + (page - 1) * size).alias("total"))
 
 
 def first(df: DataFrame, limit: int | None) -> DataFrame:

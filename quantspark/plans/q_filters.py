@@ -63,7 +63,13 @@ def _(t):
 @query("pf04_preview", """SELECT symbol, trade_date, close, CAST(101 AS BIGINT) AS total FROM panel_d ORDER BY trade_date, symbol LIMIT 50 OFFSET 50""", close=6)
 def _(t):
     rows, total = pf.preview(t.panel_d.select("symbol", "trade_date", "close"), 2, 50, ["trade_date", "symbol"])
-    return rows.withColumn("total", F.lit(total).cast("long"))
+    return rows.join(F.broadcast(total))  # one row
+
+
+@query("pf04_preview_exact", """SELECT symbol, trade_date, close, (SELECT count(*) FROM panel_d) AS total FROM panel_d ORDER BY trade_date, symbol LIMIT 50 OFFSET 50""", close=6)
+def _(t):
+    rows, total = pf.preview(t.panel_d.select("symbol", "trade_date", "close"), 2, 50, ["trade_date", "symbol"], include_total=True)
+    return rows.join(F.broadcast(total))  # one row
 
 
 @query("pf05_distinct_values", "SELECT DISTINCT p_brand AS value FROM part WHERE contains(p_brand, '3') ORDER BY 1 LIMIT 100")

@@ -239,8 +239,14 @@ def _(t):
     return ag.earliest_covered(t.ticks, 5, 60)
 
 
-@query("ag03_suspicious_days", """SELECT trade_date, count(*) AS row_count, count(DISTINCT symbol) AS symbols, count(*) FILTER (volume > 0) AS positive_rows, sum(volume) AS volume
- FROM ticks GROUP BY 1 HAVING count(*) < 335 OR count(DISTINCT symbol) < 5 OR count(*) FILTER (volume > 0) < 0.9 * count(*)""")
+@query("ag03_suspicious_days", """WITH days AS (SELECT trade_date, count(*) AS row_count, count(DISTINCT symbol) AS symbols, count(*) FILTER (volume > 0) AS positive_rows, sum(volume) AS volume FROM ticks GROUP BY 1)
+ SELECT * FROM days WHERE row_count < 0.98 * (SELECT median(row_count) FROM days) OR symbols < 0.98 * (SELECT median(symbols) FROM days) OR positive_rows < 0.9 * row_count""")
+def _(t):
+    return ag.untypical_days(t.ticks, 0.98, 0.9)
+
+
+@query("ag03_thin_days", """WITH days AS (SELECT trade_date, count(*) AS row_count, count(DISTINCT symbol) AS symbols, count(*) FILTER (volume > 0) AS positive_rows, sum(volume) AS volume FROM ticks GROUP BY 1)
+ SELECT * FROM days WHERE row_count < 335 OR symbols < 5 OR positive_rows < 0.9 * row_count""")
 def _(t):
     return ag.suspicious_days(t.ticks, 335, 5, 0.9)
 

@@ -83,9 +83,10 @@ def _(t):
     return dq.duplicate_report(t.ticks, ["symbol", "trade_date", "minute_of_day"])
 
 
-@query("dq03_without_bad_days", """SELECT event_id, symbol, trade_date FROM ticks WHERE trade_date NOT IN (SELECT trade_date FROM ticks GROUP BY 1 HAVING count(*) < 335 OR count(DISTINCT symbol) < 5 OR count(*) FILTER (volume > 0) < 0.9 * count(*))""")
+@query("dq03_without_bad_days", """WITH days AS (SELECT trade_date, count(*) AS row_count, count(DISTINCT symbol) AS symbols, count(*) FILTER (volume > 0) AS positive_rows, sum(volume) AS volume FROM ticks GROUP BY 1)
+ SELECT event_id, symbol, trade_date FROM ticks WHERE trade_date NOT IN (SELECT trade_date FROM days WHERE row_count < 0.98 * (SELECT median(row_count) FROM days) OR symbols < 0.98 * (SELECT median(symbols) FROM days) OR positive_rows < 0.9 * row_count)""")
 def _(t):
-    return dq.without_days(t.ticks, ag.suspicious_days(t.ticks, 335, 5, 0.9)).select("event_id", "symbol", "trade_date")
+    return dq.without_days(t.ticks, ag.untypical_days(t.ticks, 0.98, 0.9)).select("event_id", "symbol", "trade_date")
 
 
 @query("dq04_json_checks", """SELECT 'events' AS table_name, 'props' AS column_name, count(*) AS row_count, count(*) FILTER (NOT json_valid(props)) AS invalid, min(props) FILTER (NOT json_valid(props)) AS example FROM events

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quantspark.factors.bars import RET
+from quantspark.functions import expr as x
 from quantspark.operators.panel import with_factors
 from quantspark.plans.registry import query
-from quantspark.sources import scan
+from quantspark.sources import bucketed, scan
 
 A, B = date(2024, 1, 5), date(2024, 1, 20)
 LA, LB = date(1996, 1, 1), date(1998, 12, 31)
@@ -30,6 +31,22 @@ def _(t):
     return scan.load_daily(t.panel_l, None, LA, LB, ["close", "volume"])
 
 
+@query("sc01_bucketed_momentum", """SELECT * FROM (SELECT symbol, trade_date, close / lag(close, 3) OVER w - 1 AS momentum, CASE WHEN count(close) OVER w5 = 5 THEN avg(close) OVER w5 END AS mean_close
+ FROM panel_m WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' WINDOW w AS (PARTITION BY symbol ORDER BY trade_date), w5 AS (PARTITION BY symbol ORDER BY trade_date ROWS 4 PRECEDING))""", momentum=6, mean_close=6)
+def _(t):
+    bars = t.panel_m.select("symbol", "trade_date", "close", "volume")
+    rows = bucketed.bars_between(t.spark, bucketed.write_bars(bars), LA, LB)
+    out = with_factors(rows, {"momentum": x.pct(x.field("close"), 3), "mean_close": x.mean(x.field("close"), 5)})
+    return out.select("symbol", "trade_date", "momentum", "mean_close")
+
+
+@query("sc01_bars_on_quarter_ends", """SELECT symbol, trade_date, close FROM panel_m WHERE trade_date IN (SELECT max(trade_date) FROM panel_m WHERE year(trade_date) >= 1997 GROUP BY year(trade_date), quarter(trade_date))""", close=6)
+def _(t):
+    bars = t.panel_m.select("symbol", "trade_date", "close")
+    ends = bars.where(F.year("trade_date") >= 1997).groupBy(F.year("trade_date"), F.quarter("trade_date")).agg(F.max("trade_date").alias("trade_date"))
+    return bucketed.bars_on(t.spark, bucketed.write_bars(bars), ends).select("symbol", "trade_date", "close")
+
+
 @query("sc02_load_minute", """SELECT symbol, trade_date, minute_of_day, CASE WHEN minute_of_day = 630 AND dayofmonth(trade_date) % 2 = 0 THEN close + 1 ELSE close END AS close, volume FROM bars_m
  WHERE trade_date >= DATE '2024-01-05' AND trade_date < DATE '2024-01-20' AND minute_of_day IN (570, 630, 840)""", close=6)
 def _(t):
