@@ -8,3 +8,4 @@ def load_all() -> None:
     for module in sorted(m.name for m in pkgutil.iter_modules(__path__)):
         if module.startswith("q_"):
             importlib.import_module(f"{__name__}.{module}")
+    importlib.import_module(f"{__name__}.formulas").register()
