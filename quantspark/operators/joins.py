@@ -29,20 +29,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, left_counts: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner equi-join in which a hot key goes to as many tasks as its pairs need.
 
-    Rows are counted by key on both sides (``left_counts`` may bring ``key, left_``). A key with
-    more than ``quantspark.pairsPerTask`` pairs becomes a grid of cells: its left rows are dealt
+    Rows are counted by key on both sides. A key with more than ``quantspark.pairsPerTask`` pairs becomes a grid of cells: its left rows are dealt
     over the rows of the grid and its right rows over the columns, each copied along the other
     direction, and the grid has the shape that copies fewest rows. Every pair meets in exactly one
     cell. Without hot keys it is a plain join. Rows are dealt by the hash of all their columns, so
     equal rows stay together; null keys match nothing; the names ``down_`` and ``across_`` are taken.
     """
     limit = int_conf(left.sparkSession, PAIRS_PER_TASK, DEFAULT_PAIRS_PER_TASK)
-    if left_counts is None:
-        left_counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("left_"))
-    counts = left_counts.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("right_")), key)
+    of_left, of_right = (side.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "left_"), (right, "right_")))
+    counts = of_left.join(of_right, key)
     cells = F.ceil(F.col("left_").cast("double") * F.col("right_") / limit)
     # n rows and m columns copy left * m + right * n rows: least where n / m is left / right
     rows = F.least(cells, F.greatest(F.lit(1), F.round(F.sqrt(cells * F.col("left_") / F.col("right_")))))
@@ -229,8 +227,8 @@ def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFr
     docs = posts.select("doc_id", F.upper(text).alias("u_"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("u_", r"\s+"))).alias("word"))
     wanted = keyed.select("piece").distinct()
-    texts_with = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("left_")))  # read three times below
-    vocabulary = texts_with.select("word", pieces(F.col("word")).alias("piece"))
+    vocabulary = written(docs.select(F.explode(F.split("u_", r"\s+")).alias("word")).distinct())  # has three readers
+    vocabulary = vocabulary.select("word", pieces(F.col("word")).alias("piece"))
     vocabulary = vocabulary.join(small(wanted), "piece", "left_semi")
     counts = vocabulary.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     n = F.when(F.col("piece").rlike(r"\s"), F.lit(2**62)).otherwise(F.coalesce("n", F.lit(0)))  # words hold no blank
@@ -239,8 +237,11 @@ def mentions(posts: DataFrame, aliases: DataFrame, text: str = "text") -> DataFr
     ).where("best.n > 0").select("symbol", "alias_", "blank", F.col("best.piece").alias("piece"))
     inside = F.col("word").contains(F.col("alias_"))
     known = vocabulary.join(small(rarest.where("not blank")), "piece").where(inside).select("word", "symbol")
+    known = written(known.distinct())
+    limit = int_conf(posts.sparkSession, MAX_BROADCAST_ROWS, DEFAULT_MAX_BROADCAST_ROWS)
     # one frequent word may stand in half of all texts
-    hit = spread_join(words, written(known.distinct()), "word", texts_with).select("doc_id", "symbol")
+    found = words.join(F.broadcast(known), "word") if fits(known, limit) else spread_join(words, known, "word")
+    hit = found.select("doc_id", "symbol")
     spaced = rarest.where("blank")
     if not spaced.limit(1).isEmpty():
         side = docs.select("doc_id", pieces(F.col("u_")).alias("piece")).join(small(spaced), "piece")

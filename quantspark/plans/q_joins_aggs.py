@@ -162,7 +162,7 @@ def _(t):
 _ALIAS = "(SELECT item_id AS symbol, upper(regexp_extract(text, '[A-Za-z]{6,}')) AS alias FROM benchmark WHERE length(regexp_extract(text, '[A-Za-z]{6,}')) >= 3)"
 
 
-@query("jn16_mentions", f"SELECT DISTINCT p.doc_id, a.symbol FROM posts p JOIN {_ALIAS} a ON contains(upper(p.text), a.alias)")
+@query("jn16_mentions", f"SELECT DISTINCT p.doc_id, a.symbol FROM posts p JOIN {_ALIAS} a ON contains(replace(upper(p.text), 'ẞ', 'SS'), a.alias)")  # Spark's capital of ß is SS
 def _(t):
     alias = F.upper(F.regexp_extract("text", "[A-Za-z]{6,}", 0))
     aliases = t.raw("benchmark").select(F.col("item_id").alias("symbol"), alias.alias("alias"))
