@@ -33,8 +33,9 @@ ROUNDS = 32
 LEAST_RANGES = 1_024
 #: slots that one row is opened to
 CHUNK = 4_096
-#: slots that one task draws, at most
+#: slots that one task draws, and slots that one task opens, on average at most
 TASK_SLOTS = 20_000_000
+OPEN_SLOTS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -186,11 +187,12 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
     larger of the two decides whether both change places.
     """
 
-    def turn(at: Column, i: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, i), n) - at, n)
-        return F.when(F.xxhash64(key, i, F.greatest(at, other)) % 2 == 0, other).otherwise(at)
+    def turn(at: Column, distance: Column) -> Column:
+        other = F.pmod(distance - at, n)
+        return F.when(F.xxhash64(distance, F.greatest(at, other)) % 2 == 0, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, turn)
+    distances = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda i: F.shiftrightunsigned(F.xxhash64(key, i), 1))
+    return F.aggregate(distances, index, turn)
 
 
 def slots_of(sources: DataFrame, shards: int) -> DataFrame:
@@ -204,7 +206,7 @@ def slots_of(sources: DataFrame, shards: int) -> DataFrame:
         counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("end", F.col("first") + F.col("n"))
         .withColumn("from", F.explode(F.sequence(F.col("first"), F.col("end") - 1, F.lit(CHUNK).cast("long"))))
-        .repartition("source_key", "shard", "from")
+        .repartition(max(sources.sparkSession.sparkContext.defaultParallelism, slots // OPEN_SLOTS + 1), "source_key", "shard", "from")
     )
     opened = (
         chunks.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("end")) - 1)))
@@ -239,7 +241,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     begin = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
     parts = parts.select("source_key", "block", "start", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
-    found = slots_of(sources, shards).join(parts, ["source_key", "block"])
+    # slots come out of few rows, from which their size cannot be told: both sides are sorted
+    found = slots_of(sources, shards).hint("merge").join(parts, ["source_key", "block"])
     return documents, found.select("shard", "source_key", "epoch", "block", "start", "skip", "words")
 
 

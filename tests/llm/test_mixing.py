@@ -28,8 +28,9 @@ def h64(*values) -> int:
 
 def shuffled(at: int, n: int, key: int) -> int:
     for i in range(1, mixing.ROUNDS + 1):
-        other = (h64(key, (i, 4)) % n - at) % n
-        at = other if h64(key, (i, 4), max(at, other)) % 2 == 0 else at
+        distance = h64(key, (i, 4)) % (1 << 64) >> 1
+        other = (distance - at) % n
+        at = other if h64(distance, max(at, other)) % 2 == 0 else at
     return at
 
 
@@ -146,6 +147,20 @@ def test_sums_of_all_rows_before(spark):
     assert len(got) == 5_000 and mixing.running(df.where("n < 0"), ["place"], {"before": F.col("n")}).count() == 0
 
 
+def test_odd_rows_and_clashing_names(spark):
+    rows = [(None, "no id at all", "s1"), (1, None, None), (2, "", ""), (4, "one two three", "s2"), (4, "one two three", "s2"), (6, "long " * 20_000, "s1"), (7, "x", None)]
+    docs = spark.createDataFrame(rows, ROWS)
+    for name in ("shard", "block", "blocks", "slots", "size", "start", "n", "lay_", "drawn", "target", "epoch", "key", "source_key"):
+        docs = docs.withColumn(name, F.lit("own"))
+    out = mixing.mix_of_documents(docs).collect()
+    assert sorted(r.doc_id or -1 for r in out) == [-1, 1, 2, 4, 4, 6, 7]
+    assert all(r.taken <= 3 * r["size"] and (r.n_shards > 0) == (r.taken > 0) for r in out)
+    texts = mixing.mixed_texts(docs)
+    assert texts.columns == docs.columns and {r[3] for r in texts.collect()} == {"own"}
+    words = texts.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert words == sum(r.taken for r in out)
+
+
 def test_empty_and_wordless(spark):
     none = spark.createDataFrame([], ROWS)
     assert mixing.mix_of_documents(none).count() == 0
