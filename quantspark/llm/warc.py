@@ -239,7 +239,10 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of one WARC file, found by their lengths; gzip members are undone first."""
+    """The records of one WARC file, found by their lengths; gzip members are undone first.
+
+    Where a length is missing or no number, the block ends before the next record or with the file.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -248,7 +251,12 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         if end < 0:
             return
         named = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        size = int(named.pop("Content-Length", "0"))
+        length = named.pop("Content-Length", "").strip()
+        if length.isascii() and length.isdigit() and len(length) < 19:
+            size = int(length)
+        else:
+            following = data.find(b"\r\n\r\nWARC/", end + 4)
+            size = (following if following >= 0 else len(data)) - end - 4
         block = data[end + 4 : end + 4 + size]
         at = end + 4 + size
         yield {
