@@ -69,7 +69,8 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     """Suffixes of the texts in ``x`` in order; each text ends with a 0, and earlier 0s are smaller.
 
     The first sort looks at FIRST symbols. Each refinement sorts the suffixes of groups that are
-    not settled by the rank of the suffix ``depth`` places on, which doubles the depth.
+    not settled by the rank of the suffix ``depth`` places on, which doubles the depth. Places fit
+    32 bits, and what a step leaves goes before the next one: workers keep the memory of their peak.
     """
     n = len(x)
     key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
@@ -78,23 +79,36 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
         alive[: n - j] &= x[j:] != 0
         key <<= np.uint64(9)
         key[: n - j] |= x[j:] * alive[: n - j]
-    order = np.argsort(key, kind="stable")
-    run = key[order]
-    first = np.concatenate([[True], run[1:] != run[:-1]]) | ~alive[order]  # a suffix that ends within is settled by place
-    place = np.arange(n)
-    rank = np.maximum.accumulate(np.where(first, place, 0))
-    of = np.empty(n, np.int64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    first = np.ones(n, bool)
+    key = key[order]
+    first[1:] = key[1:] != key[:-1]
+    del key
+    first |= ~alive[order]  # a suffix that ends within is settled by place
+    del alive
+    rank = np.arange(n, dtype=np.int32)
+    rank *= first
+    np.maximum.accumulate(rank, out=rank)
+    of = np.empty(n, np.int32)
     of[order] = rank
     depth = FIRST
-    while len(open_ := np.flatnonzero(~(first & np.append(first[1:], True)))):
+    while len(open_ := np.flatnonzero(~(first & np.append(first[1:], True))).astype(np.int32)):
         who = order[open_]
-        key = rank[open_] * n + of[who + depth]  # what is not settled has not ended at this depth
-        sort = np.argsort(key)
+        key = rank[open_].astype(np.int64)
+        key *= n
+        key += of[who + np.int32(depth)]  # what is not settled has not ended at this depth
+        sort = np.argsort(key).astype(np.int32)
+        who = who[sort]
+        order[open_] = who
         key = key[sort]
-        order[open_] = who[sort]
-        first[open_] = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[open_] = np.maximum.accumulate(np.where(first[open_], open_, 0))
-        of[order[open_]] = rank[open_]
+        del sort
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        del key
+        first[open_] = new
+        ranks = np.maximum.accumulate(open_ * new)
+        rank[open_] = ranks
+        of[who] = ranks
         depth *= 2
     return order
 
@@ -105,7 +119,7 @@ def common_prefixes(x: np.ndarray, order: np.ndarray, begin: np.ndarray, end: np
     Kasai's rule, a prefix is one shorter at most for the next suffix of a text, runs through
     all texts begin:end side by side.
     """
-    before = np.full(len(x), -1, np.int64)
+    before = np.full(len(x), -1, np.int32)
     before[order[1:]] = order[:-1]
     out = np.zeros(len(x), np.int16)
     p, stop = begin.copy(), end.copy()
@@ -131,17 +145,16 @@ def repeated(segments: list[bytes], windows: np.ndarray) -> list[np.ndarray]:
     size = np.array(list(map(len, segments)))
     end = np.cumsum(size + 1) - 1
     begin = end - size
-    x = np.zeros(end[-1] + 1, np.uint16)
-    inside = np.ones(len(x), bool)
-    inside[end] = False
-    x[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
+    x = np.frombuffer(b"\0".join([*segments, b""]), np.uint8).astype(np.uint16)
+    x += 1
+    x[end] = 0
     order = suffix_array(x)
     prefix = common_prefixes(x, order, begin, end)[order]
     # between two windows that follow one another, the least prefix of all suffixes between counts
-    own = np.zeros(len(x) + 1, np.int64)
+    own = np.zeros(len(x) + 1, np.int8)  # segments lie one after another: none or one holds a place
     np.add.at(own, begin, 1)
     np.add.at(own, begin + windows, -1)
-    at = np.flatnonzero(np.cumsum(own)[:-1][order] > 0)
+    at = np.flatnonzero(np.cumsum(own, dtype=np.int8)[:-1][order] > 0)
     hit = np.zeros(len(x), bool)
     if len(at) > 1:
         equal = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1) >= LENGTH
@@ -241,11 +254,12 @@ def shard_matches(rows: DataFrame, ranges: int) -> DataFrame:
                 if row["times"] > 1:
                     out.append((row["k1"], row["k2"], np.packbits(np.ones(row["windows"], bool)).tobytes(), None, None))
                 continue
-            held += group.index.tolist()
-            held_bytes += int(group["segment"].map(len).sum())
-            if held_bytes >= ARRAY_BYTES:
+            size = int(group["segment"].map(len).sum())
+            if held and held_bytes + size > ARRAY_BYTES:  # an array is no larger, but for a single anchor
                 work()
                 held_bytes = 0
+            held += group.index.tolist()
+            held_bytes += size
         if held:
             work()
         out += [(None, None, None, part, b"".join(sorted(entries))) for part, entries in left.items()]
