@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import lists, pieces, texts_of
+from quantspark.llm.common import keeps, lists, pieces, released, texts_of
 
 #: entries of a worker's word memory, and letters of the longest word kept there
 MEMORY_WORDS = 300_000
@@ -151,7 +151,7 @@ class Memory(dict):
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Memory:
-    """One vocabulary and memory per Python worker."""
+    """One vocabulary and memory per Python worker, until it turns to another operator."""
     return Memory(Vocabulary(path))
 
 
@@ -184,13 +184,14 @@ def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = loaded(vocab_path)
+        keeps(__name__, loaded.cache_clear)
         for batch in pieces(batches, text_col):
             found = [encode_text(t, memory) for t in texts_of(batch, text_col)]
             values = np.fromiter(chain.from_iterable(found), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(values, list(map(len, found)))], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(released(run, __name__), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -198,6 +199,7 @@ def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(vocab_path).vocabulary.tokens
+        keeps(__name__, loaded.cache_clear)
         names = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -208,7 +210,7 @@ def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.compute.binary_join(words, " ")], names=[id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, "ids").mapInArrow(released(run, __name__), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -63,6 +64,46 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the machine; Arrow and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU only
+    if trim is not None:
+        trim(0)
+
+
+#: what a worker keeps from one task of an operator to the next, by operator: how to drop it
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """Says, in a worker, that ``operator`` keeps something there which ``drop`` drops."""
+    _kept[operator] = drop
+
+
+def drop_others(operator: str) -> None:
+    for name in [n for n in _kept if n != operator]:
+        _kept.pop(name)()
+
+
+def released(run: Callable[[Iterator], Iterator], operator: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, in a worker that Spark keeps for later stages.
+
+    What other operators than ``operator`` have left in the worker is dropped first; afterwards, freed
+    memory goes back.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        drop_others(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def lists(values: np.ndarray | pa.Array, lengths: list[int]) -> pa.Array:
     """One list per row out of the rows' values end to end."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import lists, own_columns, pieces, staged, texts_of
+from quantspark.llm.common import lists, own_columns, pieces, released, staged, texts_of
 from quantspark.llm.components import components
 from quantspark.llm.hashing import mixed, stretch_hashes
 
@@ -123,6 +123,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 def sketches(docs: DataFrame, text_col: str) -> DataFrame:
     """``text_key, n, sketch, few`` of every row: n shingles, few: all of them where prefix keys are due; no shuffle."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in pieces(batches, text_col):
@@ -166,6 +167,7 @@ def key_of(text_col: str) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``a, b`` rows of ``pairs`` whose texts align to SIMILARITY or more."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}  # rows come sorted by b, so its shingles serve again
         with np.errstate(over="ignore"):
@@ -185,6 +187,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def shared_counts(texts: DataFrame) -> DataFrame:
     """``node, reach``: how many of a text's labelled shingles some other of ``texts`` has, by CLASSES classes."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in pieces(batches, "text"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import held_out, lists, own_columns, pieces, texts_of
+from quantspark.llm.common import held_out, lists, own_columns, pieces, released, texts_of
 
 #: labelled rows that the model is fitted on at most, taken in the order of a hash of their id
 SAMPLE_ROWS = 20_000
@@ -190,6 +190,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def with_features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             x = np.array([features(t) for t in texts_of(batch, text_col)])
@@ -234,6 +235,7 @@ def scored(df: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataF
     """The columns ``keep`` with ``score`` and ``predicted``."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
             p = model.score(np.array([features(t) for t in texts_of(batch, text_col)]))

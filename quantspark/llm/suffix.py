@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspark.llm.common import own_columns, staged
+from quantspark.llm.common import own_columns, released, staged
 from quantspark.llm.hashing import mixed, stretch_hashes
 
 #: bytes of a repeated string, and of an anchor
@@ -178,6 +178,7 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 def with_anchors(texts: DataFrame) -> DataFrame:
     """``h, t1, t2, place`` of every run of windows; place is 256 times the first start plus windows less one."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -198,6 +199,7 @@ def with_segments(rows: DataFrame) -> DataFrame:
     """Cuts the segments of ``places`` (h, n, place) out of ``raw``; k1, k2 identify a segment."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("place", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("segment", pa.binary())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -297,6 +299,7 @@ def across_shards(rows: DataFrame) -> DataFrame:
 def spans_of(rows: DataFrame) -> DataFrame:
     """``t1, t2, starts, ends``: maximal removed stretches out of a text's (place, flags) list."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
@@ -317,6 +320,7 @@ def kept_of(texts: DataFrame, spans: DataFrame, as_text: bool) -> DataFrame:
     """``t1, t2, kept, starts, ends`` of the texts that lose something; as text, letters cut in part go."""
     kind = pa.string() if as_text else pa.binary()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
