@@ -38,17 +38,18 @@ def test_an_average_takes_one_order_for_its_blocks(spark):
     assert (one, two) == (2, 3)  # the bars in their order, and each average in that of its blocks
 
 
-def test_wide_windows_keep_the_order_of_the_bars(spark):
-    outputs = {"hi": rmax(X, 55), "lo": rmin(X, 43, 20), "m": mean(X, 41, 10), "t": total(X, 50, 30), "n": count_of(X, 47)}
-    out = with_factors(bars(spark), outputs, section_rows=1)
-    assert sorts(out) == 1
-    for rows in by_symbol(out):
+def test_wide_extremes_keep_the_order_of_the_bars(spark):
+    extremes = {"hi": rmax(X, 55), "lo": rmin(X, 43, 20)}
+    assert sorts(with_factors(bars(spark), extremes, section_rows=1)) == 1
+    outputs = {**extremes, "sq": rmax(X, 49, 40), "m": mean(X, 41, 10), "t": total(X, 50, 30), "n": count_of(X, 47)}
+    for rows in by_symbol(with_factors(bars(spark), outputs, section_rows=1)):
         xs = [r["x"] for r in rows]
         for i, r in enumerate(rows):
             def of(n):
                 return [x for x in xs[max(0, i - n + 1) : i + 1] if x is not None]
 
             assert r["hi"] == (max(of(55)) if len(of(55)) >= 55 else None)
+            assert r["sq"] == (max(of(49)) if len(of(49)) >= 40 else None)
             assert r["lo"] == (min(of(43)) if len(of(43)) >= 20 else None)
             assert r["n"] == len(of(47))
             for name, n, need in (("m", 41, 10), ("t", 50, 30)):
