@@ -72,7 +72,7 @@ def test_large_jobs_find_no_shuffle_files_of_others(spark, bars, monkeypatch):
 
 
 def test_rows_are_shuffled_with_results_and_not_with_what_they_come_from(bars):
-    out = with_factors(bars, {"value": rank(X / Y) + rank(U / V)}, section_rows=7, rows=10**7).select(*batch.KEYS, "value")
+    out = with_factors(bars, {"value": rank(delay(X, 1) / delay(Y, 1)) + rank(delay(U, 1) / delay(V, 1))}, section_rows=7, rows=10**7).select(*batch.KEYS, "value")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     carried = re.search(r"RepartitionByExpression \[trade_date[^\n]*\n\s*\+- Project \[(.*)\]\n", plan)[1]
-    assert len(re.findall(r"r_\w+#\d+", carried)) == 2 and len(carried.split(", ")) == 4  # keys and two quotients, not four fields
+    assert len(re.findall(r"r_\w+#\d+", carried)) == 2 and len(carried.split(", ")) == 4  # keys and two quotients, not four windows
